@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from runledger.plans.audit_checks import AUDITS
 from runledger.plans.checking import checking_sql
+from runledger.plans.report_checks import REPORTS
 from runledger.plans.view_checks import VIEWS
 from runledger.projection import project
 
-QUERIES: dict = {**VIEWS}
+QUERIES: dict = {**VIEWS, **AUDITS, **REPORTS}
 
 
 def spark_queries() -> dict:

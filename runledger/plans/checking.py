@@ -73,15 +73,15 @@ def checking_sql(body: str) -> str:
     """Full statement: projection relations, helpers, the body's own CTEs, final SELECT."""
     body = body.replace(":as_of", AS_OF_SQL).strip()
     used: list[str] = []
-    todo = [body]
-    seen: set[str] = set()
-    while todo:
-        words = set(re.findall(r"[a-z_]+", todo.pop()))
+
+    def visit(text: str, path: tuple[str, ...]) -> None:
+        words = set(re.findall(r"[a-z_]+", re.sub(r"'(?:[^']|'')*'", "", text)))
         for name, sql in HELPERS.items():
-            if name in words and name not in seen:
-                seen.add(name)
-                todo.append(sql)
-    used = [h for h in HELPERS if h in seen]
+            if name in words and name not in used and name not in path:
+                visit(sql, (*path, name))
+                used.append(name)
+
+    visit(body, ())
     text = body + " " + " ".join(HELPERS[h] for h in used)
     deps = dependencies(text)
     parts = []

@@ -160,10 +160,10 @@ _COLS: dict[str, tuple[dict[str, str], str]] = {
     "sync_events": ({
         "id": "concat('sync_',event_id)", "target_system": "CASE WHEN event_id%5=0 THEN 'sched' ELSE 'wandb' END",
         "target_identifier": "CASE WHEN event_id%10=1 THEN concat('ext-r',user_id*10+event_id%10) ELSE concat('t',user_id) END",
-        "status": "CASE CAST(event_id%4 AS INT) WHEN 0 THEN 'pending' WHEN 1 THEN 'synced' WHEN 2 THEN 'failed' ELSE 'skipped' END",
+        "status": "CASE CAST(event_id%7 AS INT) WHEN 0 THEN 'pending' WHEN 2 THEN 'failed' WHEN 6 THEN 'skipped' ELSE 'synced' END",
         "run_id": "concat('run_',event_id%(SELECT count(*) FROM orders))",
         "job_id": "CASE WHEN event_id%6=0 THEN concat('job_',event_id%1500,'_1') END",
-        "error_message": "CASE WHEN event_id%4=2 THEN 'denied: Bearer abc.def, api_key=xyz' END",
+        "error_message": "CASE WHEN event_id%7=2 THEN 'denied: Bearer abc.def, api_key=xyz' END",
         "created_at": _EVENT_TS,
         "idempotency_key": "CASE WHEN event_id%3=0 THEN concat('k',event_id%300) END",
         "origin": "CASE WHEN event_id%2=0 THEN 'manifest' ELSE 'writeback' END",
