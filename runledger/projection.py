@@ -222,6 +222,36 @@ _UNIONS = {
         "CASE WHEN event_id%7=0 THEN 1.0E9 ELSE 1.00E9 + 7.0E6 END, 1 FROM events WHERE event_id%20=0 AND event_id%3=1"),
 }
 
+# Raw feeds as an outside system would send them, with some broken rows.
+_RAW = {
+    "raw_jobs": (
+        "SELECT id AS row_index, CASE WHEN n%29=5 THEN '[1]' ELSE concat('{\"id\":\"',id,'\",\"run_id\":\"',run_id,'\",\"name\":\"\"', "
+        "CASE WHEN n%11=0 THEN '' ELSE concat(',\"external_id\":\"x-',id,'\"') END, ',\"status\":\"', CASE WHEN n%13=1 THEN 'weird' ELSE status END, "
+        "'\",\"started_at\":', CASE WHEN n%17=2 THEN '\"yesterday\"' WHEN n%17=3 THEN 'null' WHEN n%17=4 THEN '\"2001-13-05T01:02:03Z\"' ELSE '\"2001-10-05T01:02:03Z\"' END, "
+        "CASE WHEN n%19=3 THEN ',\"attrs\":{\"Bad\":1}' WHEN n%23=4 THEN ',\"attrs\":[]' WHEN n%2=0 THEN concat(',\"attrs\":{\"sched.part\":',n,',\"a.b\":\"x\"}') ELSE '' END, '}') END AS text "
+        "FROM (SELECT *, CAST(substr(code_commit,2) AS BIGINT) AS n FROM jobs) z"),
+    "raw_runs": (
+        "SELECT id AS row_index, concat('{\"id\":\"w',n,'\"', CASE WHEN n%3=0 THEN concat(',\"external_id\":\"e',n,'\"') ELSE '' END, "
+        "CASE WHEN n%10=1 THEN '' ELSE concat(',\"name\":\"',name,'\"') END, CASE WHEN n%12=2 THEN ',\"status\":\"odd\"' WHEN n%12=3 THEN ',\"status\":\"archived\"' ELSE '' END, "
+        "',\"url\":\"http://t/',n,'\",\"project\":\"\",\"state\":\"done\"', CASE WHEN n%7=0 THEN concat(',\"summary\":{\"loss\":',n,'}') ELSE '' END, "
+        "CASE WHEN n%14=3 THEN ',\"attrs\":{\"ledger.x\":1}' WHEN n%5=0 THEN ',\"attrs\":{\"wandb.state\":\"over\",\"a.b\":2}' ELSE '' END, '}') AS text "
+        "FROM (SELECT *, CAST(substr(id,5) AS BIGINT) AS n FROM runs) z"),
+    "raw_metrics": (
+        "SELECT id AS row_index, CASE WHEN n%31=1 THEN '' ELSE run_id END AS run_id, metric_name, "
+        "CASE WHEN n%17=0 THEN 'nan' WHEN n%17=1 THEN '-Infinity' WHEN n%17=2 THEN 'abc' WHEN n%17=3 THEN '' WHEN n%17=4 THEN '1e3' ELSE CAST(n AS STRING) END AS value, "
+        "CASE WHEN step IS NULL THEN '' ELSE step END AS step, split FROM (SELECT *, CAST(floor(value) AS BIGINT) AS n FROM metrics) z"),
+    "raw_artifacts": (
+        "SELECT id AS row_index, concat('{\"type\":\"', CASE WHEN n%9=0 THEN 'blob' ELSE type END, '\"', CASE WHEN n%8=0 THEN '' ELSE concat(',\"uri\":\"gs://n/',id,'\"') END, "
+        "CASE WHEN n%7=0 THEN ',\"run_id\":\"\"' ELSE concat(',\"run_id\":\"run_',n,'\"') END, CASE WHEN n%6=0 THEN ',\"content_hash\":\"md5:1\"' "
+        "WHEN n%6=1 THEN concat(',\"content_hash\":\"sha256:',repeat('AB',32),'\"') ELSE '' END, '}') AS text "
+        "FROM (SELECT *, CAST(substr(id,5,length(id)-6) AS BIGINT) AS n FROM artifacts) z"),
+    "raw_bulk": (
+        "SELECT m.id AS row_index, CASE WHEN n%3=0 THEN r.name WHEN n%3=1 THEN concat(m.run_id,'z') ELSE m.run_id END AS run, m.metric_name AS name, "
+        "CASE WHEN n%13=0 THEN 'x1' ELSE CAST(n AS STRING) END AS value, m.step, CASE WHEN n%5=0 THEN concat(source_job_id,'q') ELSE source_job_id END AS source_job_id, source_artifact_id "
+        "FROM (SELECT *, CAST(floor(value) AS BIGINT) AS n FROM metrics) m JOIN runs r ON r.id = m.run_id"),
+}
+_UNIONS.update(_RAW)
+
 _TYPE_NAME = {"s": "STRING", "i": "INT", "d": "DOUBLE", "ts": "TIMESTAMP_NTZ"}
 
 
@@ -241,7 +271,7 @@ def _render(table: str) -> str:
     return f"SELECT {', '.join(parts)} FROM {source}"
 
 
-RELATIONS = {name: _render(name) for name in ["li_seq", *schemas.TABLES, "inventory"]}
+RELATIONS = {name: _render(name) for name in ["li_seq", *schemas.TABLES, "inventory", *_RAW]}
 
 
 def duckdb_relation(name: str) -> str:
@@ -295,7 +325,7 @@ def project(spark: SparkSession, source_dir: str) -> Ledger:
     return Ledger(tables=ProjectedTables(spark, source_dir), as_of=AS_OF, session=spark)
 
 
-_SOURCE_RE = re.compile(r"\b(FROM|JOIN) (li_seq|" + "|".join(SOURCES) + r")\b")
+_SOURCE_RE = re.compile(r"\b(FROM|JOIN) (" + "|".join([*RELATIONS, *SOURCES]) + r")\b")
 
 
 def _qualify(sql: str) -> str:
