@@ -33,9 +33,11 @@ def run_experiments(ledger: Ledger, variant: str = "owner") -> DataFrame:
     return bridge.unionByName(own).distinct()
 
 
-def job_experiments(ledger: Ledger, variant: str = "owner") -> DataFrame:
-    """(job_id, experiment_id) pairs, distinct."""
+def job_experiments(ledger: Ledger, variant: str = "owner", only: DataFrame | None = None) -> DataFrame:
+    """(job_id, experiment_id) pairs, distinct; ``only`` (job ids as ``id``) narrows the jobs first."""
     jobs = ledger.table("jobs")
+    if only is not None:
+        jobs = jobs.join(only, "id", "left_semi")
     runs = run_experiments(ledger, variant)
     via_run = jobs.select(F.col("id").alias("job_id"), "run_id")
     if variant != "owner":
@@ -57,11 +59,15 @@ def artifact_experiments(ledger: Ledger, variant: str = "owner") -> DataFrame:
     return arts.join(triple, on).select("artifact_id", triple["resolved_id"].alias("experiment_id"))
 
 
-def owner_experiments(ledger: Ledger, triples: DataFrame, variant: str = "owner") -> DataFrame:
-    """Resolve (experiment_id, run_id, job_id) owner triples to experiments."""
+def owner_experiments(ledger: Ledger, triples: DataFrame, variant: str = "owner", narrow: bool = False) -> DataFrame:
+    """Resolve (experiment_id, run_id, job_id) owner triples to experiments.
+
+    ``narrow``: the triples are few against the jobs, so look up only their jobs.
+    """
     keys = triples.select(*[F.col(c).alias(f"owner_{c}") for c in ("experiment_id", "run_id", "job_id")])
     runs = run_experiments(ledger, variant).select(F.col("run_id").alias("owner_run_id"), F.col("experiment_id").alias("resolved_id"))
-    jobs = job_experiments(ledger, variant).select(F.col("job_id").alias("owner_job_id"), F.col("experiment_id").alias("resolved_id"))
+    only = triples.select(F.col("job_id").alias("id")).filter("id IS NOT NULL") if narrow else None
+    jobs = job_experiments(ledger, variant, only).select(F.col("job_id").alias("owner_job_id"), F.col("experiment_id").alias("resolved_id"))
     cols = [*keys.columns, "resolved_id"]
     return union_all([
         keys.filter(F.col("owner_experiment_id").isNotNull()).withColumn("resolved_id", F.col("owner_experiment_id")).select(cols),

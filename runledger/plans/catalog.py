@@ -5,11 +5,12 @@ from __future__ import annotations
 from runledger.plans.audit_checks import AUDITS
 from runledger.plans.checking import checking_sql
 from runledger.plans.flow_checks import FLOWS
+from runledger.plans.reconcile_checks import RECONCILE
 from runledger.plans.report_checks import REPORTS
 from runledger.plans.view_checks import VIEWS
 from runledger.projection import project
 
-QUERIES: dict = {**VIEWS, **AUDITS, **REPORTS, **FLOWS}
+QUERIES: dict = {**VIEWS, **AUDITS, **REPORTS, **FLOWS, **RECONCILE}
 
 
 def spark_queries() -> dict:

@@ -249,6 +249,46 @@ _RAW = {
         "SELECT m.id AS row_index, CASE WHEN n%3=0 THEN r.name WHEN n%3=1 THEN concat(m.run_id,'z') ELSE m.run_id END AS run, m.metric_name AS name, "
         "CASE WHEN n%13=0 THEN 'x1' ELSE CAST(n AS STRING) END AS value, m.step, CASE WHEN n%5=0 THEN concat(source_job_id,'q') ELSE source_job_id END AS source_job_id, source_artifact_id "
         "FROM (SELECT *, CAST(floor(value) AS BIGINT) AS n FROM metrics) m JOIN runs r ON r.id = m.run_id"),
+    # Manifests against the ledger: a mix of unchanged, changed, new, archived and faulty rows.
+    "man_jobs": (
+        "SELECT l_orderkey*100+seq AS row_index, CASE WHEN l_partkey%3=2 THEN concat('new_',l_orderkey,'_',seq) ELSE concat('job_',l_orderkey,'_',seq) END AS id, "
+        "CASE WHEN l_partkey%37=0 THEN 'weird' WHEN l_partkey%3=1 THEN 'killed' ELSE job_status END AS status, CASE WHEN l_partkey%10=0 THEN concat('exp_',o_custkey) END AS experiment_id, "
+        "concat('job-',seq) AS name, CASE WHEN l_partkey%43=0 THEN 'archive' ELSE 'upsert' END AS op, CASE WHEN l_partkey%6=1 THEN '{\"b.x\": 1, \"a.y\":\"z\"}' END AS attrs_json FROM li_seq"),
+    "man_runs": (
+        "SELECT o_orderkey AS row_index, CASE WHEN o_orderkey%4=0 THEN concat('run_',o_orderkey) END AS id, CASE WHEN o_orderkey%4=1 THEN concat('exp_',o_custkey) WHEN o_orderkey%8=3 THEN 'exp_10' END AS experiment_id, "
+        "CASE WHEN o_orderkey%4=1 THEN concat('rk-',o_orderkey) WHEN o_orderkey%32=7 THEN 'Bad Key' END AS idempotency_key, CASE WHEN o_orderkey%4=2 THEN 'wandb' END AS external_system, "
+        "CASE WHEN o_orderkey%4=2 THEN concat('ext-r',o_orderkey) END AS external_id, CASE WHEN o_orderkey%16=15 THEN NULL WHEN o_orderkey%5=0 THEN 'renamed' ELSE concat('run-',o_orderkey%1000) END AS name, "
+        "CASE WHEN o_orderkey%9=0 THEN concat('run_',o_orderkey+1) WHEN o_orderkey%20=4 THEN concat('run_',o_orderkey) END AS parent_run_id FROM orders"),
+    "man_edges": (
+        "SELECT l_orderkey*100+seq AS row_index, CASE WHEN l_partkey%50=0 THEN NULL ELSE concat('job_',l_orderkey,'_',seq) END AS job_id, "
+        "CASE WHEN l_partkey%9=4 THEN concat('run_z',l_orderkey) ELSE concat('run_',l_orderkey) END AS run_id, CASE WHEN l_partkey%6<2 THEN 'train' WHEN l_partkey%6=2 THEN 'eval' WHEN l_partkey%6=3 THEN 'collect' "
+        "WHEN l_partkey%6=4 THEN 'analyze' ELSE 'other' END AS role, CASE WHEN l_partkey%7=1 THEN 'skipped' ELSE job_status END AS status FROM li_seq"),
+    "man_artifacts": (
+        "SELECT l_orderkey*100+seq AS row_index, CASE CAST(l_partkey%5 AS INT) WHEN 0 THEN 'checkpoint' WHEN 1 THEN 'plot' WHEN 2 THEN 'metric-table' WHEN 3 THEN 'nope' ELSE 'log' END AS type, a.uri, "
+        "CASE WHEN l_partkey%4=0 THEN concat('run_',l_orderkey) END AS run_id, CASE WHEN l_partkey%8=3 THEN concat('exp_',o_custkey) END AS experiment_id, CASE WHEN l_partkey%11=2 THEN true ELSE false END AS errata "
+        "FROM li_seq JOIN artifacts a ON a.id=concat('art_',l_orderkey,'_',seq)"),
+    "man_metrics": (
+        "SELECT l_orderkey*100+seq AS row_index, concat('run_',l_orderkey) AS run_id, CASE WHEN l_partkey%7=0 THEN 'eval/new' ELSE concat('eval/m',l_partkey%4) END AS metric_name, "
+        "CASE WHEN l_partkey%19=0 THEN 'oops' WHEN l_partkey%3=0 THEN CAST(l_partkey AS STRING) ELSE CAST(l_extendedprice AS STRING) END AS value, CASE WHEN seq%2=0 THEN CAST(seq AS STRING) END AS step, "
+        "CASE WHEN l_linenumber=1 THEN 'valid' END AS split, concat('job_',l_orderkey,'_',seq) AS source_job_id, CASE WHEN seq<=2 THEN concat('art_',l_orderkey,'_',seq) END AS source_artifact_id FROM li_seq"),
+    "man_notes": (
+        "SELECT doc_id AS row_index, CASE WHEN doc_id%2=0 THEN concat('note_',doc_id) ELSE concat('nn_',doc_id) END AS id, n.entity_type, n.entity_id, CASE WHEN doc_id%13=0 THEN 'poem' ELSE n.note_type END AS note_type, "
+        "CASE WHEN doc_id%4=0 THEN 'resolved' ELSE 'open' END AS status, CASE WHEN doc_id%17=0 THEN '  ' WHEN doc_id%19=0 THEN repeat('t',121) ELSE n.title END AS title, "
+        "CASE WHEN doc_id%23=1 THEN NULL ELSE n.body END AS body, CASE WHEN doc_id%29=2 THEN 'archive' ELSE 'upsert' END AS op, CASE WHEN doc_id%5=0 THEN true ELSE false END AS errata "
+        "FROM documents JOIN notes n ON n.id=concat('note_',doc_id)"),
+    "man_checks": (
+        "SELECT c_custkey*10+k AS row_index, 'experiment' AS entity_type, CASE WHEN c_custkey%31=0 THEN 'exp_none' ELSE concat('exp_',c_custkey) END AS entity_id, concat('check.c',k+1) AS check_name, "
+        "CASE WHEN (c_custkey+k)%23=0 THEN 'maybe' WHEN c_custkey%2=0 THEN 'pass' ELSE 'fail' END AS status, CASE WHEN c_custkey%6=0 THEN '[1]' WHEN c_custkey%6=1 THEN '{\"z\":1, \"a\":2}' END AS details_json, "
+        "CASE WHEN c_custkey%5=0 THEN concat('art_',c_custkey,'_1') END AS source_artifact_id, CASE WHEN c_custkey%7=3 THEN true ELSE false END AS errata "
+        "FROM customer CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks"),
+    "man_attrs": (
+        "SELECT o_orderkey AS row_index, CASE WHEN o_orderkey%5=0 THEN 'experiment' WHEN o_orderkey%5=1 THEN 'job' ELSE 'run' END AS entity_type, "
+        "CASE WHEN o_orderkey%5=0 THEN concat('exp_',o_custkey) WHEN o_orderkey%5=1 THEN concat('job_',o_orderkey,'_1') WHEN o_orderkey%17=2 THEN 'run_none' ELSE concat('run_',o_orderkey) END AS entity_id, "
+        "CASE WHEN o_orderkey%13=0 THEN '{\"Bad\":1}' WHEN o_orderkey%13=1 THEN NULL WHEN o_orderkey%13=2 THEN '{}' ELSE concat('{\"m.rank\":',o_orderkey%3,'}') END AS attrs_json FROM orders"),
+    "man_sync": (
+        "SELECT event_id AS row_index, CASE WHEN event_id%11=0 THEN NULL WHEN event_id%5=0 THEN 'sched' ELSE 'wandb' END AS target_system, "
+        "CASE WHEN event_id%10=1 THEN concat('ext-r',user_id*10+event_id%10) ELSE concat('t',user_id) END AS target_identifier, CASE WHEN event_id%9=0 THEN 'lost' ELSE 'synced' END AS status, "
+        "CASE WHEN event_id%3=0 THEN concat('k',event_id%300) END AS idempotency_key, CASE WHEN event_id%25=0 THEN 'writeback' END AS origin FROM events"),
 }
 _UNIONS.update(_RAW)
 
