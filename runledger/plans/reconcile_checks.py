@@ -127,7 +127,7 @@ RECONCILE = {
         WHEN trim(title) = '' THEN 'note title must not be empty' WHEN length(title) > 120 THEN 'note title is longer than 120 characters' WHEN existing_id IS NULL AND body IS NULL THEN 'new notes need a body'
         WHEN existing_id IS NOT NULL AND gone THEN 'notes of archived experiments cannot be updated' END AS error FROM plan_notes_src"""),
     "plan_validations": (_planned(rc.plan_validations, "man_checks"), f"""SELECT row_index, CASE WHEN errata AND existing_id IS NOT NULL THEN 'errata_replace' WHEN existing_id IS NULL THEN 'insert'
-        WHEN status <> old_status OR (source_artifact_id IS NOT NULL AND source_artifact_id <> old_src) OR details_json LIKE '{"%' THEN 'update' ELSE 'noop' END AS action,
+        WHEN status <> old_status OR (source_artifact_id IS NOT NULL AND source_artifact_id <> old_src) OR details_json LIKE '{{"%' THEN 'update' ELSE 'noop' END AS action,
         CASE WHEN errata THEN {_new('validations', 'val')} ELSE coalesce(existing_id, {_new('validations', 'val')}) END AS entity_id, existing_id,
         CASE WHEN status = 'maybe' THEN 'invalid validation status ''maybe''' WHEN target IS NULL THEN 'validation entity does not exist' WHEN target_del IS NOT NULL AND NOT errata THEN 'validation targets an archived experiment and needs errata'
         WHEN details_json = '[1]' THEN 'validation details must be an object' WHEN source_artifact_id IS NOT NULL AND source_artifact_id NOT IN (SELECT id FROM artifacts WHERE deleted_at IS NULL) THEN 'source artifact does not exist' END AS error
