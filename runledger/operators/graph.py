@@ -9,7 +9,7 @@ retries only shows up as a combined partial aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from runledger.ledger import Ledger
@@ -31,31 +31,42 @@ def edges(ledger: Ledger) -> DataFrame:
     return ledger.once("retry_edges", lambda: cut(retry_edges(ledger.table("jobs")), "retry-edges"))
 
 
-def ancestor_lists(edge_df: DataFrame, cap: int = RETRY_DEPTH_CAP) -> DataFrame:
-    """(id, parent, status, ancestors): up to ``cap`` ancestors per child, nearest first.
+def _double(state: DataFrame) -> DataFrame:
+    """Append to every list the list of its last pointer and move the pointer on."""
+    ahead = state.select(F.col("id").alias("ptr"), F.col("ancestors").alias("more"), F.col("ptr").alias("next_ptr"))
+    return state.join(ahead, "ptr", "left").select(
+        "id", "parent", "status",
+        F.when(F.col("more").isNull(), F.col("ancestors")).otherwise(F.concat("ancestors", "more")).alias("ancestors"),
+        F.col("next_ptr").alias("ptr"))
 
-    Arrays hold at most 32 ids whatever the data: one parent per job.
+
+def ancestor_state(edge_df: DataFrame, cap: int = RETRY_DEPTH_CAP) -> DataFrame:
+    """(id, parent, status, ancestors, ptr): up to ``cap`` ancestors per child, nearest first.
+
+    ``ptr`` is NULL once a chain ended; rows that still point on after 32 steps are in
+    or below a cycle, or sit in a chain deeper than 32.  Arrays hold at most 32 ids
+    whatever the data, as a job has one parent.  Two doublings share one write.
     """
     state = edge_df.select("id", "parent", "status", F.array("parent").alias("ancestors"), F.col("parent").alias("ptr"))
     span = 1
     while span < cap:
-        ahead = state.select(F.col("id").alias("ptr"), F.col("ancestors").alias("more"), F.col("ptr").alias("next_ptr"))
-        state = cut(
-            state.join(ahead, "ptr", "left").select(
-                "id", "parent", "status",
-                F.when(F.col("more").isNull(), F.col("ancestors")).otherwise(F.concat("ancestors", "more")).alias("ancestors"),
-                F.col("next_ptr").alias("ptr")),
-            "ancestors")
-        span *= 2
+        for _ in range(2):
+            if span < cap:
+                state, span = _double(state), span * 2
+        state = cut(state, "ancestors")
         if state.filter(F.col("ptr").isNotNull()).isEmpty():
             break
-    return state.select("id", "parent", "status", F.slice("ancestors", 1, cap).alias("ancestors"))
+    return state
+
+
+def ancestors(ledger: Ledger) -> DataFrame:
+    return ledger.once("ancestors", lambda: ancestor_state(edges(ledger)))
 
 
 def retry_recovery(ledger: Ledger) -> DataFrame:
     """Per ancestor: has a succeeded / active retry descendant within 32 steps, and the smallest such id."""
     def build() -> DataFrame:
-        lists = ancestor_lists(edges(ledger))
+        lists = ancestors(ledger)
         kinds = lists.filter(F.col("status").isin("succeeded", *ACTIVE_JOB_STATUSES))
         # On a cycle the walk comes back to the job itself; only a direct self retry counts.
         pairs = kinds.select(
@@ -98,30 +109,36 @@ def retry_depth(jobs: DataFrame) -> DataFrame:
         F.col("id").alias("job_id"), F.col("depth").alias("retry_depth"))
 
 
-def cycle_members(edge_df: DataFrame) -> DataFrame:
-    """(id, cycle_id): jobs lying on a retry cycle; cycle_id is the smallest member id."""
-    ptrs = edge_df.select("id", F.col("parent").alias("ptr"))
-    full = ptrs
-    while True:
-        ahead = ptrs.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
-        hopped = cut(ptrs.join(ahead, "ptr").select("id", F.col("ptr2").alias("ptr")), "cycle-hop")
-        before, after = ptrs.count(), hopped.count()
-        ptrs = hopped
-        if after == 0:
-            return edge_df.sparkSession.createDataFrame([], "id string, cycle_id string")
+def _hop(ptrs: DataFrame) -> DataFrame:
+    ahead = ptrs.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
+    return ptrs.join(ahead, "ptr").select("id", F.col("ptr2").alias("ptr"))
+
+
+def cycle_members(edge_df: DataFrame, far: DataFrame | None = None) -> DataFrame:
+    """(id, cycle_id): jobs lying on a retry cycle; cycle_id is the smallest member id.
+
+    ``far``: (id, ptr) jumps of 32 steps where known; a sound ledger has none and is done at once.
+    """
+    none = edge_df.sparkSession.createDataFrame([], "id string, cycle_id string")
+    single = edge_df.select("id", F.col("parent").alias("ptr"))
+    ptrs = single if far is None else far
+    before = ptrs.count()
+    while before:
+        # two squarings per write; only rows in or below cycles survive in the end
+        ptrs = cut(_hop(_hop(ptrs)), "cycle-hop")
+        after = ptrs.count()
         if after == before:
             break
-    # Only rows in or below cycles are left; the images of far jumps settle on the cycles themselves.
+        before = after
+    if not before:
+        return none
+    # images of far jumps settle on the cycles themselves
     images = -1
-    while True:
-        count = ptrs.select("ptr").distinct().count()
-        if count == images:
-            break
+    while (count := ptrs.select("ptr").distinct().count()) != images:
         images = count
-        ahead = ptrs.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
-        ptrs = cut(ptrs.join(ahead, "ptr").select("id", F.col("ptr2").alias("ptr")), "cycle-image")
+        ptrs = cut(_hop(ptrs), "cycle-image")
     members = cut(ptrs.select(F.col("ptr").alias("id")).distinct(), "cycle-members")
-    state = full.join(members, "id", "left_semi").select("id", "ptr", F.least("id", "ptr").alias("low"))
+    state = single.join(members, "id", "left_semi").select("id", "ptr", F.least("id", "ptr").alias("low"))
     previous = None
     while True:
         state = cut(state, "cycle-low")
@@ -134,12 +151,15 @@ def cycle_members(edge_df: DataFrame) -> DataFrame:
 
 
 def cycles(ledger: Ledger) -> DataFrame:
-    return ledger.once("retry_cycles", lambda: cycle_members(edges(ledger)))
+    def build() -> DataFrame:
+        far = ancestors(ledger).filter(F.col("ptr").isNotNull()).select("id", "ptr")
+        return cycle_members(edges(ledger), far)
+    return ledger.once("retry_cycles", build)
 
 
 def subtree_summary(edge_df: DataFrame) -> DataFrame:
-    """(id, depth, success) over an acyclic edge set: height of the subtree below each
-    job and whether a succeeded job is in it (itself included).  Any depth."""
+    """(id, depth, success) over an acyclic edge set of any depth: height of the subtree below
+    each job and whether a succeeded job is in it (a child itself included)."""
     nodes = edge_df.select("id", F.col("parent").alias("ptr"), (F.col("status") == "succeeded").alias("success"))
     roots = edge_df.select(F.col("parent").alias("id")).distinct().join(edge_df.select("id"), "id", "left_anti")
     state = cut(nodes.unionByName(roots.select("id", F.lit(None).cast("string").alias("ptr"), F.lit(False).alias("success")))
@@ -162,10 +182,18 @@ def retry_heights(ledger: Ledger) -> DataFrame:
     """(id, depth, success): longest retry descent below each job and whether any
     descendant succeeded, uncapped.  Cycle members see the whole cycle once."""
     edge_df = edges(ledger)
-    ring = cycles(ledger)
-    on_ring = ring.select("id", "cycle_id")
-    tree_edges = edge_df.join(on_ring, "id", "left_anti")
-    trees = subtree_summary(tree_edges)
+    on_ring = cycles(ledger)
+    lists = ancestors(ledger).join(on_ring.select("id"), "id", "left_anti")
+    steps = lists.select("id", "status", F.col("ptr").isNotNull().alias("endless"), F.posexplode("ancestors").alias("pos", "anc"))
+    # A list that runs into a cycle counts up to its first member; one that goes on past 32 steps without is deep.
+    entry = steps.filter("endless").join(on_ring.select(F.col("id").alias("anc")), "anc", "left_semi").groupBy("id").agg(F.min("pos").alias("entry"))
+    deep = lists.filter(F.col("ptr").isNotNull()).join(entry, "id", "left_anti")
+    if deep.isEmpty():
+        within = steps.join(entry, "id", "left").filter(F.col("entry").isNull() | (F.col("pos") <= F.col("entry")))
+        trees = cut(within.groupBy(F.col("anc").alias("id")).agg(
+            (F.max("pos") + 1).alias("depth"), F.max(F.col("status") == "succeeded").alias("success")), "retry-heights")
+    else:
+        trees = subtree_summary(edge_df.join(on_ring, "id", "left_anti"))
     plain = trees.join(on_ring, "id", "left_anti").select("id", "depth", "success")
     if on_ring.isEmpty():
         return plain
@@ -182,7 +210,6 @@ def retry_heights(ledger: Ledger) -> DataFrame:
     ranked = state.join(trees.select("id", "depth", F.col("success").alias("tree_success")), "id", "left").select(
         "id", "cycle_id", "pos", F.coalesce("depth", F.lit(0)).alias("depth"),
         (F.col("succeeded") | F.coalesce("tree_success", F.lit(False))).alias("success"))
-    from pyspark.sql import Window as W
     w = W.partitionBy("cycle_id").orderBy("pos")
     reach = F.col("pos") + F.col("depth")
     ahead_max = F.max(reach).over(w.rowsBetween(0, W.unboundedFollowing)) - F.col("pos")
