@@ -311,10 +311,10 @@ def _target_state(l: Ledger, df: DataFrame, type_col: str, id_col: str) -> DataF
     return union_all([*parts, rest])
 
 
-PLAN_SUFFIX = ["row_index", "action", "entity_id", "existing_id", "diff_json", "input_json", "error", "op", "errata", "old"]
+PLAN_SUFFIX = ["row_index", "action", "target_id", "existing_id", "diff_json", "input_json", "error", "op", "errata", "old"]
 
 
-def _finish(section: str, df: DataFrame, checks: list[Column], entity_id: Column, extra_diff: dict[str, Column] | None = None, errata_replace: Column | None = None) -> DataFrame:
+def _finish(section: str, df: DataFrame, checks: list[Column], target_id: Column, extra_diff: dict[str, Column] | None = None, errata_replace: Column | None = None) -> DataFrame:
     """Common tail of a section plan: error, diff, action, log texts."""
     exists = F.col("existing_id").isNotNull()
     archive = F.col("op") == "archive"
@@ -323,9 +323,9 @@ def _finish(section: str, df: DataFrame, checks: list[Column], entity_id: Column
     replace = F.coalesce(errata_replace, F.lit(False)) if errata_replace is not None else F.lit(False)
     action = (F.when(archive, F.when(F.col("old.deleted_at").isNotNull(), "noop").otherwise("archive"))
               .when(replace, "errata_replace").when(~exists, "insert").when(diff == "{}", "noop").otherwise("update"))
-    out = df.withColumn("error", error).withColumn("action", action).withColumn("entity_id", F.when(archive, F.col("existing_id")).otherwise(entity_id))
+    out = df.withColumn("error", error).withColumn("action", action).withColumn("target_id", F.when(archive, F.col("existing_id")).otherwise(target_id))
     shown = (F.when(F.col("action") == "update", diff)
-             .when(F.col("action") == "errata_replace", F.concat(F.lit('{"replaces":'), F.to_json(F.array("existing_id", "entity_id")), F.lit("}"))).otherwise("{}"))
+             .when(F.col("action") == "errata_replace", F.concat(F.lit('{"replaces":'), F.to_json(F.array("existing_id", "target_id")), F.lit("}"))).otherwise("{}"))
     return out.withColumn("diff_json", shown).withColumn("input_json", input_json(section, df)).select(
         *PLAN_SUFFIX, *[c for c in MANIFEST_FIELDS[section] if c != "id"], *(["_present"] if "_present" in df.columns else []))
 
@@ -476,9 +476,9 @@ def plan_custom_attributes(l: Ledger, manifest: DataFrame) -> DataFrame:
                        F.when(F.col("found").isNull(), "custom attribute target not found"),
                        F.when(F.col("attrs_json").isNull() | ~is_json_object(F.col("attrs_json")), "custom attributes need an attrs object"), v.attr_keys("attrs_json"),
                        F.when(F.col("entity_type") == "metric", "metrics carry no attributes"))
-    return df.select("row_index", F.when(merged == before, "noop").otherwise("update").alias("action"), "entity_id", F.col("entity_id").alias("existing_id"),
+    return df.select("row_index", F.when(merged == before, "noop").otherwise("update").alias("action"), F.col("entity_id").alias("target_id"), F.col("entity_id").alias("existing_id"),
                      F.when(error.isNotNull() | (merged == before), "{}").otherwise(F.concat(F.lit('{"attrs":['), before, F.lit(","), merged, F.lit("]}"))).alias("diff_json"),
-                     input_json("custom_attributes", rows).alias("input_json"), error.alias("error"), "op", "errata", "entity_type", "attrs_json")
+                     input_json("custom_attributes", rows).alias("input_json"), error.alias("error"), "op", "errata", "entity_type", "entity_id", "attrs_json")
 
 
 def plan_sync_events(l: Ledger, manifest: DataFrame) -> DataFrame:
@@ -498,7 +498,7 @@ def plan_sync_events(l: Ledger, manifest: DataFrame) -> DataFrame:
                        F.when(extra_key, "manifests cannot set writeback provenance"), v.choice("status", schemas.SYNC_STATUSES, "sync event status"),
                        F.when(F.col("attrs_json").isNotNull() & ~is_json_object(F.col("attrs_json")), "sync event attrs must be an object"), v.attr_keys("attrs_json"))
     sid = F.coalesce("existing_id", F.nullif("id", F.lit("")), new_id("sync_events", str(l.as_of)))
-    return df.select("row_index", F.when(F.col("existing_id").isNotNull(), "noop").otherwise("sync_event").alias("action"), sid.alias("entity_id"), "existing_id",
+    return df.select("row_index", F.when(F.col("existing_id").isNotNull(), "noop").otherwise("sync_event").alias("action"), sid.alias("target_id"), "existing_id",
                      F.lit("{}").alias("diff_json"), input_json("sync_events", rows).alias("input_json"), error.alias("error"), "op", "errata",
                      *[c for c in MANIFEST_FIELDS["sync_events"] if c != "id"])
 
@@ -515,7 +515,7 @@ class Plan:
 
     @property
     def operations(self) -> DataFrame:
-        return union_all([df.select(F.lit(s).alias("section"), "action", "entity_id", F.col("row_index").cast("string").alias("row_index"), "input_json", "diff_json", "error")
+        return union_all([df.select(F.lit(s).alias("section"), "action", F.col("target_id").alias("entity_id"), F.col("row_index").cast("string").alias("row_index"), "input_json", "diff_json", "error")
                           for s, df in self.sections.items()])
 
     @property
@@ -535,7 +535,7 @@ def _duplicate_errors(section: str, df: DataFrame) -> DataFrame:
     fresh = df.filter(F.col("action").isin("insert", "errata_replace"))
     keys = {"metrics": ["run_id", "metric_name", "step", "split", "source_job_id", "source_artifact_id"], "artifacts": ["uri"], "validations": ["entity_type", "entity_id", "check_name"],
             "runs": ["external_system", "external_id"], "jobs": ["external_system", "external_id"]}
-    parts = [fresh.groupBy("entity_id").agg(F.count("*").alias("n"), F.min("row_index").alias("row_index")).filter("n > 1").select("row_index", F.lit("duplicate id in manifest").alias("error"))]
+    parts = [fresh.groupBy("target_id").agg(F.count("*").alias("n"), F.min("row_index").alias("row_index")).filter("n > 1").select("row_index", F.lit("duplicate id in manifest").alias("error"))]
     if section in keys:
         cols = keys[section]
         whole = fresh.filter(F.col("external_system").isNotNull() & F.col("external_id").isNotNull()) if "external_id" in cols else fresh
@@ -548,7 +548,7 @@ def validate_retry_graph(l: Ledger, job_plan: DataFrame | None = None) -> DataFr
     """(job_id, error) over ledger and manifest together.  A manifest row without retry_of clears the parent."""
     live = l.active("jobs").select(F.col("id").alias("job_id"), "retry_of")
     if job_plan is not None:
-        said = job_plan.filter(F.col("action").isin("insert", "update", "noop") & (F.col("op") != "archive")).groupBy(F.col("entity_id").alias("job_id")).agg(
+        said = job_plan.filter(F.col("action").isin("insert", "update", "noop") & (F.col("op") != "archive")).groupBy(F.col("target_id").alias("job_id")).agg(
             F.max_by(F.struct("retry_of"), "row_index").alias("m")).select("job_id", F.col("m.retry_of").alias("retry_of"))
         live = live.join(said.select("job_id"), "job_id", "left_anti").unionByName(said)
     live = cut(live, "retry-graph")
@@ -667,7 +667,7 @@ def _inserted_rows(l: Ledger, section: str, ops: DataFrame, stamp_cols: tuple[st
     cols = []
     for name, _kind, _null in schemas.columns(section):
         if name == "id":
-            col = F.col("entity_id")
+            col = F.col("target_id")
         elif name in stamp_cols:
             col = l.now
         elif name == "attrs_json":
@@ -762,7 +762,7 @@ def link_experiment_runs(l: Ledger, run_plan: DataFrame) -> DataFrame:
     """Bridge table plus missing links of planned runs that name an experiment."""
     bridge = l.table("experiment_runs")
     fresh = run_plan.filter(F.col("action").isin("insert", "update") & F.col("experiment_id").isNotNull()).select(
-        "experiment_id", F.col("entity_id").alias("run_id")).distinct()
+        "experiment_id", F.col("target_id").alias("run_id")).distinct()
     return bridge.unionByName(fresh.join(bridge.select("experiment_id", "run_id"), ["experiment_id", "run_id"], "left_anti").withColumn("created_at", l.now))
 
 
@@ -782,7 +782,7 @@ def apply_plan(l: Ledger, the_plan: Plan, source: str, experiment_id: str | None
     tables["reconcile_events"] = l.table("reconcile_events").unionByName(conform(event, "reconcile_events"))
     tables["reconcile_operations"] = l.table("reconcile_operations").unionByName(conform(ops, "reconcile_operations"))
     if "sync_events" in tables:
-        fresh = the_plan.sections["sync_events"].filter(F.col("action") == "sync_event").select(F.col("entity_id").alias("id"), F.lit(True).alias("_new"))
+        fresh = the_plan.sections["sync_events"].filter(F.col("action") == "sync_event").select(F.col("target_id").alias("id"), F.lit(True).alias("_new"))
         tables["sync_events"] = tables["sync_events"].join(fresh, "id", "left").withColumn(
             "reconcile_event_id", F.when(F.col("_new"), event_id).otherwise(F.col("reconcile_event_id"))).drop("_new").select(*l.table("sync_events").columns)
     return l.with_tables(**tables)
