@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from runledger.functions import text as tx
 from runledger.functions.attrs import attr_kind, attr_number, attr_text
 from runledger.ledger import Ledger
-from runledger.operators.ownership import artifact_experiments, owner_experiments, zero
+from runledger.lineage import cut
+from runledger.operators.ownership import artifact_counts, artifact_experiments, zero
 from runledger.operators.views import active_links
 from runledger.schemas import ATTR_LOCAL_MTIME, ATTR_LOCAL_PATH, ATTR_LOCAL_SIZE
 
@@ -64,9 +65,14 @@ def stale_validations(l: Ledger) -> DataFrame:
         (F.col("source_drifted") == 1) | (F.col("source_updated_at") > F.col("updated_at"))).select(_STALE_COLUMNS)
 
 
+def drift_owners(l: Ledger) -> DataFrame:
+    """(artifact_id, experiment_id) of drifted artifacts only; small against all artifacts, stored once."""
+    return l.once("drift_owners", lambda: cut(artifact_experiments(l, only=cut(drifted_artifacts(l).select("artifact_id"), "drifted")), "drift-owners"))
+
+
 def experiment_stale_validations(l: Ledger) -> DataFrame:
     """Same for validations directly on experiments; drift counts only for the experiment's own artifacts."""
-    own = drifted_artifacts(l).select("artifact_id").join(artifact_experiments(l), "artifact_id").select(
+    own = drift_owners(l).select(
         F.col("artifact_id").alias("source_artifact_id"), F.col("experiment_id").alias("entity_id"), F.lit(1).alias("source_drifted"))
     checks = _validation_sources(l).filter(F.col("entity_type") == "experiment")
     return checks.join(own, ["source_artifact_id", "entity_id"], "left").withColumn(
@@ -74,18 +80,10 @@ def experiment_stale_validations(l: Ledger) -> DataFrame:
         (F.col("source_drifted") == 1) | (F.col("source_updated_at") > F.col("updated_at"))).select(_STALE_COLUMNS)
 
 
-def artifact_counts(l: Ledger) -> DataFrame:
-    """Active artifacts per experiment over all four owner paths, each counted once."""
-    triples = l.active("artifacts").groupBy("experiment_id", "run_id", "job_id").agg(F.count("*").alias("n"))
-    owners = owner_experiments(l, triples)
-    on = [triples[c].eqNullSafe(owners[f"owner_{c}"]) for c in ("experiment_id", "run_id", "job_id")]
-    return triples.join(owners, on).groupBy(owners["resolved_id"].alias("experiment_id")).agg(F.sum("n").alias("artifact_count"))
-
-
 def experiment_freshness(l: Ledger, stale_hours: float = 24.0) -> DataFrame:
     """Drift counts and handoff status of every experiment."""
     eid = F.col("entity_id").alias("experiment_id")
-    drift = drifted_artifacts(l).select("artifact_id").join(artifact_experiments(l), "artifact_id").groupBy("experiment_id").agg(
+    drift = drift_owners(l).groupBy("experiment_id").agg(
         F.count("*").alias("drifted_artifact_count"))
     stale = experiment_stale_validations(l).groupBy(eid).agg(F.count("*").alias("stale_validation_count"))
     notes = l.active("notes").filter(F.col("entity_type") == "experiment").groupBy(eid).agg(

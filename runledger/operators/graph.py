@@ -73,12 +73,12 @@ def retry_recovery(ledger: Ledger) -> DataFrame:
             F.explode(F.array_distinct("ancestors")).alias("root_id"), "id", "parent",
             (F.col("status") == "succeeded").alias("success"),
         ).filter((F.col("root_id") != F.col("id")) | (F.col("parent") == F.col("id")))
-        return cut(pairs.groupBy("root_id").agg(
+        return pairs.groupBy("root_id").agg(
             F.max(F.col("success").cast("int")).alias("has_success_descendant"),
             F.max((~F.col("success")).cast("int")).alias("has_active_descendant"),
             F.min(F.when(F.col("success"), F.col("id"))).alias("success_descendant_id"),
             F.min(F.when(~F.col("success"), F.col("id"))).alias("active_descendant_id"),
-        ), "retry-recovery")
+        )
     return ledger.once("retry_recovery", build)
 
 

@@ -47,33 +47,67 @@ def job_experiments(ledger: Ledger, variant: str = "owner", only: DataFrame | No
     return direct.unionByName(via_run.join(runs, "run_id").select("job_id", "experiment_id")).distinct()
 
 
-def artifact_experiments(ledger: Ledger, variant: str = "owner") -> DataFrame:
+def _expand_owners(ledger: Ledger, df: DataFrame, keys: list[str], narrow: bool) -> DataFrame:
+    """Experiments of rows with own experiment_id, run_id and job_id columns (owner variant).
+
+    One look-up fetches the job's experiment and run; then at most two direct ids and
+    two runs per row fan out.  Direct pairs are distinct by construction, linked pairs
+    leave out what is direct already, so only those need deduplication.
+    """
+    jobs = ledger.table("jobs").select(F.col("id").alias("job_id"), F.col("experiment_id").alias("_je"), F.col("run_id").alias("_jr"))
+    if narrow:
+        jobs = jobs.join(df.select("job_id").filter("job_id IS NOT NULL"), "job_id", "left_semi")
+
+    def pair(a: str, b: str) -> Column:
+        return F.array_distinct(F.filter(F.array(a, b), lambda x: x.isNotNull()))
+
+    rows = df.join(jobs, "job_id", "left").select(*[F.col(k) for k in keys], pair("experiment_id", "_je").alias("_direct"), pair("run_id", "_jr").alias("_runs"))
+    links = ledger.table("experiment_runs").select(F.col("run_id").alias("_run"), F.col("experiment_id").alias("resolved_id"))
+    direct = rows.select(*keys, F.explode("_direct").alias("resolved_id"))
+    linked = rows.select(*keys, "_direct", F.explode("_runs").alias("_run")).join(links, "_run").filter(
+        ~F.array_contains("_direct", F.col("resolved_id"))).select(*keys, "resolved_id").distinct()
+    return direct.unionByName(linked)
+
+
+def artifact_experiments(ledger: Ledger, variant: str = "owner", only: DataFrame | None = None) -> DataFrame:
     """(artifact_id, experiment_id) pairs over the direct, run and job paths, distinct.
 
-    Artifacts of the same owner triple share their experiments, so the paths are
-    followed once per distinct triple and only then spread to the artifacts.
+    ``only`` (ids as ``artifact_id``) resolves just those artifacts.
     """
     arts = ledger.table("artifacts").select(F.col("id").alias("artifact_id"), "experiment_id", "run_id", "job_id")
-    triple = owner_experiments(ledger, arts.select("experiment_id", "run_id", "job_id").distinct(), variant)
-    on = [arts[c].eqNullSafe(triple[f"owner_{c}"]) for c in ("experiment_id", "run_id", "job_id")]
-    return arts.join(triple, on).select("artifact_id", triple["resolved_id"].alias("experiment_id"))
+    if only is not None:
+        arts = arts.join(only.select("artifact_id"), "artifact_id", "left_semi")
+    if variant == "owner":
+        return _expand_owners(ledger, arts, ["artifact_id"], only is not None).withColumnRenamed("resolved_id", "experiment_id")
+    runs = run_experiments(ledger, variant)
+    jobs = job_experiments(ledger, variant)
+    return union_all([
+        arts.filter(F.col("experiment_id").isNotNull()).select("artifact_id", "experiment_id"),
+        arts.select("artifact_id", "run_id").join(runs, "run_id").select("artifact_id", "experiment_id"),
+        arts.select("artifact_id", "job_id").join(jobs, "job_id").select("artifact_id", "experiment_id"),
+    ]).distinct()
 
 
-def owner_experiments(ledger: Ledger, triples: DataFrame, variant: str = "owner", narrow: bool = False) -> DataFrame:
-    """Resolve (experiment_id, run_id, job_id) owner triples to experiments.
+def owner_experiments(ledger: Ledger, triples: DataFrame, narrow: bool = False) -> DataFrame:
+    """Resolve distinct (experiment_id, run_id, job_id) owner triples to experiments.
 
     ``narrow``: the triples are few against the jobs, so look up only their jobs.
     """
-    keys = triples.select(*[F.col(c).alias(f"owner_{c}") for c in ("experiment_id", "run_id", "job_id")])
-    runs = run_experiments(ledger, variant).select(F.col("run_id").alias("owner_run_id"), F.col("experiment_id").alias("resolved_id"))
-    only = triples.select(F.col("job_id").alias("id")).filter("id IS NOT NULL") if narrow else None
-    jobs = job_experiments(ledger, variant, only).select(F.col("job_id").alias("owner_job_id"), F.col("experiment_id").alias("resolved_id"))
-    cols = [*keys.columns, "resolved_id"]
-    return union_all([
-        keys.filter(F.col("owner_experiment_id").isNotNull()).withColumn("resolved_id", F.col("owner_experiment_id")).select(cols),
-        keys.join(runs, "owner_run_id").select(cols),
-        keys.join(jobs, "owner_job_id").select(cols),
-    ]).distinct()
+    keys = [F.col(c).alias(f"owner_{c}") for c in ("experiment_id", "run_id", "job_id")]
+    df = triples.select(*keys, "experiment_id", "run_id", "job_id")
+    return _expand_owners(ledger, df, ["owner_experiment_id", "owner_run_id", "owner_job_id"], narrow)
+
+
+def artifact_counts(ledger: Ledger) -> DataFrame:
+    """Active artifacts per experiment over all owner paths, each counted once.
+
+    Artifacts are first combined per owner triple, so a run or job holding a large
+    share of them is followed as one row.
+    """
+    triples = ledger.active("artifacts").groupBy("experiment_id", "run_id", "job_id").agg(F.count("*").alias("n"))
+    keyed = triples.select(F.col("n"), *[F.col(c).alias(f"owner_{c}") for c in ("experiment_id", "run_id", "job_id")], "experiment_id", "run_id", "job_id")
+    spread = _expand_owners(ledger, keyed, ["n", "owner_experiment_id", "owner_run_id", "owner_job_id"], False)
+    return spread.groupBy(F.col("resolved_id").alias("experiment_id")).agg(F.sum("n").alias("artifact_count"))
 
 
 def entity_experiments(ledger: Ledger, variant: str = "owner") -> DataFrame:

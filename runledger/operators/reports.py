@@ -343,7 +343,7 @@ def apply_cleanup(l: Ledger, plan: DataFrame | None = None) -> dict[str, DataFra
 def handoff_notes(l: Ledger, stale_hours: float = 24.0) -> DataFrame:
     """One checkpoint note row per active experiment with its freshness figures and up to 5 examples each."""
     examples = 5
-    drift = top_n(freshness.drifted_artifacts(l).select("artifact_id", "uri", "drift_kind", "updated_at").join(artifact_experiments(l), "artifact_id"),
+    drift = top_n(freshness.drifted_artifacts(l).select("artifact_id", "uri", "drift_kind", "updated_at").join(freshness.drift_owners(l), "artifact_id"),
                   ["experiment_id"], [F.desc("updated_at"), F.col("artifact_id")], examples).groupBy("experiment_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("- `"), "artifact_id", F.lit("` "), "uri", F.lit(" ("), "drift_kind", F.lit(")")).alias("line")))).alias("drift"))
     checks = top_n(freshness.experiment_stale_validations(l).withColumnRenamed("entity_id", "experiment_id"), ["experiment_id"],

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from runledger.functions import text as tx
 from runledger.ledger import Ledger
 from runledger.operators import graph
-from runledger.operators.ownership import artifact_experiments, count_if, flag, owner_experiments, zero
-from runledger.schemas import ATTR_REQUIRED_METRICS, TERMINAL_JOB_STATUSES, UNCERTAIN_JOB_STATUSES  # noqa: F401
+from runledger.operators.ownership import artifact_counts, artifact_experiments, count_if, flag, zero
+from runledger.schemas import ATTR_REQUIRED_METRICS, UNCERTAIN_JOB_STATUSES
 
 ATTENTION_STATUSES = ["submitting", "unknown_submit", "queued", "running", "failed"]
 TRACKER = "wandb"
@@ -163,11 +163,7 @@ def experiment_summary(l: Ledger) -> DataFrame:
                   .groupBy("experiment_id").agg(F.sum("n").alias("job_count"), F.sum("nf").alias("failed_job_count"),
                                                 F.sum("nr").alias("running_job_count")))
 
-    triples = l.active("artifacts").groupBy("experiment_id", "run_id", "job_id").agg(F.count("*").alias("n"))
-    owners = owner_experiments(l, triples)
-    on = [triples[c].eqNullSafe(owners[f"owner_{c}"]) for c in ("experiment_id", "run_id", "job_id")]
-    art_counts = triples.join(owners, on).groupBy(owners["resolved_id"].alias("experiment_id")).agg(
-        F.sum("n").alias("artifact_count"))
+    art_counts = artifact_counts(l)
 
     metric_counts = l.active("metrics").groupBy("run_id").agg(F.count("*").alias("n")).join(links, "run_id").groupBy(
         "experiment_id").agg(F.sum("n").alias("metric_count"))

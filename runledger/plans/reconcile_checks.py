@@ -10,7 +10,7 @@ from runledger.plans.checking import register
 from runledger.schemas import NOTE_TYPES
 
 _NEW = "'{p}_' || substr(sha256('{s}|2001-12-01 00:00:00|' || m.row_index), 1, 26)"
-_PLAN_COLS = ["row_index", "action", F.col("target_id").alias("entity_id"), "existing_id", "error"]
+_PLAN_COLS = ["row_index", "action", "target_id AS entity_id", "existing_id", "error"]
 _GONE = "(SELECT id FROM experiments WHERE deleted_at IS NOT NULL)"
 
 
@@ -19,7 +19,7 @@ def _new(section, prefix):
 
 
 def _planned(fn, table, *extra):
-    return lambda l: fn(l, l.tables[table]).select(*_PLAN_COLS, *extra)
+    return lambda l: fn(l, l.tables[table]).selectExpr(*_PLAN_COLS, *extra)
 
 
 register("plan_j", """
@@ -138,11 +138,11 @@ RECONCILE = {
         CASE WHEN coalesce(m.attrs_json, '{}') = '{}' OR t.id IS NULL OR m.attrs_json LIKE '%Bad%' THEN '{}' ELSE '{"attrs":[' || t.base || ',' || CASE WHEN t.base = '{}' THEN m.attrs_json WHEN m.attrs_json LIKE '%Bad%' THEN '{"Bad":1,' || t.base[2:] ELSE m.attrs_json[:-2] || ',' || t.base[2:] END || ']}' END AS diff_json
         FROM man_attrs m LEFT JOIN (SELECT 'run' AS k, id, '{}' AS base FROM runs UNION ALL SELECT 'job', id, '{}' FROM jobs
          UNION ALL SELECT 'experiment', id, CASE WHEN attrs_json LIKE '{"%' THEN attrs_json ELSE '{}' END FROM experiments) t ON t.k = m.entity_type AND t.id = m.entity_id"""),
-    "plan_sync_events": (lambda l: rc.plan_sync_events(l, l.tables["man_sync"]).select(*_PLAN_COLS), f"""SELECT m.row_index, CASE WHEN x.id IS NULL THEN 'sync_event' ELSE 'noop' END AS action,
+    "plan_sync_events": (lambda l: rc.plan_sync_events(l, l.tables["man_sync"]).selectExpr(*_PLAN_COLS), f"""SELECT m.row_index, CASE WHEN x.id IS NULL THEN 'sync_event' ELSE 'noop' END AS action,
         coalesce(x.id, {_new('sync_events', 'sync')}) AS entity_id, x.id AS existing_id, CASE WHEN m.target_system IS NULL THEN 'missing required field ''target_system''' WHEN origin = 'writeback' THEN 'manifests cannot add writeback events'
         WHEN m.status = 'lost' THEN 'invalid sync event status ''lost''' END AS error FROM man_sync m LEFT JOIN (SELECT target_system, coalesce(target_identifier, '') AS ti, idempotency_key, min(id) AS id FROM sync_events
         WHERE origin = 'manifest' AND idempotency_key IS NOT NULL GROUP BY ALL) x ON x.target_system = m.target_system AND x.ti = coalesce(m.target_identifier, '') AND x.idempotency_key = m.idempotency_key"""),
-    "plan_archive": (lambda l: rc.plan_jobs(l, l.tables["man_jobs"].withColumn("op", F.lit("archive"))).select(*_PLAN_COLS), """SELECT row_index, CASE WHEN old_del IS NOT NULL THEN 'noop' ELSE 'archive' END AS action, existing_id AS entity_id, existing_id,
+    "plan_archive": (lambda l: rc.plan_jobs(l, l.tables["man_jobs"].withColumn("op", F.lit("archive"))).selectExpr(*_PLAN_COLS), """SELECT row_index, CASE WHEN old_del IS NOT NULL THEN 'noop' ELSE 'archive' END AS action, existing_id AS entity_id, existing_id,
         CASE WHEN existing_id IS NULL THEN 'row to archive not found' END AS error FROM plan_jobs_all"""),
     "match_existing": (lambda l: rc.match_existing(l, "runs", rc.normalize("runs", l.tables["man_runs"])), "SELECT row_index, existing_id FROM plan_runs_all WHERE existing_id IS NOT NULL"),
     "dedupe_external": (_dedupe, """SELECT min(row_index) AS row_index, 'd' || CAST(row_index // 4 AS BIGINT) AS external_id, arg_max(name, row_index) AS name, arg_max(experiment_id, row_index) AS experiment_id,

@@ -15,6 +15,8 @@ def local_session(cores: int = 8, app: str = "runledger", memory: str = "8g") ->
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # column call sites are only for error messages and slow plan building several times
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
