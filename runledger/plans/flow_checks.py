@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runledger.operators import exports, writeback
+from runledger.operators import exports, freshness, writeback
 from runledger.plans.checking import register
-from runledger.sources import ingest
+from runledger.schemas import TABLES
+from runledger.sources import ingest, store
 
 _M = ["eval/m0", "eval/m1", "eval/none"]
 
@@ -103,6 +104,11 @@ def _record(l):
 
 
 FLOWS = {
+    "table_counts": (store.table_counts, " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES)),
+    "capture_metadata": (lambda l: freshness.capture_metadata(l).select("id", F.get_json_object("attrs_json", "$['ledger.local_size_at_capture']").cast("bigint").alias("size"),
+                                                                       F.get_json_object("attrs_json", "$['ledger.local_path_at_capture']").alias("path"), "updated_at"),
+        """SELECT a.id, CAST(f.size AS BIGINT) AS size, f.path, :as_of AS updated_at FROM artifacts a JOIN seen_files f ON f.path = CASE WHEN a.uri ILIKE 'file://%' THEN rtrim(substr(a.uri, 8), '/')
+        WHEN regexp_matches(a.uri, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE rtrim(a.uri, '/') END WHERE a.deleted_at IS NULL"""),
     "export_metrics_long": (exports.export_metrics_long, "SELECT * FROM long_rows"),
     "export_metrics_long_named": (lambda l: exports.export_metrics_long(l, ["eval/m1", "eval/m3"]), "SELECT * FROM long_rows WHERE metric_name IN ('eval/m1', 'eval/m3')"),
     "export_runs_wide": (lambda l: exports.export_runs_wide(l, columns=_WIDE, check=False), _wide_sql(_WIDE, "(" + _WCOL + ")")),

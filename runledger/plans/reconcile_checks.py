@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runledger.functions import validate as v
+from runledger.lineage import cut
 from runledger.operators import reconcile as rc
 from runledger.plans.checking import register
 from runledger.schemas import NOTE_TYPES
@@ -48,7 +49,7 @@ def _actions(l):
 
 def _apply(section, fn, table):
     def run(l):
-        good = fn(l, l.tables[table]).filter("error IS NULL")
+        good = cut(fn(l, l.tables[table]).filter("error IS NULL"), "checked-plan")
         return rc.apply_updates(l, rc.Plan({section: good}, None))[section]
     return run
 

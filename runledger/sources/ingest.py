@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from runledger.functions import validate as v
 from runledger.functions.attrs import canonical_object
 from runledger.ledger import Ledger
+from runledger.lineage import cut
 from runledger.schemas import ARTIFACT_TYPES, JOB_STATUSES, RUN_STATUSES
 
 SECTIONS = ["runs", "jobs", "artifacts", "metrics", "notes", "validations", "custom_attributes", "sync_events"]
@@ -94,6 +95,9 @@ def _first_error(checks: list[Column]) -> Column:
 
 
 def _split(adapter: str, rows: DataFrame, emit) -> Ingest:
+    """Good rows to sections, bad ones to skipped.  The parsed rows are stored once: sections, skipped
+    rows and summary all read them, and a pushed-down error filter would repeat the parsing."""
+    rows = cut(rows, f"ingest-{adapter}")
     good = rows.filter(F.col("error").isNull())
     skipped = rows.filter(F.col("error").isNotNull()).select(
         "row_index", F.lit("error").alias("severity"), F.col("error").alias("message"), F.col("source_row"))
