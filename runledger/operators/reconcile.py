@@ -20,7 +20,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from runledger import schemas
 from runledger.functions import validate as v
@@ -505,9 +504,6 @@ def plan_sync_events(l: Ledger, manifest: DataFrame) -> DataFrame:
 
 # --- the whole plan -----------------------------------------------------------------
 
-OPERATION_COLUMNS = ["section", "action", "entity_id", "row_index", "input_json", "diff_json", "error"]
-
-
 @dataclass
 class Plan:
     sections: dict[str, DataFrame]
@@ -719,7 +715,6 @@ def apply_updates(l: Ledger, the_plan: Plan) -> dict[str, DataFrame]:
             tables[section] = table.unionByName(_inserted_rows(l, section, fresh))
             continue
         archived = ops.filter(F.col("action").isin("archive", "errata_replace"))
-        gone = archived.select("existing_id").distinct()
         updates = ops.filter(F.col("action") == "update")
         both = _updated_rows(l, section, updates)
         gone_rows = _archived_rows(l, section, archived)
@@ -731,7 +726,6 @@ def apply_updates(l: Ledger, the_plan: Plan) -> dict[str, DataFrame]:
         changed = both.join(gone_rows.select(*key), key, "left_anti").unionByName(gone_rows.join(both.select(*key), key, "left_anti")).unionByName(late)
         inserts = _inserted_rows(l, section, ops.filter(F.col("action").isin("insert", "errata_replace")))
         tables[section] = _replace(table, section, changed).unionByName(inserts)
-        del gone
     if "runs" in the_plan.sections:
         tables["experiment_runs"] = link_experiment_runs(l, the_plan.sections["runs"])
     if "custom_attributes" in the_plan.sections:
@@ -804,7 +798,3 @@ def upsert_keep_existing(l: Ledger, table: str, rows: DataFrame) -> DataFrame:
     first = rows.filter(whole).groupBy(*keys).agg(F.min("id").alias("id"))
     keyed = rows.join(first, [*keys, "id"], "left_semi").join(taken, keys, "left_anti")
     return l.table(table).unionByName(conform(rows.filter(~whole).unionByName(keyed), table))
-
-
-def schema_of_operations() -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in OPERATION_COLUMNS])
