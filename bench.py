@@ -58,7 +58,7 @@ CASES = {
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", "8"))
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     spark = local_session(cores=cores, app="runledger-bench", memory="16g")
     root = tempfile.mkdtemp(prefix="run-bench-")
     t = time.time()
