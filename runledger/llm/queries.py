@@ -5,22 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import decontaminate, quality
+from runledger.llm import decontaminate, packing, quality, secrets, tokenfiles, urls
 from runledger.llm.common import table
 
 
+def _vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; the same package is installed on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfiles.write(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return tokenfiles.read_documents(manifest)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of(F.col("spans"), k).alias(f"n_{k}") for k in secrets.KINDS]
+    return scanned.select("doc_id", *counts, F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("lang").withColumn(
         "failed_rules", F.array_join("failed_rules", ","))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict = {
     "op1_decontamination": (op1_decontamination, None),
+    "op3_token_files": (op3_token_files, None),
+    "op6_secret_scan": (op6_secret_scan, None),
+    "op7_best_fit_packing": (op7_best_fit_packing, None),
     "op9_quality_rules": (op9_quality_rules, None),
+    "op10_url_filter": (op10_url_filter, urls.CHECK),
 }
