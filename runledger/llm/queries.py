@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import decontaminate, packing, quality, secrets, tokenfiles, urls
+from runledger.llm import decontaminate, jaccard, packing, personal, quality, secrets, tokenfiles, urls
 from runledger.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_documents(manifest)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).drop("print")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan(table(spark, sf_dir, "documents"))
     counts = [secrets.count_of(F.col("spans"), k).alias(f"n_{k}") for k in secrets.KINDS]
@@ -36,6 +40,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = personal.scan(table(spark, sf_dir, "documents"))
+    counts = [personal.count_of(F.col("base"), k).alias(f"n_{k}") for k in personal.KINDS]
+    return scanned.select("doc_id", *counts, F.sha2(personal.written(F.col("base")), 256).alias("base_sha256"), personal.written(F.col("spans")).alias("spans"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("lang").withColumn(
         "failed_rules", F.array_join("failed_rules", ","))
@@ -48,8 +58,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op1_decontamination": (op1_decontamination, None),
     "op3_token_files": (op3_token_files, None),
+    "op4_jaccard_join": (op4_jaccard_join, None),
     "op6_secret_scan": (op6_secret_scan, None),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
+    "op8_personal_data": (op8_personal_data, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_url_filter": (op10_url_filter, urls.CHECK),
 }
