@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import decontaminate, jaccard, packing, personal, quality, secrets, tokenfiles, urls
+from runledger.llm import decontaminate, jaccard, linededup, packing, personal, quality, secrets, tokenfiles, urls
 from runledger.llm.common import table
 
 
@@ -21,6 +21,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = linededup.deduplicate(docs).select(
+        F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_links",
+        F.array_join("removed", ",").alias("removed_lines"), F.array_join("line_classes", ",", "").alias("line_classes"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("__own"))
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__print"))).drop("__id", "__print", "__own")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfiles.write(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
     return tokenfiles.read_documents(manifest)
@@ -57,6 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     "op1_decontamination": (op1_decontamination, None),
+    "op2_line_dedup": (op2_line_dedup, None),
     "op3_token_files": (op3_token_files, None),
     "op4_jaccard_join": (op4_jaccard_join, None),
     "op6_secret_scan": (op6_secret_scan, None),
