@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import decontaminate, jaccard, linededup, packing, personal, quality, secrets, tokenfiles, urls
+from runledger.llm import decontaminate, jaccard, linededup, packing, personal, quality, secrets, suffixdedup, tokenfiles, urls
 from runledger.llm.common import table
 
 
@@ -39,6 +39,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).drop("print")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return suffixdedup.deduplicate(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan(table(spark, sf_dir, "documents"))
     counts = [secrets.count_of(F.col("spans"), k).alias(f"n_{k}") for k in secrets.KINDS]
@@ -69,6 +75,7 @@ QUERIES: dict = {
     "op2_line_dedup": (op2_line_dedup, None),
     "op3_token_files": (op3_token_files, None),
     "op4_jaccard_join": (op4_jaccard_join, None),
+    "op5_suffix_array_dedup": (op5_suffix_array_dedup, None),
     "op6_secret_scan": (op6_secret_scan, None),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
     "op8_personal_data": (op8_personal_data, None),
