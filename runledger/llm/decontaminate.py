@@ -31,7 +31,7 @@ WINDOW = 10
 #: (phrase, item) pairs searched for at a time: at most some 6 MB for each task.
 BLOCK_PAIRS = 32_768
 
-INDEX = "segment long, doc_ids array<long>, first array<int>, n_words array<int>, terms array<long>, starts array<int>, postings array<int>"
+INDEX = "segment long, doc_ids array<long>, prints array<long>, first array<int>, n_words array<int>, terms array<long>, starts array<int>, postings array<int>"
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -47,13 +47,13 @@ def build_index(docs: DataFrame) -> DataFrame:
                 order = np.argsort(prints, kind="stable")
                 terms, starts = np.unique(prints[order], return_index=True)
                 yield pa.record_batch({
-                    "segment": pa.array([segment]), "doc_ids": _cell(batch.column(0).slice(a, b - a).cast(pa.int64())),
+                    "segment": pa.array([segment]), "doc_ids": _cell(batch.column(0).slice(a, b - a)), "prints": _cell(batch.column(2).slice(a, b - a)),
                     "first": _cell(first.astype(np.int32)), "n_words": _cell(counts.astype(np.int32)), "terms": _cell(terms.view(np.int64)),
                     "starts": _cell(np.append(starts, len(prints)).astype(np.int32)), "postings": _cell(position[order].astype(np.int32))})
                 segment += 1
 
     ready(docs.sparkSession)
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, INDEX), "postings")
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print")).mapInArrow(build, INDEX), "postings")
 
 
 def _cell(values) -> pa.ListArray:
@@ -199,9 +199,9 @@ def _search_segment(q: dict, first, n_words, terms, starts, postings) -> dict |
 
 
 def index_rows(index: DataFrame) -> DataFrame:
-    """(segment, row, doc_id, n_words) of every indexed text."""
-    return index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("row", "d")).select(
-        "segment", "row", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words"))
+    """(segment, row, doc_id, print, n_words) of every indexed text."""
+    return index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "prints", "n_words")).alias("row", "d")).select(
+        "segment", "row", F.col("d.doc_ids").alias("doc_id"), F.col("d.prints").alias("print"), F.col("d.n_words").cast("long").alias("n_words"))
 
 
 def proximity_hits(index: DataFrame, terms: list[str], within: int) -> DataFrame:
@@ -237,7 +237,7 @@ def proximity_hits(index: DataFrame, terms: list[str], within: int) -> DataFrame
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, spans, items, contaminated.
+    """Per row of ``docs``: doc_id, print (of its text), n_words, n_hit, spans, items, contaminated.
 
     ``spans`` are the disjoint word ranges inside occurrences of benchmark windows.
     """
@@ -248,5 +248,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), lambda a, s: F.struct(
         (a["n"] + F.greatest(F.lit(0), s["e"] - F.greatest(a["upto"], s["b"]))).alias("n"), F.greatest(a["upto"], s["e"]).alias("upto")), lambda a: a["n"])
     return index_rows(index).join(hits, ["segment", "row"], "left").select(
-        "doc_id", "n_words", F.coalesce(covered.cast("long"), F.lit(0).cast("long")).alias("n_hit"), "spans",
+        "doc_id", "print", "n_words", F.coalesce(covered.cast("long"), F.lit(0).cast("long")).alias("n_hit"), "spans",
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("spans").isNotNull().alias("contaminated"))
