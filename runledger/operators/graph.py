@@ -2,22 +2,21 @@
 forest unless corrupted by cycles.
 
 All algorithms are pointer doubling on the jobs that *have* a parent (a slim
-subset), O(rows x log depth), with the state cut to shared storage per round.
-No group of siblings is ever gathered: a parent with a third of all jobs as
-retries only shows up as a combined partial aggregate.
+subset), O(rows x log depth) at any depth, with the state cut to shared storage per
+round.  Values travel upwards as combined minima and maxima: no list of ancestors is
+kept and no group of siblings or ring of jobs is gathered, so a parent with a third
+of all jobs as retries only shows up as a combined partial aggregate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.ledger import Ledger
 from runledger.lineage import cut
 from runledger.schemas import ACTIVE_JOB_STATUSES
 
-RETRY_DEPTH_CAP = 32
-
 
 def retry_edges(jobs: DataFrame) -> DataFrame:
     """(id, parent, status) of active jobs whose retry target is an active job."""
@@ -31,62 +30,73 @@ def edges(ledger: Ledger) -> DataFrame:
     return ledger.once("retry_edges", lambda: cut(retry_edges(ledger.table("jobs")), "retry-edges"))
 
 
-def _double(state: DataFrame) -> DataFrame:
-    """Append to every list the list of its last pointer and move the pointer on."""
-    ahead = state.select(F.col("id").alias("ptr"), F.col("ancestors").alias("more"), F.col("ptr").alias("next_ptr"))
-    return state.join(ahead, "ptr", "left").select(
-        "id", "parent", "status",
-        F.when(F.col("more").isNull(), F.col("ancestors")).otherwise(F.concat("ancestors", "more")).alias("ancestors"),
-        F.col("next_ptr").alias("ptr"))
-
+def lift(nodes: DataFrame, own: dict[str, Column], below: dict[str, str], label: str) -> DataFrame:
+    """Combine values of all proper descendants in a forest.
 
-def ancestor_state(edge_df: DataFrame, cap: int = RETRY_DEPTH_CAP) -> DataFrame:
-    """(id, parent, status, ancestors, ptr): up to ``cap`` ancestors per child, nearest first.
-
-    ``ptr`` is NULL once a chain ended; rows that still point on after 32 steps are in
-    or below a cycle, or sit in a chain deeper than 32.  Arrays hold at most 32 ids
-    whatever the data, as a job has one parent.  Two doublings share one write.
+    ``nodes`` has (id, ptr) and what ``own`` needs; ptr is the parent or NULL.  ``own`` names a node's
+    value, ``below`` how values combine (min or max).  Each round passes on what was combined below a node to the ancestor as many
+    steps above as are already covered, and then doubles the steps.  Returns id, the columns of ``own`` for the node
+    itself, the same with suffix ``_below``, and ``height``, the steps down to the deepest descendant.
     """
-    state = edge_df.select("id", "parent", "status", F.array("parent").alias("ancestors"), F.col("parent").alias("ptr"))
+    both = {"min": F.least, "max": F.greatest}
+    state = cut(nodes.select("id", "ptr", *[c.alias(n) for n, c in own.items()], *[F.when(F.lit(False), c).alias(f"{n}_below") for n, c in own.items()],
+                             F.lit(0).alias("height")), label)
     span = 1
-    while span < cap:
-        for _ in range(2):
-            if span < cap:
-                state, span = _double(state), span * 2
-        state = cut(state, "ancestors")
-        if state.filter(F.col("ptr").isNotNull()).isEmpty():
-            break
-    return state
+    while not (moving := state.filter(F.col("ptr").isNotNull())).isEmpty():
+        passed = moving.groupBy(F.col("ptr").alias("id")).agg(
+            *[getattr(F, below[n])(both[below[n]](n, f"{n}_below")).alias(f"{n}_in") for n in own], (F.max("height") + span).alias("height_in"))
+        ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
+        state = cut(state.join(passed, "id", "left").join(ahead, "ptr", "left").select(
+            "id", F.col("ptr2").alias("ptr"), *own, *[both[below[n]](f"{n}_below", f"{n}_in").alias(f"{n}_below") for n in own],
+            F.greatest("height", F.coalesce("height_in", F.lit(0))).alias("height")), label)
+        span *= 2
+    return state.drop("ptr")
 
 
-def ancestors(ledger: Ledger) -> DataFrame:
-    return ledger.once("ancestors", lambda: ancestor_state(edges(ledger)))
+def _forest(ledger: Ledger) -> DataFrame:
+    """Lifted values of the retry forest: rings are cut open everywhere, so their jobs are roots here."""
+    def build() -> DataFrame:
+        edge_df = edges(ledger)
+        ring = cycles(ledger).select("id", F.lit(True).alias("on_ring"))
+        child = edge_df.join(ring, "id", "left").select("id", F.when(F.col("on_ring").isNull(), F.col("parent")).alias("ptr"), "status")
+        roots = edge_df.select(F.col("parent").alias("id")).distinct().join(edge_df.select("id"), "id", "left_anti")
+        nodes = child.unionByName(roots.select("id", F.lit(None).cast("string").alias("ptr"), F.lit(None).cast("string").alias("status")))
+        return lift(nodes, {"won": F.when(F.col("status") == "succeeded", F.col("id")), "busy": F.when(F.col("status").isin(*ACTIVE_JOB_STATUSES), F.col("id"))},
+                    {"won": "min", "busy": "min"}, "retry-forest")
+    return ledger.once("retry_forest", build)
+
+
+def _ring_lows(ledger: Ledger) -> DataFrame:
+    """Per ring job, the least succeeded and active ids among the other jobs of its ring and all that hang off it."""
+    ring = cycles(ledger).join(_forest(ledger), "id").join(edges(ledger).select("id", (F.col("id") == F.col("parent")).alias("self_retry")), "id")
+    state = ring
+    for n in ("won", "busy"):
+        low = ring.groupBy("cycle_id").agg(F.min(n).alias(f"{n}_first"), F.min(f"{n}_below").alias(f"{n}_trees"))
+        state = state.join(low, "cycle_id")
+        second = state.filter(F.col(n) != F.col(f"{n}_first")).groupBy("cycle_id").agg(F.min(n).alias(f"{n}_second"))
+        state = state.join(second, "cycle_id", "left")
+    # on a ring the walk comes back to the job itself; only a direct self retry counts
+    others = {n: F.when((F.col(n) == F.col(f"{n}_first")) & ~F.col("self_retry"), F.col(f"{n}_second")).otherwise(F.col(f"{n}_first")) for n in ("won", "busy")}
+    return state.select("id", *[F.least(others[n], f"{n}_trees").alias(f"{n}_below") for n in others])
 
 
 def retry_recovery(ledger: Ledger) -> DataFrame:
-    """Per ancestor: has a succeeded / active retry descendant within 32 steps, and the smallest such id."""
+    """Per ancestor: has a succeeded / active retry descendant at any depth, and the smallest such id."""
     def build() -> DataFrame:
-        lists = ancestors(ledger)
-        kinds = lists.filter(F.col("status").isin("succeeded", *ACTIVE_JOB_STATUSES))
-        # On a cycle the walk comes back to the job itself; only a direct self retry counts.
-        pairs = kinds.select(
-            F.explode(F.array_distinct("ancestors")).alias("root_id"), "id", "parent",
-            (F.col("status") == "succeeded").alias("success"),
-        ).filter((F.col("root_id") != F.col("id")) | (F.col("parent") == F.col("id")))
-        return pairs.groupBy("root_id").agg(
-            F.max(F.col("success").cast("int")).alias("has_success_descendant"),
-            F.max((~F.col("success")).cast("int")).alias("has_active_descendant"),
-            F.min(F.when(F.col("success"), F.col("id"))).alias("success_descendant_id"),
-            F.min(F.when(~F.col("success"), F.col("id"))).alias("active_descendant_id"),
-        )
+        trees = _forest(ledger).join(cycles(ledger).select("id"), "id", "left_anti").select("id", "won_below", "busy_below")
+        every = trees.unionByName(_ring_lows(ledger))
+        return every.filter(F.coalesce("won_below", "busy_below").isNotNull()).select(
+            F.col("id").alias("root_id"), F.col("won_below").isNotNull().cast("int").alias("has_success_descendant"),
+            F.col("busy_below").isNotNull().cast("int").alias("has_active_descendant"), F.col("won_below").alias("success_descendant_id"),
+            F.col("busy_below").alias("active_descendant_id"))
     return ledger.once("retry_recovery", build)
 
 
 def retry_depth(jobs: DataFrame) -> DataFrame:
     """(job_id, retry_depth) for jobs that retry something, archived jobs included.
 
-    Depth counts the steps to a job without retry target; chains that dangle,
-    cycle or exceed 32 steps get no row.
+    Depth counts the steps to a job without retry target; chains that dangle or
+    end in a cycle get no row.
     """
     child = jobs.filter(F.col("retry_of").isNotNull()).select("id", F.col("retry_of").alias("ptr"))
     state = cut(child.join(jobs.select(F.col("id").alias("ptr")), "ptr").select(
@@ -95,17 +105,20 @@ def retry_depth(jobs: DataFrame) -> DataFrame:
     inner = cut(child.select("id"), "retry-children")
     state = state.join(inner.select(F.col("id").alias("ptr"), F.lit(True).alias("is_child")), "ptr", "left").select(
         "id", "ptr", "depth", F.col("is_child").isNull().alias("done"))
-    for _ in range(RETRY_DEPTH_CAP.bit_length() - 1):
+    waiting = -1
+    while True:
         state = cut(state, "retry-depth")
         pending = state.filter(~F.col("done"))
-        if pending.isEmpty():
+        # each round resolves some chain that has an end; what is left when none did runs in circles
+        if (left := pending.count()) in (0, waiting):
             break
+        waiting = left
         ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("depth").alias("depth2"),
                              F.col("done").alias("done2"))
         moved = pending.select("id", "ptr", "depth").join(ahead, "ptr").select(
             "id", F.col("ptr2").alias("ptr"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("done2").alias("done"))
         state = state.filter("done").unionByName(moved)
-    return state.filter(F.col("done") & (F.col("depth") <= RETRY_DEPTH_CAP)).select(
+    return state.filter("done").select(
         F.col("id").alias("job_id"), F.col("depth").alias("retry_depth"))
 
 
@@ -114,14 +127,11 @@ def _hop(ptrs: DataFrame) -> DataFrame:
     return ptrs.join(ahead, "ptr").select("id", F.col("ptr2").alias("ptr"))
 
 
-def cycle_members(edge_df: DataFrame, far: DataFrame | None = None) -> DataFrame:
-    """(id, cycle_id): jobs lying on a retry cycle; cycle_id is the smallest member id.
-
-    ``far``: (id, ptr) jumps of 32 steps where known; a sound ledger has none and is done at once.
-    """
+def cycle_members(edge_df: DataFrame) -> DataFrame:
+    """(id, cycle_id): jobs lying on a retry cycle; cycle_id is the smallest member id."""
     none = edge_df.sparkSession.createDataFrame([], "id string, cycle_id string")
     single = edge_df.select("id", F.col("parent").alias("ptr"))
-    ptrs = single if far is None else far
+    ptrs = single
     before = ptrs.count()
     while before:
         # two squarings per write; only rows in or below cycles survive in the end
@@ -151,71 +161,33 @@ def cycle_members(edge_df: DataFrame, far: DataFrame | None = None) -> DataFrame
 
 
 def cycles(ledger: Ledger) -> DataFrame:
-    def build() -> DataFrame:
-        far = ancestors(ledger).filter(F.col("ptr").isNotNull()).select("id", "ptr")
-        return cycle_members(edges(ledger), far)
-    return ledger.once("retry_cycles", build)
-
-
-def subtree_summary(edge_df: DataFrame) -> DataFrame:
-    """(id, depth, success) over an acyclic edge set of any depth: height of the subtree below
-    each job and whether a succeeded job is in it (a child itself included)."""
-    nodes = edge_df.select("id", F.col("parent").alias("ptr"), (F.col("status") == "succeeded").alias("success"))
-    roots = edge_df.select(F.col("parent").alias("id")).distinct().join(edge_df.select("id"), "id", "left_anti")
-    state = cut(nodes.unionByName(roots.select("id", F.lit(None).cast("string").alias("ptr"), F.lit(False).alias("success")))
-                .select("id", "ptr", F.lit(0).alias("depth"), "success"), "subtree")
-    span = 1
-    while not state.filter(F.col("ptr").isNotNull()).isEmpty():
-        lifted = state.filter(F.col("ptr").isNotNull()).groupBy(F.col("ptr").alias("id")).agg(
-            (F.max("depth") + span).alias("below"), F.max("success").alias("below_success"))
-        ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
-        state = cut(
-            state.join(lifted, "id", "left").join(ahead, "ptr", "left").select(
-                "id", F.col("ptr2").alias("ptr"), F.greatest("depth", F.coalesce("below", F.lit(0))).alias("depth"),
-                (F.col("success") | F.coalesce("below_success", F.lit(False))).alias("success")),
-            "subtree")
-        span *= 2
-    return state.select("id", "depth", "success")
+    return ledger.once("retry_cycles", lambda: cycle_members(edges(ledger)))
 
 
 def retry_heights(ledger: Ledger) -> DataFrame:
     """(id, depth, success): longest retry descent below each job and whether any
-    descendant succeeded, uncapped.  Cycle members see the whole cycle once."""
-    edge_df = edges(ledger)
+    descendant succeeded.  Cycle members see the whole cycle once."""
+    trees = _forest(ledger).select("id", F.col("height").alias("depth"), F.col("won_below").isNotNull().alias("success"))
     on_ring = cycles(ledger)
-    lists = ancestors(ledger).join(on_ring.select("id"), "id", "left_anti")
-    steps = lists.select("id", "status", F.col("ptr").isNotNull().alias("endless"), F.posexplode("ancestors").alias("pos", "anc"))
-    # A list that runs into a cycle counts up to its first member; one that goes on past 32 steps without is deep.
-    entry = steps.filter("endless").join(on_ring.select(F.col("id").alias("anc")), "anc", "left_semi").groupBy("id").agg(F.min("pos").alias("entry"))
-    deep = lists.filter(F.col("ptr").isNotNull()).join(entry, "id", "left_anti")
-    if deep.isEmpty():
-        within = steps.join(entry, "id", "left").filter(F.col("entry").isNull() | (F.col("pos") <= F.col("entry")))
-        trees = cut(within.groupBy(F.col("anc").alias("id")).agg(
-            (F.max("pos") + 1).alias("depth"), F.max(F.col("status") == "succeeded").alias("success")), "retry-heights")
-    else:
-        trees = subtree_summary(edge_df.join(on_ring, "id", "left_anti"))
-    plain = trees.join(on_ring, "id", "left_anti").select("id", "depth", "success")
+    plain = trees.join(on_ring.select("id"), "id", "left_anti").filter("depth > 0")
     if on_ring.isEmpty():
         return plain
-    # Position of each member behind the smallest one, by list ranking on the cut-open ring.
-    state = edge_df.join(on_ring, "id").select(
-        "id", "cycle_id", (F.col("status") == "succeeded").alias("succeeded"),
-        F.when(F.col("id") == F.col("cycle_id"), F.lit(None).cast("string")).otherwise(F.col("parent")).alias("ptr"))
-    state = cut(state.withColumn("pos", F.when(F.col("ptr").isNull(), 0).otherwise(1)), "ring-rank")
+    # Each ring is cut open at its smallest member; ``pos`` counts the steps up to that member.
+    ring = edges(ledger).join(on_ring, "id").join(trees, "id").select(
+        "id", "cycle_id", "depth", (F.col("success") | (F.col("status") == "succeeded")).alias("success"),
+        F.when(F.col("id") != F.col("cycle_id"), F.col("parent")).alias("ptr"))
+    state = cut(ring.select("id", "ptr", F.col("ptr").isNotNull().cast("int").alias("pos")), "ring-rank")
     while not state.filter(F.col("ptr").isNotNull()).isEmpty():
         ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("pos").alias("pos2"))
-        state = cut(state.join(ahead, "ptr", "left").select(
-            "id", "cycle_id", "succeeded", F.col("ptr2").alias("ptr"),
-            (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos")), "ring-rank")
-    ranked = state.join(trees.select("id", "depth", F.col("success").alias("tree_success")), "id", "left").select(
-        "id", "cycle_id", "pos", F.coalesce("depth", F.lit(0)).alias("depth"),
-        (F.col("succeeded") | F.coalesce("tree_success", F.lit(False))).alias("success"))
-    w = W.partitionBy("cycle_id").orderBy("pos")
-    reach = F.col("pos") + F.col("depth")
-    ahead_max = F.max(reach).over(w.rowsBetween(0, W.unboundedFollowing)) - F.col("pos")
-    behind_max = (F.max(reach).over(w.rowsBetween(W.unboundedPreceding, -1)) - F.col("pos")
-                  + F.max("pos").over(W.partitionBy("cycle_id")) + 1)
-    members = ranked.select(
-        "id", F.greatest(ahead_max, F.coalesce(behind_max, F.lit(0))).alias("depth"),
-        F.max("success").over(W.partitionBy("cycle_id")).alias("success"))
+        state = cut(state.join(ahead, "ptr", "left").select("id", F.col("ptr2").alias("ptr"), (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos")), "ring-rank")
+    ranked = cut(ring.join(state.select("id", "pos"), "id").withColumn("reach", F.col("pos") + F.col("depth")), "ring-ranked")
+    # the furthest reach of the members behind the cut comes from below, that of those before it from above
+    ahead_max = lift(ranked, {"reach": F.col("reach")}, {"reach": "max"}, "ring-reach").select("id", F.greatest("reach", "reach_below").alias("ahead_max"))
+    before = cut(ranked.join(ranked.select(F.col("id").alias("ptr"), F.col("reach").alias("upper")), "ptr", "left").select("id", "ptr", F.col("upper").alias("behind_max")), "ring-before")
+    while not before.filter(F.col("ptr").isNotNull()).isEmpty():
+        up = before.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("behind_max").alias("more"))
+        before = cut(before.join(up, "ptr", "left").select("id", F.col("ptr2").alias("ptr"), F.greatest("behind_max", "more").alias("behind_max")), "ring-before")
+    whole = ranked.groupBy("cycle_id").agg(F.count("*").alias("length"), F.max("success").alias("success"))
+    depth = F.greatest(F.col("ahead_max") - F.col("pos"), F.coalesce(F.col("behind_max") - F.col("pos") + F.col("length"), F.lit(0))).cast("int")
+    members = ranked.drop("success").join(ahead_max, "id").join(before.select("id", "behind_max"), "id").join(whole, "cycle_id").select("id", depth.alias("depth"), "success")
     return plain.unionByName(members)

@@ -16,19 +16,10 @@ from runledger.operators.ownership import artifact_experiments, attach_experimen
 from runledger.schemas import (ACTIVE_JOB_STATUSES, ATTR_BLOCKING, ATTR_ERRATUM, ATTR_EXPECTED_RUNS, ATTR_PREFIX, ATTR_REVIEWED_COUNT,
                                JOB_STATUSES, NOTE_STATUSES, NOTE_TYPES, RUN_KINDS, RUN_PHASES)
 
-JOB_LIST_LIMIT = 20
-ARTIFACT_LIMIT = 20
-LEASE_LIST_LIMIT = 20
-TAKEOVER_WINDOW = 100
-PLAN_LIMIT = 20
-FAILED_EXAMPLES = 10
-OPEN_NOTE_LIMIT = 10
-# list name -> (note type, status or None, limit)
-STATUS_NOTES = {"open_handoffs": ("handoff", "open", 10), "open_next_actions": ("next-action", "open", 10),
-                "open_debug": ("debug", "open", 10), "recent_research": ("research", None, 5), "recent_decisions": ("decision", None, 5)}
-CONTEXT_NOTES = {"open_handoffs": ("handoff", "open", 20), "open_next_actions": ("next-action", "open", 20),
-                 "open_debug": ("debug", "open", 20), "recent_research": ("research", None, 5),
-                 "recent_decisions": ("decision", None, 5), "recent_checkpoints": ("checkpoint", None, 5)}
+# list name -> (note type, status or None)
+STATUS_NOTES = {"open_handoffs": ("handoff", "open"), "open_next_actions": ("next-action", "open"), "open_debug": ("debug", "open"),
+                "recent_research": ("research", None), "recent_decisions": ("decision", None)}
+CONTEXT_NOTES = {**STATUS_NOTES, "recent_checkpoints": ("checkpoint", None)}
 
 
 def _lists(conditions: dict[str, Column]) -> Column:
@@ -36,9 +27,14 @@ def _lists(conditions: dict[str, Column]) -> Column:
     return F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in conditions.items()]), lambda x: x.isNotNull()))
 
 
-def top_n(df: DataFrame, keys: list, order: list[Column], limit: int | Column) -> DataFrame:
-    """First rows per key.  A constant limit lets Spark prune per partition before the shuffle."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= limit)
+def top_n(df: DataFrame, keys: list, order: list[Column], limit: int | None) -> DataFrame:
+    """Rows ranked per key, the first ``limit`` if given.  A limit lets Spark prune per partition before the shuffle."""
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+
+
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
 
 
 def _experiments(l: Ledger) -> DataFrame:
@@ -72,33 +68,31 @@ def _job_list_conditions(l: Ledger, stale_hours: float) -> dict[str, Column]:
 
 
 def experiment_status(l: Ledger, stale_hours: float = 24.0) -> DataFrame:
-    """Readiness and job counts.  Only jobs naming the experiment directly count here; list-based
-    counts stop at the report list length of 20."""
+    """Readiness and job counts.  Only jobs naming the experiment directly count here."""
     jobs = views.jobs_with_recovery(l).filter(F.col("experiment_id").isNotNull()).groupBy("experiment_id").agg(
         *[count_if(F.col("status") == s).alias(f"jobs_{s}") for s in JOB_STATUSES],
         *[count_if(c).alias(f"n_{n}") for n, c in _job_list_conditions(l, stale_hours).items()])
     runs = views.active_links(l).groupBy("experiment_id").agg(F.count("*").alias("run_count"))
     out = _experiments(l).join(jobs, "experiment_id", "left").join(runs, "experiment_id", "left").join(validation_summary(l), "experiment_id")
-    capped = {n: F.least(F.coalesce(f"n_{n}", F.lit(0).cast("bigint")), F.lit(JOB_LIST_LIMIT).cast("bigint"))
-              for n in _job_list_conditions(l, stale_hours)}
+    listed = {n: F.coalesce(f"n_{n}", F.lit(0).cast("bigint")) for n in _job_list_conditions(l, stale_hours)}
     active = sum((F.coalesce(F.col(f"jobs_{s}"), F.lit(0)) for s in ACTIVE_JOB_STATUSES), F.lit(0)).cast("bigint")
-    blockers = capped["blocking_failed"] + F.col("failed") + F.col("unknown_blocking")
+    blockers = listed["blocking_failed"] + F.col("failed") + F.col("unknown_blocking")
     return out.select(
         "experiment_id", "name", zero("run_count"), *[zero(f"jobs_{s}") for s in JOB_STATUSES],
         flag((blockers == 0) & (active == 0)).alias("is_ready"), flag(blockers > 0).alias("has_active_blockers"),
         blockers.alias("blocker_count"), active.alias("active_job_count"),
-        capped["recovery_in_progress"].alias("recovery_in_progress_count"), capped["recovered_failed"].alias("recovered_failed_count"),
-        (capped["submitting"] + capped["unknown_submit"]).alias("submission_uncertainty_count"), "validation_status",
-        capped["failed"].alias("failed_list_count"), capped["stale"].alias("stale_list_count"))
+        listed["recovery_in_progress"].alias("recovery_in_progress_count"), listed["recovered_failed"].alias("recovered_failed_count"),
+        (listed["submitting"] + listed["unknown_submit"]).alias("submission_uncertainty_count"), "validation_status",
+        listed["failed"].alias("failed_list_count"), listed["stale"].alias("stale_list_count"))
 
 
-def status_job_lists(l: Ledger, stale_hours: float = 24.0) -> DataFrame:
-    """Top 20 jobs per experiment and list; stale lists run oldest first, the others newest first."""
+def status_job_lists(l: Ledger, stale_hours: float = 24.0, limit: int | None = None) -> DataFrame:
+    """Ranked jobs per experiment and list; stale lists run oldest first, the others newest first."""
     rows = views.jobs_with_recovery(l).filter(F.col("experiment_id").isNotNull()).select(
         "experiment_id", "job_id", "name", "status", "updated_at", _lists(_job_list_conditions(l, stale_hours)).alias("list_name"))
     age = F.unix_micros(F.col("updated_at").cast("timestamp"))
     key = F.when(F.col("list_name") == "stale", age).otherwise(-age)
-    return top_n(rows.withColumn("_k", key), ["experiment_id", "list_name"], [F.col("_k"), F.col("job_id")], JOB_LIST_LIMIT).select(
+    return top_n(rows.withColumn("_k", key), ["experiment_id", "list_name"], [F.col("_k"), F.col("job_id")], limit).select(
         "experiment_id", "list_name", "rank", "job_id", "name", "status", "updated_at")
 
 
@@ -125,9 +119,9 @@ def run_progress_by_metric(l: Ledger) -> DataFrame:
     return seen.join(owned, "run_id").groupBy("experiment_id", "metric_name").agg(F.count("*").alias("run_count"))
 
 
-def run_progress_failed_examples(l: Ledger) -> DataFrame:
+def run_progress_failed_examples(l: Ledger, limit: int | None = None) -> DataFrame:
     rows = views.runs_progress(l).filter((F.col("phase") == "failed") & F.col("experiment_id").isNotNull())
-    return top_n(rows, ["experiment_id"], [F.col("name"), F.col("run_id")], FAILED_EXAMPLES).select("experiment_id", "rank", "run_id", "name")
+    return top_n(rows, ["experiment_id"], [F.col("name"), F.col("run_id")], limit).select("experiment_id", "rank", "run_id", "name")
 
 
 # --- notes -------------------------------------------------------------------------
@@ -140,28 +134,24 @@ def note_counts(l: Ledger) -> DataFrame:
     return grid.join(have, ["experiment_id", "note_type", "status"], "left").select("experiment_id", "note_type", "status", zero("note_count"))
 
 
-def note_digest(l: Ledger, lists: dict = STATUS_NOTES, full_body: bool = False) -> DataFrame:
-    conditions = {n: (F.col("note_type") == t) & (F.lit(True) if s is None else F.col("status") == s) for n, (t, s, _k) in lists.items()}
-    longest = max(k for _t, _s, k in lists.values())
-    limit = F.lit(longest)
-    for name, (_t, _s, k) in lists.items():
-        limit = F.when(F.col("list_name") == name, F.lit(k)).otherwise(limit)
+def note_digest(l: Ledger, lists: dict = STATUS_NOTES, full_body: bool = False, limit: int | None = None) -> DataFrame:
+    conditions = {n: (F.col("note_type") == t) & (F.lit(True) if s is None else F.col("status") == s) for n, (t, s) in lists.items()}
     slim = _exp_notes(l).select("experiment_id", "note_id", "note_type", "status", "title", "body_format", "body", "updated_at",
                                 _lists(conditions).alias("list_name"))
-    rows = top_n(slim, ["experiment_id", "list_name"], [F.desc("updated_at"), F.col("note_id")], longest).filter(F.col("rank") <= limit)
+    rows = top_n(slim, ["experiment_id", "list_name"], [F.desc("updated_at"), F.col("note_id")], limit)
     body = F.col("body") if full_body else tx.note_preview(F.col("body")).alias("body_preview")
     return rows.select("experiment_id", "list_name", "rank", "note_id", "note_type", "status", "title", "body_format", body, "updated_at")
 
 
-def note_context(l: Ledger) -> DataFrame:
-    return note_digest(l, CONTEXT_NOTES, full_body=True)
+def note_context(l: Ledger, limit: int | None = None) -> DataFrame:
+    return note_digest(l, CONTEXT_NOTES, full_body=True, limit=limit)
 
 
 # --- artifacts, errata, leases --------------------------------------------------------
 
-def experiment_artifacts(l: Ledger) -> DataFrame:
+def experiment_artifacts(l: Ledger, limit: int | None = None) -> DataFrame:
     rows = l.active("artifacts").select(F.col("id").alias("artifact_id"), "type", "uri", "updated_at").join(artifact_experiments(l), "artifact_id")
-    return top_n(rows, ["experiment_id"], [F.desc("updated_at"), F.col("artifact_id")], ARTIFACT_LIMIT).select(
+    return top_n(rows, ["experiment_id"], [F.desc("updated_at"), F.col("artifact_id")], limit).select(
         "experiment_id", "rank", "artifact_id", "type", "uri", "updated_at")
 
 
@@ -194,13 +184,12 @@ def lease_summary(l: Ledger, stale_hours: float = 1.0) -> DataFrame:
         "experiment_id", zero("active_count"), zero("stale_count"), zero("expired_count"))
 
 
-def lease_lists(l: Ledger, stale_hours: float = 1.0) -> DataFrame:
+def lease_lists(l: Ledger, stale_hours: float = 1.0, limit: int | None = None) -> DataFrame:
     held = _lease_rows(l, l.table("leases").filter(F.col("released_at").isNull()))
     conditions = {"active": F.lit(True), "stale": F.col("heartbeat_at") < l.ago(stale_hours), "expired": F.col("expires_at") <= l.now}
     rows = held.withColumn("list_name", _lists(conditions)).withColumn("_at", F.col("heartbeat_at"))
-    newest = l.table("leases").filter(F.col("release_reason") == "force_takeover").orderBy(F.desc("released_at"), F.col("id")).limit(TAKEOVER_WINDOW)
-    taken = _lease_rows(l, newest).withColumn("list_name", F.lit("force_takeovers")).withColumn("_at", F.col("released_at"))
-    return top_n(rows.unionByName(taken), ["experiment_id", "list_name"], [F.desc("_at"), F.col("lease_id")], LEASE_LIST_LIMIT).select(
+    taken = _lease_rows(l, l.table("leases").filter(F.col("release_reason") == "force_takeover")).withColumn("list_name", F.lit("force_takeovers")).withColumn("_at", F.col("released_at"))
+    return top_n(rows.unionByName(taken), ["experiment_id", "list_name"], [F.desc("_at"), F.col("lease_id")], limit).select(
         "experiment_id", "list_name", "rank", "lease_id", F.col("tt").alias("entity_type"), F.col("ti").alias("entity_id"), "owner_agent",
         "heartbeat_at", "expires_at")
 
@@ -208,12 +197,12 @@ def lease_lists(l: Ledger, stale_hours: float = 1.0) -> DataFrame:
 # --- composed reports ------------------------------------------------------------------
 
 def _situation(l: Ledger) -> DataFrame:
-    """Status, capped open-note counts, audit counts, freshness and leases in one row per experiment."""
+    """Status, open-note counts, audit counts, freshness and leases in one row per experiment."""
     def build() -> DataFrame:
         notes = _exp_notes(l)
         kinds = {"handoff": "open_handoffs", "next-action": "open_next_actions", "debug": "open_debug"}
         open_ = notes.groupBy("experiment_id").agg(
-            *[F.least(count_if((F.col("note_type") == k) & (F.col("status") == "open")), F.lit(OPEN_NOTE_LIMIT).cast("bigint")).alias(n) for k, n in kinds.items()],
+            *[count_if((F.col("note_type") == k) & (F.col("status") == "open")).alias(n) for k, n in kinds.items()],
             count_if(F.col("note_type") == "decision").alias("decision_count"))
         scoped = audit.scoped_counts(l, audit.all_issues(l)).select("experiment_id", F.col("issue_count").alias("audit_issue_count"), F.col("ok").alias("audit_ok"))
         fresh = freshness.experiment_freshness(l).select("experiment_id", "handoff_status")
@@ -243,9 +232,9 @@ def triage(l: Ledger) -> DataFrame:
                                 F.col("open_debug").alias("open_debug_count"), "audit_ok", "audit_issue_count", F.to_json(actions).alias("suggested_next_actions"))
 
 
-def triage_artifacts(l: Ledger) -> DataFrame:
+def triage_artifacts(l: Ledger, limit: int | None = None) -> DataFrame:
     rows = views.artifacts_redacted(l).filter(F.col("experiment_id").isNotNull())
-    return top_n(rows, ["experiment_id"], [F.desc("updated_at"), F.desc("artifact_id")], ARTIFACT_LIMIT).select(
+    return top_n(rows, ["experiment_id"], [F.desc("updated_at"), F.desc("artifact_id")], limit).select(
         "experiment_id", "rank", "artifact_id", "type", "uri_locality", "display_uri", "updated_at")
 
 
@@ -277,7 +266,7 @@ def _plural(n: Column, noun: str) -> Column:
 def recommended_actions(l: Ledger) -> DataFrame:
     """Which of seven follow-ups apply to each experiment, with a summary line."""
     notes = _exp_notes(l).filter((F.col("status") == "open") & F.col("note_type").isin("handoff", "next-action", "debug")).groupBy("experiment_id").agg(
-        F.least(F.count("*"), F.lit(10).cast("bigint")).alias("open_notes"))
+        F.count("*").alias("open_notes"))
     c = F.col
     act = lambda i, cond, text: F.when(cond, F.struct(F.lit(i).alias("action_id"), text.alias("issue_summary")))
     picks = F.array(
@@ -295,17 +284,17 @@ def recommended_actions(l: Ledger) -> DataFrame:
 
 # --- cleanup, handoffs, reviews: change sets ----------------------------------------------
 
-def cleanup_plan(l: Ledger) -> DataFrame:
-    """Open debug notes of recovered jobs and failing validations with a later pass; 20 each per experiment."""
+def cleanup_plan(l: Ledger, limit: int | None = None) -> DataFrame:
+    """Open debug notes of recovered jobs and failing validations with a later pass, ranked per experiment."""
     done = views.jobs_with_recovery(l).filter((F.col("is_recovered_failed") == 1) & F.col("experiment_id").isNotNull()).select("job_id", "experiment_id")
     debug = l.active("notes").filter((F.col("entity_type") == "job") & (F.col("note_type") == "debug") & (F.col("status") == "open")).select(
         F.col("entity_id").alias("job_id"), F.col("id").alias("entity_id"), "updated_at", F.coalesce("title", tx.note_preview(F.col("body"))).alias("label"))
-    notes = top_n(debug.join(done, "job_id"), ["experiment_id"], [F.desc("updated_at"), F.col("entity_id")], PLAN_LIMIT).select(
+    notes = top_n(debug.join(done, "job_id"), ["experiment_id"], [F.desc("updated_at"), F.col("entity_id")], limit).select(
         "experiment_id", F.lit("debug_note").alias("plan"), "rank", "entity_id", "label")
     checks = l.active("validations").filter(F.col("entity_type") == "experiment")
     passed = checks.filter(F.col("status") == "pass").groupBy("entity_id", "check_name").agg(F.max("updated_at").alias("passed_at"))
     old = checks.filter(F.col("status").isin("fail", "warning", "unknown")).join(passed, ["entity_id", "check_name"]).filter(F.col("passed_at") >= F.col("updated_at"))
-    superseded = top_n(old.withColumnRenamed("entity_id", "experiment_id"), ["experiment_id"], [F.col("check_name"), F.desc("updated_at"), F.desc("id")], PLAN_LIMIT).select(
+    superseded = top_n(old.withColumnRenamed("entity_id", "experiment_id"), ["experiment_id"], [F.col("check_name"), F.desc("updated_at"), F.desc("id")], limit).select(
         "experiment_id", F.lit("superseded_validation").alias("plan"), "rank", F.col("id").alias("entity_id"), F.col("check_name").alias("label"))
     return notes.unionByName(superseded)
 
@@ -326,13 +315,11 @@ def apply_cleanup(l: Ledger, plan: DataFrame | None = None) -> dict[str, DataFra
         "resolved_at", F.when(hit, l.now).otherwise(F.col("resolved_at"))).withColumn("updated_at", F.when(hit, l.now).otherwise(F.col("updated_at")))
     checks = l.table("validations").join(done_checks, "id", "left").withColumn("deleted_at", F.when(hit, F.coalesce("deleted_at", l.now)).otherwise(F.col("deleted_at"))).withColumn(
         "updated_at", F.when(hit, l.now).otherwise(F.col("updated_at")))
-    # The plan holds at most 20 rows per experiment and kind, so the listing stays small.
+    # The note has counts only: the items are the plan's rows, of which there is no bound.
     lines = plan.groupBy("experiment_id").agg(
-        count_if(F.col("plan") == "debug_note").alias("n_notes"), count_if(F.col("plan") == "superseded_validation").alias("n_checks"),
-        F.array_sort(F.collect_list(F.struct("plan", "rank", "entity_id", "label"))).alias("items"))
+        count_if(F.col("plan") == "debug_note").alias("n_notes"), count_if(F.col("plan") == "superseded_validation").alias("n_checks"))
     body = F.concat_ws("\n", F.lit("# Cleanup"), F.concat(F.lit("- Debug notes resolved: "), F.col("n_notes")),
-                       F.concat(F.lit("- Validations archived: "), F.col("n_checks")),
-                       F.array_join(F.transform("items", lambda i: F.concat(F.lit("- `"), i["entity_id"], F.lit("` "), i["label"])), "\n"))
+                       F.concat(F.lit("- Validations archived: "), F.col("n_checks")))
     fresh = lines.select(_new_note_id(F.lit("cleanup"), F.col("experiment_id"), F.lit(str(l.as_of))).alias("id"), F.lit("experiment").alias("entity_type"),
                          F.col("experiment_id").alias("entity_id"), F.lit("checkpoint").alias("note_type"), F.lit("open").alias("status"),
                          F.lit("Experiment cleanup").alias("title"), body.alias("body"), F.lit("markdown").alias("body_format"),
@@ -340,23 +327,22 @@ def apply_cleanup(l: Ledger, plan: DataFrame | None = None) -> dict[str, DataFra
     return {"notes": conform(notes.drop("hit"), "notes").unionByName(conform(fresh, "notes")), "validations": conform(checks.drop("hit"), "validations")}
 
 
+def handoff_examples(l: Ledger, limit: int | None = None) -> DataFrame:
+    """(experiment_id, section, rank, entity_id, label): the drifted artifacts and stale validations behind a handoff, newest first."""
+    drift = freshness.drifted_artifacts(l).select("artifact_id", "uri", "drift_kind", "updated_at").join(freshness.drift_owners(l), "artifact_id").select(
+        "experiment_id", F.lit("drifted_artifact").alias("section"), F.col("artifact_id").alias("entity_id"),
+        F.concat("uri", F.lit(" ("), "drift_kind", F.lit(")")).alias("label"), "updated_at")
+    checks = freshness.experiment_stale_validations(l).select(
+        F.col("entity_id").alias("experiment_id"), F.lit("stale_validation").alias("section"), F.col("validation_id").alias("entity_id"), F.col("check_name").alias("label"), "updated_at")
+    return top_n(drift.unionByName(checks), ["experiment_id", "section"], [F.desc("updated_at"), F.col("entity_id")], limit).select(
+        "experiment_id", "section", "rank", "entity_id", "label")
+
+
 def handoff_notes(l: Ledger, stale_hours: float = 24.0) -> DataFrame:
-    """One checkpoint note row per active experiment with its freshness figures and up to 5 examples each."""
-    examples = 5
-    drift = top_n(freshness.drifted_artifacts(l).select("artifact_id", "uri", "drift_kind", "updated_at").join(freshness.drift_owners(l), "artifact_id"),
-                  ["experiment_id"], [F.desc("updated_at"), F.col("artifact_id")], examples).groupBy("experiment_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("- `"), "artifact_id", F.lit("` "), "uri", F.lit(" ("), "drift_kind", F.lit(")")).alias("line")))).alias("drift"))
-    checks = top_n(freshness.experiment_stale_validations(l).withColumnRenamed("entity_id", "experiment_id"), ["experiment_id"],
-                   [F.desc("updated_at"), F.col("validation_id")], examples).groupBy("experiment_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("- `"), "validation_id", F.lit("` "), "check_name").alias("line")))).alias("checks"))
-
-    def section(title: str, col: str) -> Column:
-        return F.when(F.size(col) > 0, F.concat(F.lit(f"\n### {title}\n"), F.array_join(F.transform(col, lambda x: x["line"]), "\n")))
-
-    rows = freshness.experiment_freshness(l, stale_hours).filter(F.col("deleted_at").isNull()).join(drift, "experiment_id", "left").join(checks, "experiment_id", "left")
+    """One checkpoint note row per active experiment with its freshness figures; ``handoff_examples`` has the rows behind them."""
+    rows = freshness.experiment_freshness(l, stale_hours).filter(F.col("deleted_at").isNull())
     body = F.concat_ws("\n", F.lit("# Experiment Handoff\n\n## Freshness\n"), F.concat(F.lit("- Handoff status: `"), "handoff_status", F.lit("`")),
-                       F.concat(F.lit("- Drifted artifacts: "), F.col("drifted_artifact_count")), F.concat(F.lit("- Stale validations: "), F.col("stale_validation_count")),
-                       section("Drifted Artifacts", "drift"), section("Stale Validations", "checks"), F.lit(""))
+                       F.concat(F.lit("- Drifted artifacts: "), F.col("drifted_artifact_count")), F.concat(F.lit("- Stale validations: "), F.col("stale_validation_count")), F.lit(""))
     return conform(rows.select(
         _new_note_id(F.lit("handoff"), F.col("experiment_id"), F.lit(str(l.as_of))).alias("id"), F.lit("experiment").alias("entity_type"),
         F.col("experiment_id").alias("entity_id"), F.lit("checkpoint").alias("note_type"), F.lit("open").alias("status"), F.lit("Experiment handoff").alias("title"),
@@ -450,37 +436,37 @@ def list_validations(l: Ledger, entity_type=None, entity_id=None, status=None, i
     return _filtered(_maybe_active(l, "validations", include_archived), entity_type=entity_type, entity_id=entity_id, status=status).orderBy(F.desc("updated_at"), "id")
 
 
-def list_sessions(l: Ledger, experiment_id=None, agent=None, open_only: bool = False, limit: int = 20) -> DataFrame:
+def list_sessions(l: Ledger, experiment_id=None, agent=None, open_only: bool = False, limit: int | None = None) -> DataFrame:
     df = _filtered(l.table("sessions"), experiment_id=experiment_id, agent=agent)
     if open_only:
         df = df.filter(F.col("ended_at").isNull())
-    return df.orderBy(F.desc("started_at"), F.desc("id")).limit(limit)
+    return _first(df.orderBy(F.desc("started_at"), F.desc("id")), limit)
 
 
-def list_leases(l: Ledger, entity_type=None, entity_id=None, owner_agent=None, include_released: bool = False, limit: int = 100) -> DataFrame:
+def list_leases(l: Ledger, entity_type=None, entity_id=None, owner_agent=None, include_released: bool = False, limit: int | None = None) -> DataFrame:
     df = _filtered(l.table("leases"), entity_type=entity_type, entity_id=entity_id, owner_agent=owner_agent)
     if not include_released:
         df = df.filter(F.col("released_at").isNull())
-    return df.orderBy(F.desc("heartbeat_at"), "id").limit(limit)
+    return _first(df.orderBy(F.desc("heartbeat_at"), "id"), limit)
 
 
-def _log(df: DataFrame, at: str, key: str, since: datetime | None, before: datetime | None, limit: int) -> DataFrame:
+def _log(df: DataFrame, at: str, key: str, since: datetime | None, before: datetime | None, limit: int | None) -> DataFrame:
     if since is not None:
         df = df.filter(F.col(at) >= ts(since))
     if before is not None:
         df = df.filter(F.col(at) < ts(before))
-    return df.orderBy(F.desc(at), F.desc(key)).limit(limit)
+    return _first(df.orderBy(F.desc(at), F.desc(key)), limit)
 
 
-def reconcile_log(l: Ledger, source=None, since=None, before=None, limit: int = 20) -> DataFrame:
+def reconcile_log(l: Ledger, source=None, since=None, before=None, limit: int | None = None) -> DataFrame:
     return _log(_filtered(l.table("reconcile_events"), source=source), "created_at", "id", since, before, limit)
 
 
-def refresh_log(l: Ledger, source=None, status=None, since=None, before=None, limit: int = 20) -> DataFrame:
+def refresh_log(l: Ledger, source=None, status=None, since=None, before=None, limit: int | None = None) -> DataFrame:
     return _log(_filtered(views.refresh_log(l), source=source, status=status), "finished_at", "refresh_event_id", since, before, limit)
 
 
-def writeback_log(l: Ledger, target_system=None, status=None, run_id=None, target_identifier=None, origin="writeback", source_entity_id=None, limit: int = 20) -> DataFrame:
+def writeback_log(l: Ledger, target_system=None, status=None, run_id=None, target_identifier=None, origin="writeback", source_entity_id=None, limit: int | None = None) -> DataFrame:
     df = _filtered(l.table("sync_events"), target_system=target_system, status=status, run_id=run_id, target_identifier=target_identifier,
                    origin=origin or "writeback", source_entity_id=source_entity_id)
     return _log(df, "created_at", "id", None, None, limit)

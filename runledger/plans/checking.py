@@ -13,7 +13,7 @@ HELPERS: dict[str, str] = {
         "SELECT p.id AS root, c.id AS node, c.status AS node_status, [p.id, c.id] AS path, 1 AS d "
         "FROM live_jobs p JOIN live_jobs c ON c.retry_of = p.id "
         "UNION ALL SELECT w.root, c.id, c.status, list_append(w.path, c.id), w.d + 1 FROM retry_walk w "
-        "JOIN live_jobs c ON c.retry_of = w.node WHERE w.d < 32 AND NOT list_contains(w.path, c.id)"),
+        "JOIN live_jobs c ON c.retry_of = w.node WHERE NOT list_contains(w.path, c.id)"),
     "recovery": (
         "SELECT j.*, w.s AS success_id, w.a AS active_id, "
         "CASE WHEN j.status = 'failed' THEN CASE WHEN w.s IS NOT NULL THEN 'recovered_failed' "

@@ -30,8 +30,20 @@ def _wide_sql(names: list[str], column: str) -> str:
 
 
 _WCOL = "metric_name || CASE WHEN step <> '' THEN '|step=' || step ELSE '' END || CASE WHEN split <> '' THEN '|split=' || split ELSE '' END"
-# column domain of the projection's wide export: 4 names, even steps up to 4, one split
-_WIDE = sorted(f"eval/m{i}{s}{p}" for i in range(4) for s in ("", "|step=2", "|step=4") for p in ("", "|split=valid"))
+
+
+def _wide_cells(l):
+    """The wide export over all columns found, turned back into one row per filled cell."""
+    names = exports.wide_columns(l)
+    wide = exports.export_runs_wide(l, columns=names, check=False)
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").alias("value"), *[F.col(f"`{n}__{p}`").alias(p) for p in exports.PROVENANCE]) for n in names])
+    return wide.select("experiment_id", "run_id", "run_name", "status", "external_system", "external_id", F.explode(cells).alias("c")).select(
+        "experiment_id", "run_id", "run_name", "status", "external_system", "external_id", "c.*").filter("value IS NOT NULL")
+
+
+_WIDE_CELLS = f"""SELECT w.experiment_id, w.run_id, w.run_name, r.status, r.external_system, r.external_id, {_WCOL} AS "column", any_value(w.value) AS value,
+ any_value(w.source_job_id) AS source_job_id, any_value(w.code_commit) AS source_job_code_commit, any_value(w.source_artifact_id) AS source_artifact_id, any_value(w.uri) AS source_artifact_uri
+ FROM wide_src w JOIN runs r ON r.id = w.run_id GROUP BY ALL HAVING count(*) = 1"""
 
 _COMMIT = "CAST(substr(code_commit, 2) AS BIGINT)"
 register("in_jobs", f"""SELECT *, CASE WHEN n%29=5 THEN 'source row must be an object' WHEN n%11=0 THEN 'missing required field ''external_id'''
@@ -42,7 +54,7 @@ register("in_runs", """SELECT *, CASE WHEN n%3=0 THEN 'e' || n ELSE 'w' || n END
 register("in_metrics", """SELECT *, CASE WHEN n%31=1 OR n%17=3 THEN 'metric rows need run_id, metric_name and value' WHEN n%17 = 2 THEN 'could not convert string to float: abc'
  WHEN n%17 IN (0,1) THEN 'metric value must be finite' END AS error FROM (SELECT *, CAST(floor(value) AS BIGINT) AS n FROM metrics) z""")
 register("in_artifacts", """SELECT *, CASE WHEN n%9=0 THEN 'invalid artifact type ''blob''' WHEN n%8=0 THEN 'missing required field ''uri''' WHEN n%7=0 THEN 'artifact rows need experiment_id, run_id or job_id'
- WHEN n%6=0 THEN 'content hash must be sha256: and 64 hex digits' END AS error FROM (SELECT *, CAST(substr(id,5,length(id)-6) AS BIGINT) AS n FROM artifacts) z""")
+ WHEN n%6=0 THEN 'content hash must be sha256: and 64 hex digits' END AS error FROM (SELECT *, CAST(split_part(id,'_',2) AS BIGINT) AS n FROM artifacts) z""")
 
 
 def _json_feed(adapter, table):
@@ -111,7 +123,7 @@ FLOWS = {
         WHEN regexp_matches(a.uri, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE rtrim(a.uri, '/') END WHERE a.deleted_at IS NULL"""),
     "export_metrics_long": (exports.export_metrics_long, "SELECT * FROM long_rows"),
     "export_metrics_long_named": (lambda l: exports.export_metrics_long(l, ["eval/m1", "eval/m3"]), "SELECT * FROM long_rows WHERE metric_name IN ('eval/m1', 'eval/m3')"),
-    "export_runs_wide": (lambda l: exports.export_runs_wide(l, columns=_WIDE, check=False), _wide_sql(_WIDE, "(" + _WCOL + ")")),
+    "export_runs_wide": (_wide_cells, _WIDE_CELLS),
     "export_runs_wide_named": (lambda l: exports.export_runs_wide(l, metric_names=_M, check=False), _wide_sql(_M, "metric_name")),
     "export_ambiguous_cells": (exports.ambiguous_cells, f"SELECT experiment_id, run_id, {_WCOL} AS \"column\", count(*) AS n FROM long_rows GROUP BY ALL HAVING count(*) > 1"),
     "export_coverage": (exports.export_coverage, """SELECT experiment_id, metric_name, count(DISTINCT run_id) AS run_count, any_value(t.n) AS total_runs, count(DISTINCT run_id) / CAST(any_value(t.n) AS DOUBLE) AS coverage

@@ -26,7 +26,7 @@ register("check_rollup", """
 register("job_listing", " UNION ALL ".join(
     f"SELECT experiment_id, '{n}' AS list_name, id AS job_id, name, status, updated_at, row_number() OVER (PARTITION BY experiment_id ORDER BY "
     f"updated_at {'ASC' if n == 'stale' else 'DESC'}, id) AS rank FROM recovery WHERE experiment_id IS NOT NULL AND {c}" for n, c in _LISTS.items()))
-_CAP = "(SELECT count(*) FROM job_listing g WHERE g.experiment_id = e.id AND rank <= 20 AND list_name {0})"
+_CAP = "(SELECT count(*) FROM job_listing g WHERE g.experiment_id = e.id AND list_name {0})"
 register("status_all", "SELECT *, CAST(blocker_count = 0 AND active_job_count = 0 AS INT) AS is_ready, CAST(blocker_count > 0 AS INT) AS has_active_blockers FROM ("
     "SELECT e.id AS experiment_id, e.name, (SELECT count(*) FROM live_links k WHERE k.experiment_id = e.id) AS run_count, "
     + ", ".join(f"coalesce(j.s_{s}, 0) AS jobs_{s}" for s in JOB_STATUSES)
@@ -47,7 +47,7 @@ def _digest(lists: dict) -> str:
     return " UNION ALL ".join(
         f"SELECT * FROM (SELECT experiment_id, '{n}' AS list_name, row_number() OVER (PARTITION BY experiment_id ORDER BY updated_at DESC, id) AS rank, "
         f"id AS note_id, note_type, status, title, body_format, body, updated_at FROM exp_notes WHERE note_type = '{t}'"
-        + (f" AND status = '{s}'" if s else "") + f") z WHERE rank <= {k}" for n, (t, s, k) in lists.items())
+        + (f" AND status = '{s}'" if s else "") + ") z" for n, (t, s) in lists.items())
 
 
 _MARKED = "deleted_at IS NULL AND attrs_json LIKE '%\"ledger.erratum\":true%'"
@@ -59,9 +59,9 @@ register("lease_rollup", """SELECT e.id AS experiment_id, count(p.id) AS active_
  FROM experiments e LEFT JOIN lease_pairs p ON p.experiment_id = e.id AND p.released_at IS NULL GROUP BY e.id""")
 register("situation", """
  SELECT s.*, f.handoff_status, l.stale_count, l.expired_count, coalesce(q.issue_count, 0) AS audit_issue_count, coalesce(q.ok, 1) AS audit_ok,
-  least((SELECT count(*) FROM exp_notes n WHERE n.experiment_id = s.experiment_id AND note_type = 'handoff' AND status = 'open'), 10) AS n_handoff,
-  least((SELECT count(*) FROM exp_notes n WHERE n.experiment_id = s.experiment_id AND note_type = 'next-action' AND status = 'open'), 10) AS n_next,
-  least((SELECT count(*) FROM exp_notes n WHERE n.experiment_id = s.experiment_id AND note_type = 'debug' AND status = 'open'), 10) AS n_debug,
+  (SELECT count(*) FROM exp_notes n WHERE n.experiment_id = s.experiment_id AND note_type = 'handoff' AND status = 'open') AS n_handoff,
+  (SELECT count(*) FROM exp_notes n WHERE n.experiment_id = s.experiment_id AND note_type = 'next-action' AND status = 'open') AS n_next,
+  (SELECT count(*) FROM exp_notes n WHERE n.experiment_id = s.experiment_id AND note_type = 'debug' AND status = 'open') AS n_debug,
   (SELECT count(*) FROM exp_notes n WHERE n.experiment_id = s.experiment_id AND note_type = 'decision') AS n_decision,
   (SELECT count(*) FROM redacted a WHERE a.experiment_id = s.experiment_id AND a.type = 'metric-table') AS n_table
  FROM status_all s JOIN fresh f USING (experiment_id) JOIN lease_rollup l USING (experiment_id) LEFT JOIN scoped q USING (experiment_id)""")
@@ -89,7 +89,7 @@ def _many(n: str, noun: str) -> str:
     return f"({n}) || ' {noun}' || CASE WHEN ({n}) = 1 THEN '' ELSE 's' END"
 
 
-_NOTES10 = "(SELECT least(count(*), 10) FROM exp_notes n WHERE n.experiment_id = x.experiment_id AND status = 'open' AND note_type IN ('handoff','next-action','debug'))"
+_OPEN_NOTES = "(SELECT count(*) FROM exp_notes n WHERE n.experiment_id = x.experiment_id AND status = 'open' AND note_type IN ('handoff','next-action','debug'))"
 _ACTIONS = [
     ("refresh-external-state", "active_job_count > 0", _many("active_job_count", "active job")),
     ("resolve-failed-jobs", "blocking_failed_job_count + recovery_in_progress_failed_job_count > 0",
@@ -97,7 +97,7 @@ _ACTIONS = [
     ("fix-failing-validations", "failing_validation_count > 0", _many("failing_validation_count", "failing validation")),
     ("write-handoff", "handoff_status IN ('missing','stale')", "'handoff is ' || handoff_status"),
     ("resolve-stale-leases", "stale_lease_count > 0", _many("stale_lease_count", "stale lease")),
-    ("review-open-notes", f"{_NOTES10} > 0", _many(_NOTES10, "open action note")),
+    ("review-open-notes", f"{_OPEN_NOTES} > 0", _many(_OPEN_NOTES, "open action note")),
     ("review-outputs", "lifecycle_state = 'review'", "'unreviewed activity at ' || strftime(last_reviewable_activity_at, '%Y-%m-%dT%H:%M:%SZ')")]
 
 _CLEAN = """SELECT experiment_id, 'debug_note' AS plan, row_number() OVER (PARTITION BY r.experiment_id ORDER BY n.updated_at DESC, n.id) AS rank, n.id AS entity_id,
@@ -106,7 +106,7 @@ _CLEAN = """SELECT experiment_id, 'debug_note' AS plan, row_number() OVER (PARTI
  UNION ALL SELECT entity_id, 'superseded_validation', row_number() OVER (PARTITION BY entity_id ORDER BY check_name, updated_at DESC, id DESC), id, check_name
   FROM validations v WHERE deleted_at IS NULL AND entity_type = 'experiment' AND status <> 'pass' AND EXISTS (FROM validations p WHERE p.deleted_at IS NULL
   AND p.entity_type = 'experiment' AND p.entity_id = v.entity_id AND p.check_name = v.check_name AND p.status = 'pass' AND p.updated_at >= v.updated_at)"""
-register("cleanup", f"SELECT * FROM ({_CLEAN}) z WHERE rank <= 20")
+register("cleanup", _CLEAN)
 
 
 def _refs(l):
@@ -128,7 +128,7 @@ _CLEANED_NOTES = ("SELECT id, status, updated_at, resolved_at, deleted_at FROM (
 
 REPORTS = {
     "experiment_status": (reports.experiment_status, "SELECT * FROM status_all"),
-    "status_job_lists": (reports.status_job_lists, "SELECT experiment_id, list_name, rank, job_id, name, status, updated_at FROM job_listing WHERE rank <= 20"),
+    "status_job_lists": (reports.status_job_lists, "SELECT experiment_id, list_name, rank, job_id, name, status, updated_at FROM job_listing"),
     "run_progress_summary": (reports.run_progress_summary, "SELECT *, CASE WHEN expected IS NOT NULL THEN greatest(expected - total, 0) END AS missing_expected_count FROM ("
         "SELECT e.id AS experiment_id, count(p.run_id) AS total, any_value(CAST(CASE WHEN e.attrs_json LIKE '{%' THEN json_extract_string(e.attrs_json, '$.\"progress.expected_runs\"') END AS BIGINT)) AS expected, "
         + ", ".join(f"count(*) FILTER (WHERE p.kind = '{k}') AS kind_{k}" for k in RUN_KINDS) + ", " + ", ".join(f"count(*) FILTER (WHERE p.phase = '{k}') AS phase_{k}" for k in RUN_PHASES)
@@ -137,14 +137,14 @@ REPORTS = {
     "run_progress_by_metric": (reports.run_progress_by_metric, "SELECT r.experiment_id, metric_name, count(DISTINCT r.id) AS run_count FROM runs r JOIN metrics m ON m.run_id = r.id "
         "WHERE r.deleted_at IS NULL AND m.deleted_at IS NULL AND r.experiment_id IS NOT NULL GROUP BY ALL"),
     "run_progress_failed_examples": (reports.run_progress_failed_examples, "SELECT experiment_id, rank, run_id, name FROM (SELECT *, row_number() OVER (PARTITION BY experiment_id "
-        "ORDER BY name, run_id) AS rank FROM progress WHERE phase = 'failed') z WHERE rank <= 10"),
+        "ORDER BY name, run_id) AS rank FROM progress WHERE phase = 'failed') z"),
     "note_counts": (reports.note_counts, f"SELECT e.id AS experiment_id, t AS note_type, s AS status, (SELECT count(*) FROM exp_notes n WHERE n.experiment_id = e.id AND n.note_type = t AND n.status = s) AS note_count "
         f"FROM experiments e CROSS JOIN unnest({NOTE_TYPES}) AS a(t) CROSS JOIN unnest({NOTE_STATUSES}) AS b(s)"),
     "note_digest": (reports.note_digest, f"SELECT d.* EXCLUDE (body), p.preview AS body_preview FROM ({_digest(reports.STATUS_NOTES)}) d JOIN first_lines p ON p.id = d.note_id"),
     "note_context": (reports.note_context, _digest(reports.CONTEXT_NOTES)),
     "validation_summary": (reports.validation_summary, "SELECT * FROM check_rollup"),
     "experiment_artifacts": (reports.experiment_artifacts, "SELECT o.experiment_id, row_number() OVER (PARTITION BY o.experiment_id ORDER BY updated_at DESC, id) AS rank, id AS artifact_id, type, uri, updated_at "
-        "FROM artifacts a JOIN artifact_owner o ON o.artifact_id = a.id WHERE a.deleted_at IS NULL QUALIFY rank <= 20"),
+        "FROM artifacts a JOIN artifact_owner o ON o.artifact_id = a.id WHERE a.deleted_at IS NULL"),
     "errata_log": (reports.errata_log, f"""SELECT o.experiment_id, k.kind AS entity_type, k.id AS entity_id, k.created_at FROM (
         SELECT 'note' AS kind, id, created_at, entity_type AS tt, entity_id AS ti FROM notes WHERE {_MARKED} UNION ALL SELECT 'artifact', id, created_at, 'artifact', id FROM artifacts WHERE {_MARKED}
         UNION ALL SELECT 'validation', id, created_at, entity_type, entity_id FROM validations WHERE {_MARKED}) k
@@ -154,22 +154,28 @@ REPORTS = {
         heartbeat_at, expires_at FROM (SELECT 'active' AS list_name, heartbeat_at AS t_at, * FROM lease_pairs WHERE released_at IS NULL
         UNION ALL SELECT 'stale', heartbeat_at, * FROM lease_pairs WHERE released_at IS NULL AND heartbeat_at < :as_of - INTERVAL 1 HOUR
         UNION ALL SELECT 'expired', heartbeat_at, * FROM lease_pairs WHERE released_at IS NULL AND expires_at <= :as_of
-        UNION ALL SELECT 'force_takeovers', released_at, * FROM lease_pairs WHERE id IN (SELECT id FROM leases WHERE release_reason = 'force_takeover' ORDER BY released_at DESC, id LIMIT 100)) z
-        QUALIFY rank <= 20"""),
+        UNION ALL SELECT 'force_takeovers', released_at, * FROM lease_pairs WHERE release_reason = 'force_takeover') z"""),
     "entity_experiments_owner": (_entity("owner"), "SELECT * FROM owner_all"),
     "entity_experiments_lease": (_entity("lease"), "SELECT * FROM lease_owner"),
     "entity_experiments_audit": (_entity("audit"), "SELECT * FROM audit_owner"),
     "triage": (reports.triage, f"SELECT experiment_id, failed_list_count AS failed_job_count, stale_list_count AS stale_job_count, n_debug AS open_debug_count, audit_ok, audit_issue_count, "
         f"CAST(to_json({_TRIAGE}) AS VARCHAR) AS suggested_next_actions FROM situation"),
     "triage_artifacts": (reports.triage_artifacts, "SELECT experiment_id, row_number() OVER (PARTITION BY experiment_id ORDER BY updated_at DESC, artifact_id DESC) AS rank, artifact_id, type, uri_locality, display_uri, "
-        "updated_at FROM redacted WHERE experiment_id IS NOT NULL QUALIFY rank <= 20"),
+        "updated_at FROM redacted WHERE experiment_id IS NOT NULL"),
     "closeout_checklist": (reports.closeout_checklist, " UNION ALL ".join(
         f"SELECT experiment_id, {_READY} AS ready, '{i}' AS item_id, CAST({c} AS INT) AS ok, ({n}) || ' {t}' AS detail FROM situation" for i, c, n, t in _CLOSE)),
     "workloop_actions": (reports.workloop_actions, f"SELECT experiment_id, CAST(k - 1 AS INT) AS position, acts[k] AS action FROM (SELECT experiment_id, {_LOOP} AS acts FROM situation) z, unnest(range(1, len(acts) + 1)) AS u(k)"),
     "recommended_actions": (reports.recommended_actions, " UNION ALL ".join(f"SELECT experiment_id, '{i}' AS action_id, {t} AS issue_summary FROM lifecycle_all x WHERE {c}" for i, c, t in _ACTIONS)),
     "cleanup_plan": (reports.cleanup_plan, "SELECT * FROM cleanup"),
     "apply_cleanup": (lambda l: reports.apply_cleanup(l)["notes"].filter("title IS NULL OR title <> 'Experiment cleanup'").select("id", "status", "updated_at", "resolved_at", "deleted_at"), _CLEANED_NOTES),
-    "write_handoffs": (lambda l: reports.write_handoffs(l)["notes"].select("id", "entity_id", "note_type", "body"), None),
+    "write_handoffs": (lambda l: reports.write_handoffs(l)["notes"].select("entity_type", "entity_id", "note_type", "status", "title", "body", "created_at", "deleted_at"), """
+        SELECT entity_type, entity_id, note_type, status, title, body, created_at, deleted_at FROM notes UNION ALL SELECT 'experiment', experiment_id, 'checkpoint', 'open', 'Experiment handoff',
+        '# Experiment Handoff' || chr(10) || chr(10) || '## Freshness' || chr(10) || chr(10) || '- Handoff status: `' || handoff_status || '`' || chr(10) || '- Drifted artifacts: ' || drifted_artifact_count
+        || chr(10) || '- Stale validations: ' || stale_validation_count || chr(10), :as_of, NULL FROM fresh WHERE deleted_at IS NULL"""),
+    "handoff_examples": (reports.handoff_examples, """SELECT experiment_id, section, row_number() OVER (PARTITION BY experiment_id, section ORDER BY updated_at DESC, entity_id) AS rank, entity_id, label FROM (
+        SELECT o.experiment_id, 'drifted_artifact' AS section, d.artifact_id AS entity_id, a.uri || ' (' || d.drift_kind || ')' AS label, a.updated_at
+        FROM drift d JOIN artifacts a ON a.id = d.artifact_id JOIN artifact_owner o ON o.artifact_id = a.id
+        UNION ALL SELECT c.entity_id, 'stale_validation', c.validation_id, c.check_name, v.updated_at FROM stale_checks_own c JOIN validations v ON v.id = c.validation_id) z"""),
     "archive_experiments": (lambda l: reports.archive_experiments(l, l.table("experiments").filter(F.col("description") == "BUILDING")),
         "SELECT * REPLACE (CASE WHEN description = 'BUILDING' THEN 'archived' ELSE status END AS status, CASE WHEN description = 'BUILDING' THEN coalesce(deleted_at, :as_of) ELSE deleted_at END AS deleted_at, "
         "CASE WHEN description = 'BUILDING' THEN :as_of ELSE updated_at END AS updated_at) FROM experiments"),
@@ -184,11 +190,11 @@ REPORTS = {
     "list_metrics": (lambda l: reports.list_metrics(l, metric_name="eval/m1"), "SELECT * FROM metrics WHERE deleted_at IS NULL AND metric_name = 'eval/m1'"),
     "list_notes": (lambda l: reports.list_notes(l, entity_type="experiment", status="open"), "SELECT * FROM notes WHERE deleted_at IS NULL AND entity_type = 'experiment' AND status = 'open'"),
     "list_validations": (lambda l: reports.list_validations(l, status="warning"), "SELECT * FROM validations WHERE deleted_at IS NULL AND status = 'warning'"),
-    "list_sessions": (lambda l: reports.list_sessions(l, agent="codex", open_only=True), "SELECT * FROM sessions WHERE agent = 'codex' AND ended_at IS NULL ORDER BY started_at DESC, id DESC LIMIT 20"),
-    "list_leases": (lambda l: reports.list_leases(l, entity_type="experiment"), "SELECT * FROM leases WHERE entity_type = 'experiment' AND released_at IS NULL ORDER BY heartbeat_at DESC, id LIMIT 100"),
-    "reconcile_log": (lambda l: reports.reconcile_log(l, since=_D1, before=_D2, limit=50), "SELECT * FROM reconcile_events WHERE created_at >= TIMESTAMP '2001-11-20 00:00:00' AND created_at < TIMESTAMP '2001-11-25 00:00:00' ORDER BY created_at DESC, id DESC LIMIT 50"),
-    "refresh_log": (lambda l: reports.refresh_log(l, status="failed"), "SELECT id AS refresh_event_id, * EXCLUDE (id) FROM refresh_events WHERE status = 'failed' ORDER BY finished_at DESC, id DESC LIMIT 20"),
-    "writeback_log": (lambda l: reports.writeback_log(l, target_system="wandb", status="synced"), "SELECT * FROM sync_events WHERE target_system = 'wandb' AND status = 'synced' AND origin = 'writeback' ORDER BY created_at DESC, id DESC LIMIT 20"),
+    "list_sessions": (lambda l: reports.list_sessions(l, agent="codex", open_only=True), "SELECT * FROM sessions WHERE agent = 'codex' AND ended_at IS NULL"),
+    "list_leases": (lambda l: reports.list_leases(l, entity_type="experiment"), "SELECT * FROM leases WHERE entity_type = 'experiment' AND released_at IS NULL"),
+    "reconcile_log": (lambda l: reports.reconcile_log(l, since=_D1, before=_D2), "SELECT * FROM reconcile_events WHERE created_at >= TIMESTAMP '2001-11-20 00:00:00' AND created_at < TIMESTAMP '2001-11-25 00:00:00'"),
+    "refresh_log": (lambda l: reports.refresh_log(l, status="failed"), "SELECT id AS refresh_event_id, * EXCLUDE (id) FROM refresh_events WHERE status = 'failed'"),
+    "writeback_log": (lambda l: reports.writeback_log(l, target_system="wandb", status="synced"), "SELECT * FROM sync_events WHERE target_system = 'wandb' AND status = 'synced' AND origin = 'writeback'"),
     "resolve_refs": (_refs, """SELECT f.ref, coalesce(d.id, CASE WHEN n.c = 1 THEN n.lo END) AS id, CASE WHEN d.id IS NOT NULL OR n.c = 1 THEN 'ok' WHEN n.c > 1 THEN 'ambiguous' ELSE 'missing' END AS status
         FROM (SELECT name AS ref FROM runs UNION SELECT id FROM runs UNION SELECT id || 'x' FROM runs) f LEFT JOIN runs d ON d.id = f.ref
         LEFT JOIN (SELECT name, count(*) AS c, min(id) AS lo FROM runs WHERE deleted_at IS NULL GROUP BY name) n ON n.name = f.ref"""),

@@ -111,7 +111,7 @@ _OWN = """SELECT x.id AS {k}_id, l.id AS lease_id, l.owner_agent, l.session_id,
  CASE WHEN l.heartbeat_at < :as_of - INTERVAL 1 HOUR THEN 1 ELSE 0 END AS is_stale, CASE WHEN l.expires_at <= :as_of THEN 1 ELSE 0 END AS is_expired
  FROM {t} x LEFT JOIN (SELECT * FROM leases WHERE released_at IS NULL AND entity_type = '{k}') l ON l.entity_id = x.id {join} WHERE x.deleted_at IS NULL"""
 register("depth_walk", """SELECT id, 0 AS depth FROM jobs WHERE retry_of IS NULL
- UNION ALL SELECT j.id, w.depth + 1 FROM depth_walk w JOIN jobs j ON j.retry_of = w.id WHERE w.depth < 32""")
+ UNION ALL SELECT j.id, w.depth + 1 FROM depth_walk w JOIN jobs j ON j.retry_of = w.id""")
 
 VIEWS = {
     "v_artifacts": (views.artifacts, "SELECT id AS artifact_id, experiment_id, run_id, job_id, type, uri, content_hash, created_at, updated_at, attrs_json FROM artifacts WHERE deleted_at IS NULL"),

@@ -99,7 +99,7 @@ _COLS: dict[str, tuple[dict[str, str], str]] = {
         "attrs_json": "CASE WHEN l_partkey%71=0 THEN '{\"ledger.erratum\":true}' WHEN l_partkey%7=0 THEN "
                       "concat('{\"ledger.local_mtime_at_capture\":',l_partkey,'.5,\"ledger.local_path_at_capture\":\"/cap/',l_orderkey,'_',seq,"
                       "'\",\"ledger.local_size_at_capture\":',l_suppkey,'}') ELSE '{}' END",
-    }, "li_seq WHERE seq<=2"),
+    }, "li_seq"),
     "metrics": ({
         "id": "concat('met_',l_orderkey,'_',seq)", "run_id": "concat('run_',l_orderkey)",
         "metric_name": "concat('eval/m',l_partkey%4)", "value": "l_extendedprice",
@@ -108,7 +108,7 @@ _COLS: dict[str, tuple[dict[str, str], str]] = {
         "source_job_id": "concat('job_',l_orderkey,'_',seq)",
         "source_artifact_id": "CASE WHEN seq<=2 THEN concat('art_',l_orderkey,'_',seq) END",
         "created_at": "l_shipdate", "updated_at": "l_shipdate", "deleted_at": _deleted("l_partkey%67=0"),
-    }, "li_seq WHERE l_partkey%7<>0"),
+    }, "li_seq"),
     "notes": ({
         "id": "concat('note_',doc_id)",
         "entity_type": "CASE CAST(doc_id%4 AS INT) WHEN 2 THEN 'job' WHEN 3 THEN 'run' ELSE 'experiment' END",
@@ -174,10 +174,10 @@ _COLS: dict[str, tuple[dict[str, str], str]] = {
     "reconcile_events": ({
         "id": "concat('rec_',event_id)", "experiment_id": "concat('exp_',user_id)", "source": "event_type",
         "created_at": _EVENT_TS, "counts_json": "CASE WHEN event_id%50=0 THEN '{bad' ELSE props END",
-    }, "events WHERE event_id%10=0"),
+    }, "events"),
     "reconcile_operations": ({
         "id": "concat('recop_',event_id)",
-        "reconcile_event_id": "concat('rec_',event_id-event_id%10+(CASE WHEN event_id%97=0 THEN 1 ELSE 0 END))",
+        "reconcile_event_id": "CASE WHEN event_id%97=0 THEN concat('rec_none_',event_id) ELSE concat('rec_',event_id-event_id%10) END",
         "op_index": "event_id%10",
         "entity": "CASE CAST(event_id%3 AS INT) WHEN 0 THEN 'runs' WHEN 1 THEN 'jobs' ELSE 'metrics' END",
         "action": "CASE CAST(event_id%4 AS INT) WHEN 0 THEN 'insert' WHEN 1 THEN 'update' WHEN 2 THEN 'noop' ELSE 'archive' END",
@@ -190,7 +190,7 @@ _COLS: dict[str, tuple[dict[str, str], str]] = {
         "started_at": _EVENT_TS, "finished_at": f"{_EVENT_TS} + INTERVAL '1' MINUTE",
         "manifest_path": "CASE WHEN event_id%3<>0 THEN concat('/snap/',event_id,'.manifest.json') END",
         "counts_json": "props", "command_argv_json": "'[]'",
-    }, "events WHERE event_id%20=0"),
+    }, "events"),
 }
 
 _UNIONS = {
@@ -215,11 +215,11 @@ _UNIONS = {
     # Observed files: every third captured size changed, every fourth mtime changed, every fifth file gone.
     "inventory": (
         "SELECT concat('/cap/',l_orderkey,'_',seq) AS path, CAST(l_partkey AS DOUBLE) + CASE WHEN l_orderkey%4=0 THEN 1.5 ELSE 0.5 END AS mtime, "
-        "l_suppkey + CASE WHEN l_orderkey%3=0 THEN 1 ELSE 0 END AS size FROM li_seq WHERE seq<=2 AND l_partkey%7=0 AND l_orderkey%5<>0 "
+        "l_suppkey + CASE WHEN l_orderkey%3=0 THEN 1 ELSE 0 END AS size FROM li_seq WHERE l_partkey%7=0 AND l_orderkey%5<>0 "
         "UNION ALL SELECT concat(CASE CAST((l_partkey+seq)%9 AS INT) WHEN 4 THEN '/tmp/p/' WHEN 6 THEN '/abs/dir/' ELSE 'rel/' END, l_orderkey,'_',seq,"
-        "CASE WHEN l_partkey%8=0 THEN '/' ELSE '.json' END), 1.0, 1 FROM li_seq WHERE seq<=2 AND (l_partkey+seq)%9 IN (4,6,7) AND l_orderkey%2=0 "
+        "CASE WHEN l_partkey%8=0 THEN '/' ELSE '.json' END), 1.0, 1 FROM li_seq WHERE (l_partkey+seq)%9 IN (4,6,7) AND l_orderkey%2=0 "
         "UNION ALL SELECT concat('/snap/',event_id,'.manifest.json'), "
-        "CASE WHEN event_id%7=0 THEN 1.0E9 ELSE 1.00E9 + 7.0E6 END, 1 FROM events WHERE event_id%20=0 AND event_id%3=1"),
+        "CASE WHEN event_id%7=0 THEN 1.0E9 ELSE 1.00E9 + 7.0E6 END, 1 FROM events WHERE event_id%3=1"),
 }
 
 # Raw feeds as an outside system would send them, with some broken rows.
@@ -244,7 +244,7 @@ _RAW = {
         "SELECT id AS row_index, concat('{\"type\":\"', CASE WHEN n%9=0 THEN 'blob' ELSE type END, '\"', CASE WHEN n%8=0 THEN '' ELSE concat(',\"uri\":\"gs://n/',id,'\"') END, "
         "CASE WHEN n%7=0 THEN ',\"run_id\":\"\"' ELSE concat(',\"run_id\":\"run_',n,'\"') END, CASE WHEN n%6=0 THEN ',\"content_hash\":\"md5:1\"' "
         "WHEN n%6=1 THEN concat(',\"content_hash\":\"sha256:',repeat('AB',32),'\"') ELSE '' END, '}') AS text "
-        "FROM (SELECT *, CAST(substr(id,5,length(id)-6) AS BIGINT) AS n FROM artifacts) z"),
+        "FROM (SELECT *, CAST(split_part(id,'_',2) AS BIGINT) AS n FROM artifacts) z"),
     "raw_bulk": (
         "SELECT m.id AS row_index, CASE WHEN n%3=0 THEN r.name WHEN n%3=1 THEN concat(m.run_id,'z') ELSE m.run_id END AS run, m.metric_name AS name, "
         "CASE WHEN n%13=0 THEN 'x1' ELSE CAST(n AS STRING) END AS value, m.step, CASE WHEN n%5=0 THEN concat(source_job_id,'q') ELSE source_job_id END AS source_job_id, source_artifact_id "

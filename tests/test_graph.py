@@ -23,7 +23,7 @@ def brute(jobs):
                 if depth == 0:
                     seen.add(c)
                     todo.append((c, [root, c], 1))
-                elif depth < 32 and c not in path:
+                elif c not in path:
                     seen.add(c)
                     todo.append((c, [*path, c], depth + 1))
         found[root] = seen
@@ -54,12 +54,12 @@ def brute_depth(jobs):
     out = {}
     for j in by:
         d, cur = 0, j
-        while by.get(cur) is not None and d <= 40:
+        while by.get(cur) is not None and d <= len(by):
             cur, d = by[cur], d + 1
             if cur not in by:
-                d = 99
+                d = len(by) + 1
                 break
-        out[j] = d if d <= 32 else 0
+        out[j] = d if d <= len(by) else 0
     return out
 
 
@@ -77,7 +77,8 @@ def random_jobs(seed, n=80):
             parent = "nowhere"
         jobs.append({"id": f"j{i}", "status": rnd.choice(["failed", "failed", "failed", "succeeded", "queued", "killed"]), "retry_of": parent,
                      "deleted_at": __import__("datetime").datetime(2025, 1, 1) if rnd.random() < 0.05 else None})
-    chain = [{"id": f"c{i:02d}", "status": "succeeded" if i == 36 else "failed", "retry_of": f"c{i - 1:02d}" if i else None} for i in range(40)]
+    chain = [{"id": f"c{i:03d}", "status": "succeeded" if i == 196 else "failed", "retry_of": f"c{i - 1:03d}" if i else None} for i in range(200)]
+    chain += [{"id": f"r{i:03d}", "status": "queued" if i == 9 else "failed", "retry_of": f"r{(i + 1) % 70:03d}"} for i in range(70)] + [{"id": f"q{i}", "status": "failed", "retry_of": f"q{i - 1}" if i else "r033"} for i in range(9)]
     ring = [{"id": f"k{i}", "status": "failed", "retry_of": f"k{(i + 1) % 5}"} for i in range(5)] + [{"id": f"t{i}", "status": "failed", "retry_of": f"t{i - 1}" if i else "k2"} for i in range(4)]
     star = [{"id": "hub", "status": "failed"}] + [{"id": f"s{i}", "status": "running" if i == 7 else "failed", "retry_of": "hub"} for i in range(60)]
     return jobs + chain + ring + star + [{"id": "self", "status": "succeeded", "retry_of": "self"}]
