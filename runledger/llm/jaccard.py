@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from runledger.lineage import cut
 from runledger.llm.common import buffers, mixed, ready, slices, words
-from runledger.llm.links import Union, components, grouped
+from runledger.llm.links import Union, components, grouped, run_starts
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -125,15 +125,30 @@ def _similar(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return 1 - np.bitwise_count((one ^ many).view(np.uint64)).sum(1) / 64
 
 
-def _elect(batches: Iterator[pa.RecordBatch], everyone: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, near): links between sets of a node and its leaders; with a = b, a leader.
+def _company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves out sets that are alone below their node, which are most; the ends of a batch may go on in the next."""
+    for batch in batches:
+        new = np.append(run_starts(batch, ["node", "part"]), True)
+        alone = new[:-1] & new[1:] & (batch.column("part").to_numpy() == 0)
+        alone[:1] = alone[-1:] = False
+        yield batch.filter(pa.array(~alone))
+
+
+def _elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, near): links between sets of a node and its leaders; with a = b, a leader of a part of a large node.
 
     Small nodes compare all their sets.  In large ones, a set is compared with the leaders so far and becomes one
     unless it is covered; as similarity is a metric, two sets at the threshold meet at the leader that covers one of them.
     """
     def work(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         uid = group.column("uid").to_numpy()
-        if len(uid) == 1 and not everyone:
+        part = group.column("part")[0].as_py()
+        if len(uid) == 1 and not part:
+            return
+        if len(uid) == 2 and not part:
+            near = _similar(sketch_of(group, 0), sketch_of(group, 1)[None])
+            if near[0] >= NEAR:
+                yield pa.record_batch({"node": group.column("node").slice(0, 1), "a": group.column("uid").slice(0, 1), "b": group.column("uid").slice(1, 1), "near": pa.array(near)})
             return
         sketch = np.stack([group.column("sketch1").to_numpy(), group.column("sketch2").to_numpy()], 1)
         small = len(uid) <= 64
@@ -158,13 +173,16 @@ def _elect(batches: Iterator[pa.RecordBatch], everyone: bool) -> Iterator[pa.Rec
                     tree.join(i, j)
                     keep.append(k)
             a, b, near = ([x[k] for k in keep] for x in (a, b, near))
-        if everyone:
+        if part:
             a, b, near = a + [uid[i] for i in leaders], b + [uid[i] for i in leaders], near + [1.0] * len(leaders)
         if a:
             yield pa.record_batch({"node": pa.array([group.column("node")[0].as_py()] * len(a), pa.int64()),
                                    "a": pa.array(np.asarray(a, np.int64)), "b": pa.array(np.asarray(b, np.int64)), "near": pa.array(np.asarray(near, float))})
 
-    yield from grouped(batches, ["node", "part"], work)
+    def sketch_of(group: pa.RecordBatch, i: int) -> np.ndarray:
+        return np.asarray([group.column("sketch1")[i].as_py(), group.column("sketch2")[i].as_py()], np.int64)
+
+    yield from grouped(_company(batches), ["node", "part"], work)
 
 
 _LINK = "node long, a long, b long, near double"
@@ -178,12 +196,10 @@ def candidate_links(sets: DataFrame, depth: int) -> DataFrame:
     salted = nodes.join(hot, "node", "left").select("node", F.when(F.col("size").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("uid"), parts)).cast("int").alias("part"),
                                                     "uid", "sketch1", "sketch2")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = cut(salted.repartition(n, "node", "part").sortWithinPartitions("node", "part", "uid").mapInArrow(
-        lambda it: _elect(it, True), _LINK), "node-links")
+    first = cut(salted.repartition(n, "node", "part").sortWithinPartitions("node", "part", "uid").mapInArrow(_elect, _LINK), "node-links")
     leaders = first.where("a = b").join(hot, "node", "left_semi").select("node", F.col("a").alias("uid")).join(
         sets.select("uid", "sketch1", "sketch2"), "uid").withColumn("part", F.lit(0))
-    second = leaders.repartition(n, "node").sortWithinPartitions("node", "uid").select("node", "part", "uid", "sketch1", "sketch2").mapInArrow(
-        lambda it: _elect(it, False), _LINK)
+    second = leaders.repartition(n, "node").sortWithinPartitions("node", "uid").select("node", "part", "uid", "sketch1", "sketch2").mapInArrow(_elect, _LINK)
     return cut(first.where("a <> b").unionByName(second).groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("near").alias("near")), "links")
 
 

@@ -52,26 +52,47 @@ class Union:
         self.up[max(i, j)] = min(i, j)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Apply ``work`` to each run of equal integer keys in batches sorted by them; runs must be of bounded size."""
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Apply ``work`` to each run of equal integer keys in batches sorted by them; runs must be of bounded size.
+
+    What small runs give is handed on together.
+    """
+    ready: list[pa.RecordBatch] = []
+    for run in _runs(batches, keys):
+        ready += work(run)
+        if len(ready) >= 256 or ready and ready[-1].num_rows >= rows:
+            yield pa.concat_batches(ready)
+            ready = []
+    if ready:
+        yield pa.concat_batches(ready)
+
+
+def run_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Whether each row differs from the one before it in the batch; the first does."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        column = batch.column(k).to_numpy(zero_copy_only=False)
+        new[1:] |= column[1:] != column[:-1]
+    return new
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(batch.num_rows, bool)
-        new[0] = not held or any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, columns, strict=True))
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        cuts = np.flatnonzero(new)
-        if not len(cuts):
-            held.append(batch)
-            continue
-        if held:
-            head = batch.slice(0, cuts[0])
-            yield from work(pa.concat_batches([*held, head]))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield from work(batch.slice(a, b - a))
-        held = [batch.slice(cuts[-1])]
+        cuts = np.flatnonzero(run_starts(batch, keys))
+        goes_on = bool(held) and all(held[-1].column(k)[-1].as_py() == batch.column(k)[0].as_py() for k in keys)
+        ends = np.append(cuts[1:], batch.num_rows)
+        if goes_on:
+            held.append(batch.slice(0, ends[0]))
+            cuts, ends = cuts[1:], ends[1:]
+        if len(cuts):
+            if held:
+                yield pa.concat_batches(held)
+            for a, b in zip(cuts[:-1], ends[:-1], strict=True):
+                yield batch.slice(a, b - a)
+            held = [batch.slice(cuts[-1])]
     if held:
-        yield from work(pa.concat_batches(held))
+        yield pa.concat_batches(held)
