@@ -39,7 +39,7 @@ FLOOR, TARGET = 0.999, 0.9995
 #: Estimated similarities from which two sets are candidates, and from which a set needs no leader of its own.
 NEAR, COVERED = 0.5, 0.75
 #: Sets of a node compared in one go, and sets and shingles of a block of verified pairs.
-NODE_SETS, BLOCK_SETS, BLOCK_SHINGLES = 4096, 512, 1_000_000
+NODE_SETS, BLOCK_SETS, BLOCK_SHINGLES = 4096, 2048, 2_000_000
 
 _rng = np.random.default_rng(41)
 _STEP = _rng.integers(1, 2**64, SHINGLE, np.uint64) | np.uint64(1)
@@ -155,24 +155,22 @@ def _elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, near = [], [], []
         leaders: list[int] = []
         lead = np.zeros((len(uid), 2), np.int64)
+        tree = np.zeros(len(uid), np.int64)  # number of the tree each leader is in
         for i in range(len(uid)):
-            score = _similar(sketch[i], lead[:len(leaders)])
-            for k in np.flatnonzero(score >= (NEAR if small else NEAR - 0.15)):
-                a.append(uid[i])
-                b.append(uid[leaders[k]])
-                near.append(score[k])
+            n = len(leaders)
+            score = _similar(sketch[i], lead[:n])
+            meets = np.flatnonzero(score >= (NEAR if small else NEAR - 0.15))
+            # one link to each tree that the set meets, at its most similar leader, joins them all
+            meets = meets[np.argsort(-score[meets], kind="stable")]
+            trees, best = np.unique(tree[meets], return_index=True)
+            a += [uid[i]] * len(best)
+            b += [uid[leaders[k]] for k in meets[best]]
+            near += score[meets[best]].tolist()
+            if len(trees) > 1:
+                tree[:n][np.isin(tree[:n], trees)] = trees[0]
             if small or not (score >= COVERED).any():
-                lead[len(leaders)] = sketch[i]
+                lead[n], tree[n] = sketch[i], trees[0] if len(trees) else i
                 leaders.append(i)
-        if small and len(a) > len(uid):  # a node's links are a tree at most
-            place, tree = {u: k for k, u in enumerate(uid.tolist())}, Union(len(uid))
-            keep = []
-            for k in np.argsort(-np.asarray(near), kind="stable"):
-                i, j = place[int(a[k])], place[int(b[k])]
-                if tree.root(i) != tree.root(j):
-                    tree.join(i, j)
-                    keep.append(k)
-            a, b, near = ([x[k] for k in keep] for x in (a, b, near))
         if part:
             a, b, near = a + [uid[i] for i in leaders], b + [uid[i] for i in leaders], near + [1.0] * len(leaders)
         if a:
