@@ -32,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls are empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if texts.null_count:
+        texts = texts.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     _, offsets, data = texts.buffers()
-    where = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    where = np.frombuffer(offsets, kind)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), where
 
 
@@ -56,7 +58,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = 1 << (n - 1).bit_length()
         for name, base in (("up", _M), ("down", _M_INV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

@@ -40,6 +40,8 @@ from runledger.llm.common import buffers, mixed, ragged, ready, running, slices
 from runledger.llm.urls import BITS_PER_KEY, BLOCK_BYTES, _held, _level
 
 WIDTH, GRAM, BLOCK = 400, 32, 62
+#: Text bytes looked at together; a worker holds some 20 arrays of 8 times as many.
+SLICE_BYTES = 1 << 19
 #: Tuples of one core sorted in one task; cores with more go the way of single names.
 CORE_TUPLES = 20_000
 #: Tuples induced at a time.
@@ -117,7 +119,7 @@ def _each(batches: Iterator[pa.RecordBatch], z: Sizes):
     """(batch, first row, bytes, offsets, blocks) for slices of the texts."""
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, SLICE_BYTES):
             found = blocks_of(data, offsets[a:b + 1], z)
             if found is not None:
                 yield batch, a, data, offsets[a:b + 1], found
