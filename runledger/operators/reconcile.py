@@ -122,6 +122,11 @@ def _blank(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def _least_of(ledger_side: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Manifest keys with the least ledger id of each: the ledger side is one row per key before it meets the manifest's rows."""
+    return keys.join(ledger_side.join(keys.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.min("existing_id").alias("existing_id")), on)
+
+
 def match_existing(l: Ledger, section: str, rows: DataFrame) -> DataFrame:
     """(row_index, existing_id): the ledger row each manifest row means, by priority.
 
@@ -135,8 +140,7 @@ def match_existing(l: Ledger, section: str, rows: DataFrame) -> DataFrame:
     def add(priority: int, ledger_side: DataFrame, on: list[str], where: Column | None = None) -> None:
         side = rows if where is None else rows.filter(where)
         keys = side.select("row_index", *[F.col(c).alias(f"k{i}") for i, c in enumerate(on)])
-        cond = [ledger_side[f"k{i}"] == keys[f"k{i}"] for i in range(len(on))]
-        hits.append(ledger_side.join(keys, cond).select("row_index", F.lit(priority).alias("priority"), "existing_id"))
+        hits.append(_least_of(ledger_side, keys, [f"k{i}" for i in range(len(on))]).select("row_index", F.lit(priority).alias("priority"), "existing_id"))
 
     def side(df: DataFrame, *cols: Column) -> DataFrame:
         return df.select(F.col("id").alias("existing_id"), *[c.alias(f"k{i}") for i, c in enumerate(cols)])
@@ -157,15 +161,21 @@ def match_existing(l: Ledger, section: str, rows: DataFrame) -> DataFrame:
         optional = ["step", "split", "source_job_id", "source_artifact_id"]
         keyed_rows = rows.select("row_index", F.col("run_id").alias("k0"), F.col("metric_name").alias("k1"), *[_blank(c).alias(f"k{i + 2}") for i, c in enumerate(optional)])
         there = side(live, F.col("run_id"), F.col("metric_name"), *[_blank(c) for c in optional])
-        hits.append(there.join(keyed_rows, [f"k{i}" for i in range(6)]).select("row_index", F.lit(1).alias("priority"), "existing_id"))
+        hits.append(_least_of(there, keyed_rows, [f"k{i}" for i in range(6)]).select("row_index", F.lit(1).alias("priority"), "existing_id"))
     best = union_all(hits).groupBy("row_index").agg(F.min(F.struct("priority", "existing_id")).alias("m"))
     return best.select("row_index", F.col("m.existing_id").alias("existing_id"))
 
 
 # --- shared pieces of the planners ------------------------------------------------
 
-def new_id(section: str, as_of: str) -> Column:
-    return F.concat(F.lit(ID_PREFIX[section] + "_"), F.substring(F.sha2(F.concat_ws("|", F.lit(section), F.lit(as_of), F.col("row_index").cast("string")), 256), 1, 26))
+def apply_number(l: Ledger) -> int:
+    """How many manifests the ledger has taken so far; it tells apart two that are applied at one reference time."""
+    return l.once("apply_number", lambda: l.table("reconcile_events").count())
+
+
+def new_id(section: str, l: Ledger) -> Column:
+    return F.concat(F.lit(ID_PREFIX[section] + "_"), F.substring(
+        F.sha2(F.concat_ws("|", F.lit(section), F.lit(str(l.as_of)), F.lit(str(apply_number(l))), F.col("row_index").cast("string")), 256), 1, 26))
 
 
 def _op_errors(section: str) -> list[Column]:
@@ -340,7 +350,7 @@ def plan_runs(l: Ledger, manifest: DataFrame, experiment_id: str | None = None)
     df = _known(l, "runs", df, "parent_run_id", "parent_known")
     links = l.table("experiment_runs").select("experiment_id", F.col("run_id").alias("existing_id"), F.lit(True).alias("linked"))
     df = df.join(links, ["experiment_id", "existing_id"], "left")
-    rid = F.coalesce("existing_id", F.nullif("id", F.lit("")), new_id("runs", str(l.as_of)))
+    rid = F.coalesce("existing_id", F.nullif("id", F.lit("")), new_id("runs", l))
     checks = [
         v.choice(F.coalesce("status", F.lit("active")), schemas.RUN_STATUSES, "run status"), v.choice(F.coalesce("kind", F.lit("datapoint")), schemas.RUN_KINDS, "run kind"),
         v.idempotency_key("idempotency_key"), F.when(F.col("parent_run_id") == rid, "parent run cannot be the run itself"),
@@ -357,7 +367,7 @@ def plan_jobs(l: Ledger, manifest: DataFrame, experiment_id: str | None = None)
         rows = rows.withColumn("experiment_id", F.coalesce("experiment_id", F.lit(experiment_id)))
     df = _experiment_state(l, _with_existing(l, "jobs", rows))
     checks = [v.choice(F.coalesce("status", F.lit("planned")), schemas.JOB_STATUSES, "job status"), v.utc_z("started_at"), v.utc_z("finished_at"), *_experiment_error()]
-    return _finish("jobs", df, checks, F.coalesce("existing_id", F.nullif("id", F.lit("")), new_id("jobs", str(l.as_of))))
+    return _finish("jobs", df, checks, F.coalesce("existing_id", F.nullif("id", F.lit("")), new_id("jobs", l)))
 
 
 def plan_job_runs(l: Ledger, manifest: DataFrame) -> DataFrame:
@@ -396,7 +406,7 @@ def plan_artifacts(l: Ledger, manifest: DataFrame, experiment_id: str | None = N
     sides = owners.groupBy("row_index", "resolved_id").agg(F.count_distinct("side").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"))
     foreign = sides.groupBy("row_index").agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("n = 1 AND lo <> hi")
     df = _flag_rows(df, foreign, "foreign")
-    fresh = new_id("artifacts", str(l.as_of))
+    fresh = new_id("artifacts", l)
     wanted = F.nullif("id", F.lit(""))
     aid = F.when(F.col("errata"), F.when(wanted.isNull() | wanted.eqNullSafe(F.col("existing_id")), fresh).otherwise(wanted)).otherwise(F.coalesce("existing_id", wanted, fresh))
     checks = [v.required("type"), v.choice("type", schemas.ARTIFACT_TYPES, "artifact type"), v.content_hash("content_hash"), *_experiment_error(F.col("errata")),
@@ -412,7 +422,7 @@ def plan_metrics(l: Ledger, manifest: DataFrame) -> DataFrame:
     df = _with_existing(l, "metrics", rows)
     number = v.python_float(F.col("value"))
     checks = [v.required("run_id"), v.required("metric_name"), F.when(F.col("value").isNull(), "metric rows need a value"), F.when(number.isNull(), "metric value must be numeric")]
-    return _finish("metrics", df, checks, F.coalesce("existing_id", F.nullif("id", F.lit("")), new_id("metrics", str(l.as_of))))
+    return _finish("metrics", df, checks, F.coalesce("existing_id", F.nullif("id", F.lit("")), new_id("metrics", l)))
 
 
 def plan_notes(l: Ledger, manifest: DataFrame, session_id: str | None = None) -> DataFrame:
@@ -429,7 +439,7 @@ def plan_notes(l: Ledger, manifest: DataFrame, session_id: str | None = None) ->
               F.when(~insert & F.col("old_archived"), "notes of archived experiments cannot be updated")]
     df = df.withColumn("body_format", F.coalesce("body_format", F.when(insert, F.lit("markdown")))).withColumn(
         "attrs_json", F.when(F.col("errata") & (F.col("op") == "upsert"), _errata_attrs(l, F.col("attrs_json"), session_id)).otherwise(F.col("attrs_json")))
-    return _finish("notes", df, checks, F.coalesce("existing_id", F.nullif("id", F.lit("")), new_id("notes", str(l.as_of))))
+    return _finish("notes", df, checks, F.coalesce("existing_id", F.nullif("id", F.lit("")), new_id("notes", l)))
 
 
 def plan_validations(l: Ledger, manifest: DataFrame, session_id: str | None = None) -> DataFrame:
@@ -454,7 +464,7 @@ def plan_validations(l: Ledger, manifest: DataFrame, session_id: str | None = No
         "attrs_json", F.when(F.col("errata") & (F.col("op") == "upsert"), _errata_attrs(l, F.col("attrs_json"), session_id, F.col("existing_id"))).otherwise(F.col("attrs_json")))
     if "_present" in df.columns:
         df = df.withColumn("_present", F.array_union("_present", F.array(F.lit("details"))))
-    fresh, wanted = new_id("validations", str(l.as_of)), F.nullif("id", F.lit(""))
+    fresh, wanted = new_id("validations", l), F.nullif("id", F.lit(""))
     vid = F.when(F.col("errata"), F.when(wanted.isNull() | wanted.eqNullSafe(F.col("existing_id")), fresh).otherwise(wanted)).otherwise(F.coalesce("existing_id", wanted, fresh))
     return _finish("validations", df, checks, vid, errata_replace=replace)
 
@@ -487,7 +497,7 @@ def plan_sync_events(l: Ledger, manifest: DataFrame) -> DataFrame:
     keys = rows.filter(F.col("idempotency_key") != "").select("row_index", "target_system", _blank("target_identifier").alias("_ident"), "idempotency_key")
     there = l.table("sync_events").filter((F.col("origin") == "manifest") & F.col("idempotency_key").isNotNull()).select(
         "target_system", _blank("target_identifier").alias("_ident"), "idempotency_key", F.col("id").alias("existing_id"))
-    known = there.join(keys, ["target_system", "_ident", "idempotency_key"]).groupBy("row_index").agg(F.min("existing_id").alias("existing_id"))
+    known = _least_of(there, keys, ["target_system", "_ident", "idempotency_key"]).select("row_index", "existing_id")
     df = rows.join(known, "row_index", "left")
     extra_key = F.lit(False)
     for c in provenance:
@@ -496,7 +506,7 @@ def plan_sync_events(l: Ledger, manifest: DataFrame) -> DataFrame:
     error = F.coalesce(*_op_errors("sync_events"), v.required("target_system"), v.required("status"), F.when(F.col("origin") == "writeback", "manifests cannot add writeback events"),
                        F.when(extra_key, "manifests cannot set writeback provenance"), v.choice("status", schemas.SYNC_STATUSES, "sync event status"),
                        F.when(F.col("attrs_json").isNotNull() & ~is_json_object(F.col("attrs_json")), "sync event attrs must be an object"), v.attr_keys("attrs_json"))
-    sid = F.coalesce("existing_id", F.nullif("id", F.lit("")), new_id("sync_events", str(l.as_of)))
+    sid = F.coalesce("existing_id", F.nullif("id", F.lit("")), new_id("sync_events", l))
     return df.select("row_index", F.when(F.col("existing_id").isNotNull(), "noop").otherwise("sync_event").alias("action"), sid.alias("target_id"), "existing_id",
                      F.lit("{}").alias("diff_json"), input_json("sync_events", rows).alias("input_json"), error.alias("error"), "op", "errata",
                      *[c for c in MANIFEST_FIELDS["sync_events"] if c != "id"])
@@ -562,6 +572,10 @@ def plan(l: Ledger, manifest: dict[str, DataFrame], experiment_id: str | None =
     unknown = set(manifest) - set(SECTION_RANK)
     if unknown:
         raise ValueError(f"unknown manifest sections: {sorted(unknown)}")
+    for section, rows in manifest.items():
+        twice = rows.groupBy("row_index").count().filter("count > 1").limit(1).collect()
+        if twice:
+            raise ReconcileError(f"{section}: row_index {twice[0]['row_index']} is given to several rows")
     planners: dict[str, Callable[[DataFrame], DataFrame]] = {
         "runs": lambda m: plan_runs(l, m, experiment_id), "jobs": lambda m: plan_jobs(l, m, experiment_id), "job_runs": lambda m: plan_job_runs(l, m),
         "artifacts": lambda m: plan_artifacts(l, m, experiment_id, session_id), "metrics": lambda m: plan_metrics(l, m), "notes": lambda m: plan_notes(l, m, session_id),
@@ -768,7 +782,7 @@ def apply_plan(l: Ledger, the_plan: Plan, source: str, experiment_id: str | None
     tables = apply_updates(l, the_plan)
     ordered = order_operations(the_plan.operations)
     inserts, updates, counts = counts_json(the_plan.counts())
-    event_id = F.concat(F.lit("rec_"), F.substring(F.sha2(F.lit(f"{source}|{l.as_of}|{counts}"), 256), 1, 26))
+    event_id = F.concat(F.lit("rec_"), F.substring(F.sha2(F.lit(f"{source}|{l.as_of}|{apply_number(l)}|{counts}"), 256), 1, 26))
     event = l.spark.range(1).select(event_id.alias("id"), F.lit(experiment_id).cast("string").alias("experiment_id"), F.lit(source).alias("source"), F.lit(inserts).alias("inserts_json"),
                                     F.lit(updates).alias("updates_json"), l.now.alias("created_at"), F.lit(counts).alias("counts_json"), F.lit(session_id).cast("string").alias("session_id"))
     ops = ordered.select(F.concat(F.lit("recop_"), F.substring(F.sha2(F.concat_ws("|", event_id, F.col("op_index").cast("string")), 256), 1, 26)).alias("id"), event_id.alias("reconcile_event_id"),

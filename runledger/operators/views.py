@@ -214,12 +214,13 @@ def tracker_sync_coverage(l: Ledger) -> DataFrame:
     sync = l.table("sync_events").filter((F.col("target_system") == TRACKER) & (F.col("origin") == "manifest")).select(
         F.col("id").alias("sync_id"), F.col("run_id").alias("sync_run_id"), "target_identifier", F.col("status").alias("sync_status"),
         F.col("created_at").alias("sync_at"))
-    part = [F.col("id").alias("run_id"), "sync_id", "sync_status", "sync_at"]
-    by_id = sync.join(live.select("id"), F.col("sync_run_id") == F.col("id")).select(*part)
-    by_ext = sync.join(live.select("id", "external_id"), F.col("target_identifier") == F.col("external_id")).filter(
+    # one row per (named run, target) first, so a target that many events share meets its runs once
+    newest = sync.groupBy("sync_run_id", "target_identifier").agg(F.max(F.struct("sync_at", "sync_id", "sync_status")).alias("latest"), F.count("*").alias("n"))
+    part = [F.col("id").alias("run_id"), "latest", "n"]
+    by_id = newest.join(live.select("id"), F.col("sync_run_id") == F.col("id")).select(*part)
+    by_ext = newest.join(live.select("id", "external_id"), F.col("target_identifier") == F.col("external_id")).filter(
         ~F.col("sync_run_id").eqNullSafe(F.col("id"))).select(*part)
-    best = by_id.unionByName(by_ext).groupBy("run_id").agg(
-        F.max(F.struct("sync_at", "sync_id", "sync_status")).alias("latest"), F.count("*").alias("n"))
+    best = by_id.unionByName(by_ext).groupBy("run_id").agg(F.max("latest").alias("latest"), F.sum("n").alias("n"))
     return live.withColumnRenamed("id", "run_id").join(best, "run_id", "left").select(
         "run_id", F.col("name").alias("run_name"), "external_system", "external_id",
         flag((F.col("external_system") == TRACKER) & F.col("external_id").isNotNull()).alias("has_tracker_external_id"),
@@ -432,3 +433,11 @@ def dashboard_runs(l: Ledger) -> DataFrame:
 
 def dashboard_jobs(l: Ledger) -> DataFrame:
     return jobs_with_recovery(l)
+
+
+#: Stable views by the names a user queries.
+STABLE = {f"v_{f.__name__}": f for f in (
+    artifacts, notes, sync_events, experiments, runs, jobs, job_runs, validations, sessions, experiment_session_history, refresh_log, lease_history, dashboard_runs,
+    dashboard_validations, dashboard_notes, dashboard_artifacts, dashboard_jobs, metrics_long, experiment_summary, run_summary, metric_coverage, jobs_needing_attention,
+    artifact_latest_per_type, tracker_sync_coverage, tracker_writeback_coverage, reconcile_log, artifacts_redacted, jobs_with_recovery, experiment_blockers, runs_progress,
+    leases_active, leases_stale, experiment_ownership, run_ownership, job_ownership, dashboard_leases, dashboard_external_links)}

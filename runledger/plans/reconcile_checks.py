@@ -10,7 +10,7 @@ from runledger.operators import reconcile as rc
 from runledger.plans.checking import register
 from runledger.schemas import NOTE_TYPES
 
-_NEW = "'{p}_' || substr(sha256('{s}|2001-12-01 00:00:00|' || m.row_index), 1, 26)"
+_NEW = "'{p}_' || substr(sha256('{s}|2001-12-01 00:00:00|' || (SELECT count(*) FROM reconcile_events) || '|' || m.row_index), 1, 26)"
 _PLAN_COLS = ["row_index", "action", "target_id AS entity_id", "existing_id", "error"]
 _GONE = "(SELECT id FROM experiments WHERE deleted_at IS NOT NULL)"
 
@@ -94,7 +94,8 @@ register("man_art_owner", """SELECT row_index, experiment_id FROM man_artifacts
 register("plan_notes_src", """SELECT m.*, n.id AS existing_id, n.status AS old_status, n.title AS old_title, n.body AS old_body, n.deleted_at AS old_del, n.attrs_json AS old_attrs,
   (m.entity_type, m.entity_id) IN (SELECT (entity_type, entity_id) FROM owned_gone) AS gone FROM man_notes m LEFT JOIN notes n ON n.id = m.id""")
 register("plan_checks_src", """SELECT m.*, x.id AS existing_id, x.status AS old_status, x.source_artifact_id AS old_src, e.deleted_at AS target_del, e.id AS target FROM man_checks m
-  LEFT JOIN (SELECT * FROM validations WHERE deleted_at IS NULL) x ON x.entity_type = m.entity_type AND x.entity_id = m.entity_id AND x.check_name = m.check_name
+  LEFT JOIN (SELECT * FROM validations WHERE deleted_at IS NULL QUALIFY row_number() OVER (PARTITION BY entity_type, entity_id, check_name ORDER BY id) = 1) x
+   ON x.entity_type = m.entity_type AND x.entity_id = m.entity_id AND x.check_name = m.check_name
   LEFT JOIN experiments e ON e.id = m.entity_id""")
 
 RECONCILE = {

@@ -129,11 +129,11 @@ _COLS: dict[str, tuple[dict[str, str], str]] = {
     }, "documents"),
     "validations": ({
         "id": "concat('val_',c_custkey,'_',k)", "entity_type": "'experiment'", "entity_id": "concat('exp_',c_custkey)",
-        "check_name": "concat('check.c',k)",
+        "check_name": "CASE WHEN k=2 AND c_custkey%3=1 THEN 'check.c1' ELSE concat('check.c',k) END",
         "status": "CASE WHEN c_custkey%5 IN (0,4) AND (c_custkey+k)%7=0 THEN 'fail' WHEN (c_custkey+k)%5=0 THEN 'warning' "
                   "WHEN (c_custkey+k)%11=0 THEN 'unknown' ELSE 'pass' END",
         "source_artifact_id": "concat('art_',c_custkey,'_1')",
-        "created_at": "TIMESTAMP_NTZ '1998-06-01 00:00:00'", "updated_at": "TIMESTAMP_NTZ '1998-06-01 00:00:00'",
+        "created_at": "TIMESTAMP_NTZ '1998-06-01 00:00:00'", "updated_at": "TIMESTAMP_NTZ '1998-06-01 00:00:00' + k*INTERVAL '1' HOUR",
         "deleted_at": _deleted("c_custkey%17=0"),
         "attrs_json": "CASE WHEN (c_custkey+k)%22=0 THEN '{\"validation.blocking\":true}' "
                       "WHEN (c_custkey+k)%43=0 THEN '{\"ledger.erratum\":true}' ELSE '{}' END",
@@ -147,7 +147,7 @@ _COLS: dict[str, tuple[dict[str, str], str]] = {
     "leases": ({
         "id": "concat('lea_',c_custkey)",
         "entity_type": "CASE CAST(c_custkey%6 AS INT) WHEN 4 THEN 'run' WHEN 5 THEN 'job' ELSE 'experiment' END",
-        "entity_id": "CASE WHEN c_custkey%6<4 THEN concat('exp_',c_custkey) WHEN c_custkey%6=4 THEN concat('run_',c_custkey) "
+        "entity_id": "CASE WHEN c_custkey%12=3 THEN concat('exp_',c_custkey-1) WHEN c_custkey%6<4 THEN concat('exp_',c_custkey) WHEN c_custkey%6=4 THEN concat('run_',c_custkey) "
                      "ELSE concat('job_',c_custkey,'_1') END",
         "owner_agent": "concat('agent',c_nationkey)",
         "session_id": "CASE WHEN c_custkey%24=0 THEN 'ses_missing' WHEN c_custkey%4=0 THEN concat('ses_',c_custkey%10) END",

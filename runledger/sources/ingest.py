@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runledger.functions import validate as v
@@ -52,15 +52,25 @@ class Ingest:
         return self
 
 
+#: Rows of a file are numbered from its place among the files times this.
+FILE_SPAN = 1 << 40
+
+
+def number_by_file(rows: DataFrame, file: str = "file") -> DataFrame:
+    """Make ``row_index`` unique over several files: positions restart in each.  The rows of the first file keep their numbers."""
+    places = rows.select(file).distinct().withColumn("_place", F.row_number().over(Window.orderBy(file)) - 1)  # one row per file
+    return rows.join(places, file).withColumn("row_index", F.col("row_index") + F.col("_place") * F.lit(FILE_SPAN)).drop("_place", file)
+
+
 def read_json_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
     """(row_index, row variant) of ``[...]`` or ``{"<key>": [...]}`` documents, one document per file."""
-    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"), F.input_file_name().alias("file"))
     inner = F.try_variant_get("doc", f"$.{key}", "array<variant>")
     docs = text.select(F.coalesce(F.expr("CASE WHEN schema_of_variant(doc) LIKE 'ARRAY%' THEN try_variant_get(doc, '$', 'array<variant>') END"),
-                                  F.when(F.schema_of_variant("doc").startswith("OBJECT"), inner)).alias("items"))
+                                  F.when(F.schema_of_variant("doc").startswith("OBJECT"), inner)).alias("items"), "file")
     if not docs.filter(F.col("items").isNull()).isEmpty():
         raise IngestFailure(f"input must be a JSON list or an object with a {key!r} list")
-    return docs.select(F.posexplode("items").alias("row_index", "row"))
+    return number_by_file(docs.select(F.posexplode("items").alias("row_index", "row"), "file").withColumn("row_index", F.col("row_index").cast("bigint"))).select("row_index", "row")
 
 
 def rows_from_json_text(df: DataFrame, column: str, index: str) -> DataFrame:
@@ -267,7 +277,7 @@ def record_refresh(l: Ledger, source: str, status: str, stage: str, counts_json:
                    manifest_path: str | None = None, snapshot_path: str | None = None, reconcile_event_id: str | None = None, error_message: str | None = None) -> DataFrame:
     """Refresh events table with one more row (applied, dry_run or failed)."""
     from runledger.ledger import conform
-    key = "|".join([source, status, stage, str(l.as_of)])
+    key = "|".join([source, status, stage, str(l.as_of), str(l.table("refresh_events").count())])
     row = l.spark.range(1).select(
         F.concat(F.lit("refresh_"), F.substring(F.sha2(F.lit(key), 256), 1, 24)).alias("id"), F.lit(source).alias("source"), F.lit(experiment_id).cast("string").alias("experiment_id"),
         F.lit(status).alias("status"), F.lit(stage).alias("stage"), l.now.alias("started_at"), l.now.alias("finished_at"), F.lit(snapshot_path).cast("string").alias("snapshot_path"),
@@ -277,8 +287,14 @@ def record_refresh(l: Ledger, source: str, status: str, stage: str, counts_json:
 
 
 def union_sections(parts: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """Merge the sections of several ingests into one manifest."""
+    """Merge the sections of several ingests into one manifest; row numbers of the later ones are set apart."""
+    def apart(df: DataFrame, k: int) -> DataFrame:
+        if not k:
+            return df
+        row = F.col("row_index")
+        return df.withColumn("row_index", F.concat(F.lit(f"{k}:"), row) if dict(df.dtypes)["row_index"] == "string" else row + F.lit(k << 56))
+
     merged: dict[str, DataFrame] = {}
     for name in {n for p in parts for n in p}:
-        merged[name] = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p[name] for p in parts if name in p])
+        merged[name] = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [apart(p[name], k) for k, p in enumerate(parts) if name in p])
     return merged

@@ -27,11 +27,11 @@ def stream_manifests(spark: SparkSession, folder: str, adapter: str, root: str,
     Rows match ledger rows by natural key, so a batch replayed after a lost driver
     plans to no-ops and adds no version.
     """
-    rows = spark.readStream.schema(LINE_SCHEMA).json(folder)
+    rows = spark.readStream.schema(LINE_SCHEMA).json(folder).select("row_index", "text", F.col("_metadata.file_path").alias("file"))
 
     def apply_batch(batch: DataFrame, _batch_id: int) -> None:
         ledger = load_ledger(spark, root, as_of)
-        fed = ADAPTERS[adapter](ingest.rows_from_json_text(batch, "text", "row_index"))
+        fed = ADAPTERS[adapter](ingest.rows_from_json_text(ingest.number_by_file(batch), "text", "row_index"))
         the_plan = rc.plan(ledger, fed.sections, experiment_id)
         if the_plan.operations.filter(F.col("action") != "noop").isEmpty():
             return
