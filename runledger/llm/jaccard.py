@@ -1,6 +1,6 @@
 """Self-join of documents on the Jaccard similarity of their 5-word shingles, by a MinHash LSH forest.
 
-Every set of shingles gets ``TREES`` labels of ``DEPTH`` MinHash values.  A tree is the prefix
+Every set of shingles gets ``TREES`` labels of ``DEPTH`` MinHash values, of which 16 bits are kept.  A tree is the prefix
 trie of its sorted labels: sets that share the first d values are below one node.  The join starts
 at the longest prefix whose recall for pairs at the threshold reaches ``FLOOR``, looks at how similar
 the pairs found are, and from the chance of each to be found at this depth estimates the recall over all pairs;
@@ -85,14 +85,15 @@ def signatures(docs: DataFrame) -> DataFrame:
             for a, b in slices(offsets):
                 sets = shingle_sets(data, offsets[a:b + 1])
                 hashes = np.stack([min_hashes(s) for s in sets])
-                bits = np.packbits(((hashes[:, ::2] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(bool), axis=1)
+                hashes *= np.uint32(0x9E3779B1)  # minima are small numbers; this spreads them over all bits
+                bits = np.packbits((hashes[:, ::2] >> np.uint32(31)).astype(bool), axis=1)
                 sketch = np.ascontiguousarray(bits).view(np.int64)
                 yield pa.record_batch({
                     "uid": pa.array(np.arange(uid, uid + b - a)), "doc_id": batch.column(0).slice(a, b - a), "print": batch.column(2).slice(a, b - a),
                     "set1": pa.array([int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                     "set2": pa.array([int(mixed(s ^ _STEP[0]).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                     "n": pa.array([len(s) for s in sets], pa.int64()), "sketch1": pa.array(sketch[:, 0]), "sketch2": pa.array(sketch[:, 1]),
-                    "labels": pa.array([h.tobytes() for h in hashes], pa.binary())})
+                    "labels": pa.array([h.tobytes() for h in (hashes >> np.uint32(16)).astype(np.uint16)], pa.binary())})
                 uid += b - a
 
     ready(docs.sparkSession)
@@ -112,7 +113,7 @@ def _nodes(sets: DataFrame, depth: int) -> DataFrame:
             for part in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
                 if not part.num_rows:
                     continue
-                labels = np.frombuffer(b"".join(part.column("labels").to_pylist()), np.uint32).reshape(-1, TREES, DEPTH)[:, :, :depth].astype(np.uint64)
+                labels = np.frombuffer(b"".join(part.column("labels").to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)[:, :, :depth].astype(np.uint64)
                 node = mixed((labels * _LABEL[:depth]).sum(2, dtype=np.uint64) + (np.arange(TREES, dtype=np.uint64) * np.uint64(DEPTH + 1) + np.uint64(depth)) * _LABEL[0])
                 repeat = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), TREES))  # noqa: B023, E731
                 yield pa.record_batch({"node": pa.array(node.reshape(-1).view(np.int64)), **{c: repeat(c) for c in ("uid", "sketch1", "sketch2")}})
