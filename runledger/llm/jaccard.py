@@ -283,7 +283,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGE
     needed = cut(sized.join(blocks, "label").select("label", F.col("node").alias("uid"), "doc_id", "print", "copies", "blocks",
                                                     F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "needed")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
-    joined = texts.alias("t").join(needed.alias("n"), F.col("t.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("t.print") == F.col("n.print")))
+    # sent by key at every size: a plan that broadcasts small tables would change with the input
+    joined = texts.alias("t").join(needed.hint("merge").alias("n"), F.col("t.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("t.print") == F.col("n.print")))
     cells = joined.select("label", "uid", "copies", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         F.col("label").alias("grp"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "uid", "copies", "block", "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
