@@ -41,11 +41,11 @@ from runledger.llm.urls import BITS_PER_KEY, BLOCK_BYTES, _held, _level
 
 WIDTH, GRAM, BLOCK = 400, 32, 62
 #: Text bytes looked at together; a worker holds some 20 arrays of 8 times as many.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Tuples of one core sorted in one task; cores with more go the way of single names.
 CORE_TUPLES = 20_000
 #: Tuples induced at a time.
-CHUNK = 20_000
+CHUNK = 8_000
 
 
 class Sizes(NamedTuple):
