@@ -35,7 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = linededup.deduplicate(docs).where("size(removed) > 0")
+    found = linededup.deduplicate(docs, least=1).where("size(removed) > 0")
     joined = _matched(docs, found, "left", "removed")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i)), "\n")
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left)

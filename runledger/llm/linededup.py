@@ -12,7 +12,10 @@ is not paired in one task: its lines are dealt into blocks, and pairs of blocks
 
 A line of a class that occurs in an earlier place (by doc_id, then place in the text) is a duplicate.
 
-Defined results: lines shorter than ``MIN_CHARS`` are never duplicates; null and empty texts have one empty line;
+Edits count from ``MIN_CHARS`` code points on: two different lines can be near if the longer has as many.  Copies are
+one class at any length.
+
+Defined results: a blank line of fewer than ``MIN_CHARS`` is never a duplicate; null and empty texts have one empty line;
 rows with equal doc_id and text are one document, and each gets its result; a null doc_id comes first; other columns are ignored.
 """
 
@@ -32,6 +35,7 @@ from runledger.llm.links import components, grouped
 from runledger.llm.urls import BITS_PER_KEY, BLOCK_BYTES, _held, _level
 
 EDITS = 2
+#: Least length of the longer of two near lines.
 MIN_CHARS = 20
 #: Lines that share a segment are paired in one go up to this number, and dealt into blocks beyond.
 PAIRED, BLOCK_LINES = 64, 256
@@ -39,8 +43,13 @@ PAIRED, BLOCK_LINES = 64, 256
 CHUNK = 1 << 21
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, print, line, id, text): every line; its id is null if it is short, its text is there once per batch."""
+def split_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, print, line, id, text): every line; its id is null if it has fewer than ``least`` code points or is short and blank.
+
+    The text is there once per batch, and only of lines that are long enough to be near another.
+    """
+    shortest = MIN_CHARS - EDITS
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
@@ -49,13 +58,13 @@ def split_lines(docs: DataFrame) -> DataFrame:
                 for k, line in enumerate((text.as_py() or "").split("\n")):
                     owner.append(row)
                     number.append(k)
-                    if len(line) < MIN_CHARS:
+                    if len(line) < least or len(line) < MIN_CHARS and not line.strip():
                         ids.append(None)
                         texts.append(None)
                         continue
                     own = xxhash.xxh3_64_intdigest(line.encode()) >> 2
                     ids.append(own)
-                    texts.append(None if own in seen else line)
+                    texts.append(None if own in seen or len(line) < shortest else line)
                     seen.add(own)
             at = pa.array(owner, pa.int64())
             yield pa.record_batch({"doc_id": batch.column(0).take(at), "print": batch.column(2).take(at), "line": pa.array(number, pa.int32()),
@@ -85,6 +94,7 @@ def segment_keys(texts: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.n
     """(key, number of the text, indexed) of all segments to index and substrings to probe.
 
     An indexed segment is also a probe, as substrings at the same place of lines of equal length have the same key.
+    Lines of fewer than ``MIN_CHARS`` are only indexed, for longer ones to meet.
     """
     points, offsets = _points(texts)
     lengths = np.diff(offsets)
@@ -99,7 +109,7 @@ def segment_keys(texts: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.n
             # edits before the segment and after it bound its shift
             for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
                 at = start + shift
-                fits = np.flatnonzero((target >= MIN_CHARS) & (at >= 0) & (at + size <= lengths))
+                fits = np.flatnonzero((target >= MIN_CHARS - edits) & ((lengths >= MIN_CHARS) | (less == 0 and shift == 0)) & (at >= 0) & (at + size <= lengths))
                 a = offsets[fits] + at[fits]
                 prints = mixed((sums[a + size[fits]] - sums[a]) * down[a])
                 keys.append(mixed(prints + (target[fits] * (edits + 1) + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
@@ -226,6 +236,7 @@ def _band(left: list[str], right: list[str], k: int) -> np.ndarray:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array([max(len(a), len(b)) >= MIN_CHARS for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)], pa.bool_()))
             yield batch.select(["a", "b"]).filter(pa.array(within(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())))
 
     return pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
@@ -240,9 +251,10 @@ def _blocks(crowds: DataFrame, texts: DataFrame) -> DataFrame:
         points, offsets = _points(text)
         owner, at = ragged(offsets[:-1], np.diff(offsets))
         letters = np.bincount(owner * 64 + points[at] % 64, minlength=len(text) * 64).reshape(-1, 64).astype(np.int32)
+        long = np.diff(offsets) >= MIN_CHARS
         one, two = [], []
         for x in np.flatnonzero(block == i):
-            others = np.flatnonzero((block == j) & ((ids > ids[x]) if i == j else True))
+            others = np.flatnonzero((block == j) & ((ids > ids[x]) if i == j else True) & (long | long[x]))
             others = others[np.abs(letters[others] - letters[x]).sum(1) <= 2 * EDITS]  # an edit changes two counts by one
             one += [x] * len(others)
             two += others.tolist()
@@ -285,19 +297,19 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     return cut(_verified(pairs, texts).unionByName(_blocks(crowds, texts)).distinct(), "near-lines")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """Per document (by doc_id and print of its text): n_lines, n_links, line_classes and removed (numbers of duplicate lines).
 
-    ``line_classes`` has a class for each line, null for short ones; ``n_links`` counts, over its lines, the other occurrences
-    in all documents that are equal or near.
+    ``line_classes`` has a class for each line, null for those of fewer than ``least`` code points and for short blank ones;
+    ``n_links`` counts, over its lines, the other occurrences in all documents that are equal or near.
     """
-    lines = split_lines(docs)
+    lines = split_lines(docs, least)
     pairs = near_pairs(lines)
     # rows with equal doc_id and text are one document
     occurrences = lines.select("doc_id", "print", "line", "id").distinct()
-    long_lines = cut(occurrences.where("id IS NOT NULL"), "long-lines")
+    classable = cut(occurrences.where("id IS NOT NULL"), "classable-lines")
     label = components(pairs).toDF("id", "class")
-    copies = cut(long_lines.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "print", "line")).alias("first")), "line-copies")
+    copies = cut(classable.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "print", "line")).alias("first")), "line-copies")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(copies.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("linked"))
     classed = copies.join(label, "id", "left").join(linked, "id", "left").select(

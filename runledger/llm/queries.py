@@ -23,7 +23,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = linededup.deduplicate(docs).select(
+    found = linededup.deduplicate(docs, least=1).select(
         F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_links",
         F.array_join("removed", ",").alias("removed_lines"), F.array_join("line_classes", ",", "").alias("line_classes"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("__own"))

@@ -94,3 +94,42 @@ def test_links_and_duplicates_match_brute_force(spark, monkeypatch, limits):
 
 def test_empty_tables(spark):
     assert linededup.deduplicate(frame(spark, [])).count() == 0
+
+
+def short_corpus():
+    rnd, docs = random.Random(5), [(k, f"menu\n{'ab' * 9}\n\n  \nown {k}\nmenu") for k in range(6)]
+    base = ["y" * 20, "a line of twenty ch!", "some nineteen chars", "eighteen chars now", "seventeen chars x"]
+    docs += [(20 + k, "\n".join(changed(rnd, rnd.choice(base), rnd.choice([0, 0, 1, 2])) for _ in range(4))) for k in range(40)]
+    return docs + [(80, "z" * 19 + "\n" + "w" * 18), (81, "z" * 20 + "\n" + "w" * 20), (82, "v" * 18), (83, "v" * 19), (None, "menu")]
+
+
+@pytest.mark.parametrize("limits", [{}, {"PAIRED": 2, "BLOCK_LINES": 4}])
+def test_short_lines_have_classes(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(linededup, name, value)
+    docs = short_corpus()
+    at = sorted(((d, k, x) for d, t in docs for k, x in enumerate(t.split("\n")) if x.strip()), key=lambda p: (p[0] is not None, p[0] or 0, p[1]))
+    near = lambda x, y: x == y or max(len(x), len(y)) >= 20 and distance(x, y) <= 2
+    texts = sorted({x for _, _, x in at})
+    up = {x: x for x in texts}
+    for x in texts:
+        for y in texts:
+            if near(x, y):
+                a, b = up[x], up[y]
+                up = {t: a if r == b else r for t, r in up.items()}
+    got = {r.doc_id: r for r in linededup.deduplicate(frame(spark, docs).repartition(3), least=1).collect()}
+    for d, t in docs:
+        own, r = t.split("\n"), got[d]
+        assert [c is None for c in r.line_classes] == [not x.strip() for x in own]
+        assert r.n_links == sum(near(x, y) for x in own if x.strip() for _, _, y in at) - sum(bool(x.strip()) for x in own)
+        assert r.removed == [k for k, x in enumerate(own) if x.strip() and next(p[:2] for p in at if up[p[2]] == up[x]) != (d, k)], d
+    assert got[0].removed == [0, 5] and got[5].removed == [0, 1, 5] and got[81].removed == [0, 1] and got[83].removed == []
+
+
+def test_query_and_pipeline_take_short_lines(spark, tmp_path):
+    from corpus_pipeline import line_dedup
+    from runledger.llm.queries import op2_line_dedup
+    df = frame(spark, [(1, "menu\nfirst"), (2, "menu\nsecond")])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.removed_lines for r in op2_line_dedup(spark, str(tmp_path)).collect()} == {1: "", 2: "0"}
+    assert {r.doc_id: r.text for r in line_dedup(spark, df.withColumn("n_chars", df.n_chars.cast("long")), str(tmp_path)).collect()} == {1: "menu\nfirst", 2: "second"}
