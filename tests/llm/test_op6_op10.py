@@ -67,6 +67,28 @@ def test_entropy_spans_and_allow_list(spark):
     assert got[6].count("entropy") == 2 and not any(got[k] for k in (2, 3, 4, 7, 8))
 
 
+def test_entropy_of_all_classes_and_allow_list_by_part(spark):
+    rnd, key = random.Random(11), "aZ3kQ9xW7bT1mN5vC8rY2dFgHj"
+    made = lambda letters, n: "".join(rnd.sample(letters, n))
+    shapes = [made("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24) + "7A", made(string.ascii_lowercase + string.digits, 28) + "q7", made(string.ascii_uppercase + string.digits, 28) + "Q7",
+              made(string.ascii_letters, 30), made(string.ascii_lowercase, 24), "-".join(made(string.ascii_lowercase + "234567", 10) for _ in range(4))]
+    blob = key + "A" * 9 + key[::-1]
+    docs = [(k, f"é see {x} here") for k, x in enumerate(shapes)] + [(10 + k, f"see home/{x}-word end") for k, x in enumerate(shapes[:4])]
+    docs += [(20, f"examples/{key}"), (21, f"{key}-sample-{key}"), (22, blob), (23, "example" + key), (24, "x/123e4567-e89b-12d3-a456-426614174000"),
+             (25, "A" * 60 + "b1"), (26, "12345678/90123456-7890123"), (27, "home/user/some-plain-words/of-a-path"), (28, "x" * 5000 + "Sample1")]
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.s.split(",") if x] for r in secrets.scan(frame(spark, docs)).select("doc_id", secrets.written("spans").alias("s")).collect()}
+    text = dict(docs)
+    for k, x in enumerate(shapes):
+        assert len(got[k]) == 1 and got[k][0][0] >= 6 and got[k][0][1] - got[k][0][0] >= 20, (x, got[k])
+        if k < 4:
+            at = text[10 + k].index(x)
+            assert len(got[10 + k]) == 1 and got[10 + k][0][0] < at + 7 and got[10 + k][0][1] > at + 19, (x, got[10 + k])
+    assert got[20] == [(9, 9 + len(key))] or got[20] == [(8, 9 + len(key))]
+    assert len(got[21]) == 2 and text[21][got[21][0][0]:got[21][0][1]].startswith(key)
+    assert len(got[22]) == 2 and got[22][0][0] == 0 and got[22][1][1] == len(blob)
+    assert not any(got[k] for k in range(23, 29)), got
+
+
 PAGES = [(1, "http://Sub.EXAMPLE.net/en/1?x"), (2, "https://a.net/de/"), (3, "x://net/"), (4, "http://a.net"), (5, "http://example.com/de/x#y"), (6, "http://b.example.com/en/"),
          (7, "http://b.example.com/de/1"), (8, "http://b.example.com/de/2"), (9, "http://a.org/fr/z"), (10, "http://a.org/de/"), (11, None), (12, "no scheme"), (13, "http://"),
          (14, "http://notexample.com/de/"), (15, "http://x.com?u=http://y.net/"), (16, ""), (16, "http://É.net/É/q"), (17, "http://example.net/english/"), (None, "http://a..net//en/"), (18, "http://" + "a." * 3000 + "net/" + "b/" * 3000)]
