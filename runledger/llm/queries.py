@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import decontaminate, jaccard, linededup, packing, personal, quality, secrets, suffixdedup, tokenfiles, urls
+from runledger.llm import crosstoken, decontaminate, jaccard, linededup, packing, personal, quality, secrets, suffixdedup, tokenfiles, urls
 from runledger.llm.common import table
 
 
@@ -70,6 +70,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crosstoken.align(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+    return found.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
 QUERIES: dict = {
     "op1_decontamination": (op1_decontamination, None),
     "op2_line_dedup": (op2_line_dedup, None),
@@ -81,4 +86,5 @@ QUERIES: dict = {
     "op8_personal_data": (op8_personal_data, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_url_filter": (op10_url_filter, urls.CHECK),
+    "op11_cross_tokenizer": (op11_cross_tokenizer, None),
 }

@@ -29,11 +29,15 @@ def _byte_letters() -> dict[int, int]:
 
 
 class Encoder:
-    """ids(text) -> bytes of little-endian unsigned 32-bit ids."""
+    """ids(text) -> bytes of little-endian unsigned 32-bit ids.
 
-    def __init__(self, path: str):
+    ``plain``: strings of special tokens inside a text are ordinary text; else each gives its special id,
+    as the tokenizer does when nothing is set.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
         self.kept: dict[str, bytes] = {}
@@ -77,11 +81,11 @@ class Encoder:
             return b"".join([kept[p] for p in pieces])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file; it lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(str(Path(path)))
-    return _encoders[path]
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(str(Path(path)), plain)
+    return _encoders[path, plain]
