@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import crosstoken, decontaminate, jaccard, linededup, packing, personal, quality, secrets, suffixdedup, tokenfiles, urls
+from runledger.llm import chat, crosstoken, decontaminate, jaccard, linededup, packing, personal, quality, secrets, structure, suffixdedup, tokenfiles, urls
 from runledger.llm.common import table
 
 
@@ -75,6 +75,20 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)], given.schema)
+    read = chat.read_back(chat.turns(given.unionByName(planted)))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("replies", "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+                       F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.reports(structure.repair(structure.damage(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict = {
     "op1_decontamination": (op1_decontamination, None),
     "op2_line_dedup": (op2_line_dedup, None),
@@ -87,4 +101,6 @@ QUERIES: dict = {
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_url_filter": (op10_url_filter, urls.CHECK),
     "op11_cross_tokenizer": (op11_cross_tokenizer, None),
+    "op12_chat_format": (op12_chat_format, chat.CHECK),
+    "op13_structure_repair": (op13_structure_repair, None),
 }
