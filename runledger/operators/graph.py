@@ -164,6 +164,29 @@ def cycles(ledger: Ledger) -> DataFrame:
     return ledger.once("retry_cycles", lambda: cycle_members(edges(ledger)))
 
 
+def retry_roots(ledger: Ledger) -> DataFrame:
+    """(id, parent, root) of every job that retries an active job: the tree index, one row for each edge.
+
+    ``root`` is the top of the job's tree; jobs on or below a ring share the ring's least id.  A stored ledger keeps this table with each
+    version and brings it along in its memo, so it is built once for a ledger and not for each manifest.
+    """
+    def build() -> DataFrame:
+        ring = cycles(ledger)
+        edge_df = edges(ledger).select("id", "parent")
+        state = cut(edge_df.join(ring.select("id"), "id", "left_anti").select("id", F.col("parent").alias("ptr")), "retry-roots")
+        while True:
+            ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"))
+            moved = cut(state.join(ahead, "ptr", "left").select("id", F.coalesce("ptr2", "ptr").alias("ptr"), F.col("ptr2").isNotNull().alias("moved")), "retry-roots")
+            if moved.filter("moved").isEmpty():
+                break
+            state = moved.drop("moved")
+        tops = state.select("id", F.col("ptr").alias("top")).unionByName(ring.select("id", F.col("id").alias("top")))
+        onto = ring.select(F.col("id").alias("top"), "cycle_id")
+        roots = tops.join(onto, "top", "left").select("id", F.coalesce("cycle_id", "top").alias("root"))
+        return cut(edge_df.join(roots, "id").select("id", "parent", "root"), "retry-root-index")
+    return ledger.once("retry_roots", build)
+
+
 def retry_heights(ledger: Ledger) -> DataFrame:
     """(id, depth, success): longest retry descent below each job and whether any
     descendant succeeded.  Cycle members see the whole cycle once."""

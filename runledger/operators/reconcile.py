@@ -26,7 +26,8 @@ from runledger.functions import validate as v
 from runledger.functions.attrs import attr_map, canonical_object, is_json_object, merge_objects
 from runledger.ledger import Ledger, conform
 from runledger.lineage import cut
-from runledger.operators.graph import cycle_members
+from runledger.operators import integrity
+from runledger.operators.graph import cycle_members, retry_roots
 from runledger.operators.ownership import owner_experiments, union_all
 
 # Fixed orders of the operation log.
@@ -37,6 +38,7 @@ ARCHIVABLE = {"runs", "jobs", "job_runs", "artifacts", "metrics", "notes", "vali
 NO_ERRATA = {"jobs", "job_runs", "metrics"}
 AUDIT_PREVIEW_CHARS = 200
 
+# The fields of manifest rows, and those of them that a diff compares.
 MANIFEST_FIELDS = {
     "runs": ["id", "name", "description", "status", "external_system", "external_id", "parent_run_id", "experiment_id", "idempotency_key", "kind", "attrs_json"],
     "jobs": ["id", "experiment_id", "run_id", "name", "status", "command", "launcher", "external_system", "external_id", "failure_reason", "started_at",
@@ -518,6 +520,7 @@ def plan_sync_events(l: Ledger, manifest: DataFrame) -> DataFrame:
 class Plan:
     sections: dict[str, DataFrame]
     graph_errors: DataFrame | None
+    broken: DataFrame | None = None  #: rows that would break a reference or a unique key
 
     @property
     def operations(self) -> DataFrame:
@@ -530,12 +533,17 @@ class Plan:
         parts = [bad, *[_duplicate_errors(s, df) for s, df in self.sections.items() if s in DIFF_FIELDS]]
         if self.graph_errors is not None:
             parts.append(self.graph_errors.select(F.lit("jobs").alias("section"), F.col("job_id").alias("row_index"), "error"))
+        if self.broken is not None:
+            parts.append(self.broken)
         return union_all(parts)
 
     def counts(self) -> DataFrame:
         return count_operations(self.operations)
 
 
+SELF_RETRY, NO_TARGET, RING = "a job cannot retry itself", "retry target is not an active job", "retry lineage would form a cycle"
+
+
 def _duplicate_errors(section: str, df: DataFrame) -> DataFrame:
     """Inserts of one manifest that would break a uniqueness rule of the ledger."""
     fresh = df.filter(F.col("action").isin("insert", "errata_replace"))
@@ -550,23 +558,52 @@ def _duplicate_errors(section: str, df: DataFrame) -> DataFrame:
     return union_all(parts).select(F.lit(section).alias("section"), F.col("row_index").cast("string").alias("row_index"), "error")
 
 
-def validate_retry_graph(l: Ledger, job_plan: DataFrame | None = None) -> DataFrame:
-    """(job_id, error) over ledger and manifest together.  A manifest row without retry_of clears the parent."""
+def validate_retry_graph(l: Ledger) -> DataFrame:
+    """(job_id, error) of the ledger's own retry faults, whoever caused them."""
     live = l.active("jobs").select(F.col("id").alias("job_id"), "retry_of")
-    if job_plan is not None:
-        said = job_plan.filter(F.col("action").isin("insert", "update", "noop") & (F.col("op") != "archive")).groupBy(F.col("target_id").alias("job_id")).agg(
-            F.max_by(F.struct("retry_of"), "row_index").alias("m")).select("job_id", F.col("m.retry_of").alias("retry_of"))
-        live = live.join(said.select("job_id"), "job_id", "left_anti").unionByName(said)
-    live = cut(live, "retry-graph")
-    linked = live.filter(F.col("retry_of").isNotNull())
-    own = linked.filter(F.col("retry_of") == F.col("job_id")).select("job_id", F.lit("a job cannot retry itself").alias("error"))
-    missing = linked.join(live.select(F.col("job_id").alias("retry_of")), "retry_of", "left_anti").select("job_id", F.lit("retry target is not an active job").alias("error"))
-    edge = linked.filter(F.col("retry_of") != F.col("job_id")).join(live.select(F.col("job_id").alias("retry_of")), "retry_of", "left_semi").select(
-        F.col("job_id").alias("id"), F.col("retry_of").alias("parent"))
-    ring = cycle_members(cut(edge, "retry-graph-edges")).select(F.col("id").alias("job_id"), F.lit("retry lineage would form a cycle").alias("error"))
+    linked = cut(live.filter(F.col("retry_of").isNotNull()), "retry-graph")
+    wanted = linked.select(F.col("retry_of").alias("job_id")).distinct()
+    there = cut(live.select("job_id").join(wanted, "job_id", "left_semi").select(F.col("job_id").alias("retry_of")), "retry-targets")
+    own = linked.filter(F.col("retry_of") == F.col("job_id")).select("job_id", F.lit(SELF_RETRY).alias("error"))
+    missing = linked.join(there, "retry_of", "left_anti").select("job_id", F.lit(NO_TARGET).alias("error"))
+    edge = linked.filter(F.col("retry_of") != F.col("job_id")).join(there, "retry_of", "left_semi").select(F.col("job_id").alias("id"), F.col("retry_of").alias("parent"))
+    ring = cycle_members(cut(edge, "retry-graph-edges")).select(F.col("id").alias("job_id"), F.lit(RING).alias("error"))
     return own.unionByName(missing).unionByName(ring)
 
 
+def manifest_retry_errors(l: Ledger, job_plan: DataFrame) -> DataFrame:
+    """(job_id, error) of the retry faults that a manifest's job rows would cause.  A row without retry_of clears the parent.
+
+    A new ring holds a changed edge, and climbing from a changed edge stays inside the trees of the changed jobs and of their
+    new targets; so only the edges of those trees are walked, which the ledger's tree index finds.  Faults of jobs
+    the manifest leaves alone are not its own: ``validate_retry_graph`` reports them.
+    """
+    said = cut(job_plan.filter(F.col("error").isNull() & F.col("action").isin("insert", "update", "noop") & (F.col("op") != "archive")).groupBy(F.col("target_id").alias("job_id")).agg(
+        F.max_by(F.struct("retry_of"), "row_index").alias("m")).select("job_id", F.col("m.retry_of").alias("retry_of")), "retry-said")
+    gone = job_plan.filter(F.col("error").isNull() & (F.col("action") == "archive")).select(F.col("existing_id").alias("job_id")).distinct()
+    said = cut(said.join(gone, "job_id", "left_anti"), "retry-said")
+    live = l.active("jobs").select(F.col("id").alias("job_id"), "retry_of")
+    linked = said.filter(F.col("retry_of").isNotNull())
+    own = linked.filter(F.col("retry_of") == F.col("job_id")).select("job_id", F.lit(SELF_RETRY).alias("error"))
+    # targets are active in the ledger and not archived here, or written here
+    wanted = linked.select(F.col("retry_of").alias("job_id")).distinct()
+    there = live.select("job_id").join(wanted, "job_id", "left_semi").join(gone, "job_id", "left_anti").unionByName(said.select("job_id")).distinct()
+    missing = linked.join(there.select(F.col("job_id").alias("retry_of")), "retry_of", "left_anti")
+    orphaned = live.join(gone.select(F.col("job_id").alias("retry_of")), "retry_of", "left_semi").join(
+        said.select("job_id").unionByName(gone), "job_id", "left_anti")
+    lost = missing.unionByName(orphaned).select("job_id", F.lit(NO_TARGET).alias("error"))
+    new_edges = linked.filter(F.col("retry_of") != F.col("job_id")).select(F.col("job_id").alias("id"), F.col("retry_of").alias("parent"))
+    if new_edges.isEmpty():
+        return own.unionByName(lost)
+    index = retry_roots(l)
+    ends = new_edges.select("id").unionByName(new_edges.select(F.col("parent").alias("id"))).distinct()
+    trees = index.join(ends, "id", "left_semi").select("root").unionByName(ends.select(F.col("id").alias("root"))).distinct()
+    kept = index.join(trees, "root", "left_semi").select("id", "parent").join(said.select(F.col("job_id").alias("id")).unionByName(gone.select(F.col("job_id").alias("id"))), "id", "left_anti")
+    ring = cycle_members(cut(kept.unionByName(new_edges), "retry-trees"))
+    caused = ring.join(ring.join(new_edges.select("id"), "id", "left_semi").select("cycle_id").distinct(), "cycle_id", "left_semi")
+    return own.unionByName(lost).unionByName(caused.select(F.col("id").alias("job_id"), F.lit(RING).alias("error")))
+
+
 def plan(l: Ledger, manifest: dict[str, DataFrame], experiment_id: str | None = None, session_id: str | None = None, check_graph: bool = True) -> Plan:
     """Plan all sections of a manifest.  Sections are read against the ledger, not against each other."""
     unknown = set(manifest) - set(SECTION_RANK)
@@ -581,7 +618,9 @@ def plan(l: Ledger, manifest: dict[str, DataFrame], experiment_id: str | None =
         "artifacts": lambda m: plan_artifacts(l, m, experiment_id, session_id), "metrics": lambda m: plan_metrics(l, m), "notes": lambda m: plan_notes(l, m, session_id),
         "validations": lambda m: plan_validations(l, m, session_id), "custom_attributes": lambda m: plan_custom_attributes(l, m), "sync_events": lambda m: plan_sync_events(l, m)}
     sections = {s: cut(planners[s](manifest[s]), f"plan-{s}") for s in SECTION_RANK if s in manifest}
-    return Plan(sections, validate_retry_graph(l, sections.get("jobs")) if check_graph else None)
+    graph = cut(manifest_retry_errors(l, sections["jobs"]), "plan-retries") if check_graph and "jobs" in sections else None
+    broken = cut(union_all([integrity.reference_errors(l, sections), integrity.unique_errors(l, sections)]), "plan-broken")
+    return Plan(sections, graph, broken)
 
 
 def count_operations(operations: DataFrame) -> DataFrame:
