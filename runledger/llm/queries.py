@@ -77,7 +77,8 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    planted = spark.createDataFrame([(-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)], given.schema)
+    planted = spark.range(0, 2, 1, 1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                             F.lit(chat.PLANTED).alias("text"))
     read = chat.read_back(chat.turns(given.unionByName(planted)))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("replies", "")
