@@ -25,6 +25,11 @@ class Ledger:
     as_of: datetime
     session: SparkSession | None = None
     memo: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+    #: Name of the stored version the tables were read from, and what was changed since: the rows written to
+    #: each table in their last state, and the tables replaced as a whole.
+    version: str | None = None
+    delta: Mapping[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+    rewritten: frozenset[str] = frozenset()
 
     def table(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -50,7 +55,24 @@ class Ledger:
         return self.memo[key]
 
     def with_tables(self, **tables: DataFrame) -> "Ledger":
-        return replace(self, tables={**self.tables, **tables}, memo={})
+        return replace(self, tables={**self.tables, **tables}, memo={}, rewritten=self.rewritten | set(tables))
+
+    def with_rows(self, delta: Mapping[str, DataFrame], fresh: Mapping[str, DataFrame] | None = None) -> "Ledger":
+        """Ledger with rows put in: those of ``delta`` replace rows of the same key, those of ``fresh`` have keys no row has."""
+        fresh, tables, rows = fresh or {}, dict(self.tables.items()), dict(self.delta)
+        for name in {**delta, **fresh}:
+            new, table = None, self.tables[name]
+            for df, replaces in ((delta.get(name), True), (fresh.get(name), False)):
+                if df is None:
+                    continue
+                if replaces:
+                    table = table.join(df.select(*schemas.KEYS[name]), list(schemas.KEYS[name]), "left_anti").select(*table.columns)
+                new = df if new is None else new.unionByName(df)
+            tables[name] = table.unionByName(new.select(*table.columns))
+            if name in rows:
+                new = rows[name].join(new.select(*schemas.KEYS[name]), list(schemas.KEYS[name]), "left_anti").unionByName(new)
+            rows[name] = new
+        return replace(self, tables=tables, memo={}, delta=rows)
 
     @property
     def spark(self) -> SparkSession:

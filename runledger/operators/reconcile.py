@@ -746,71 +746,77 @@ def _archived_rows(l: Ledger, section: str, ops: DataFrame) -> DataFrame:
     return once.select(*out)
 
 
-def _key_columns(section: str) -> list[str]:
-    return ["job_id", "run_id"] if section == "job_runs" else ["id"]
-
-
-def _replace(table: DataFrame, section: str, changed: DataFrame) -> DataFrame:
-    """Table with ``changed`` rows swapped in.  The untouched rows pass through one anti join."""
-    key = _key_columns(section)
-    return table.join(changed.select(*key), key, "left_anti").unionByName(changed.select(*table.columns))
+def _section_rows(l: Ledger, section: str, ops: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(rows in their new state, added rows) of a section's table."""
+    if section == "sync_events":
+        return None, _inserted_rows(l, section, ops.filter(F.col("action") == "sync_event"))
+    archived = ops.filter(F.col("action").isin("archive", "errata_replace"))
+    updates = ops.filter(F.col("action") == "update")
+    both = _updated_rows(l, section, updates)
+    gone_rows = _archived_rows(l, section, archived)
+    # A row updated and archived in one manifest ends archived with its updates.
+    key = list(schemas.KEYS[section])
+    late = both.join(gone_rows.select(*key), key, "left_semi").withColumn("deleted_at", F.coalesce("deleted_at", l.now))
+    if section == "runs":
+        late = late.withColumn("status", F.lit("archived"))
+    changed = both.join(gone_rows.select(*key), key, "left_anti").unionByName(gone_rows.join(both.select(*key), key, "left_anti")).unionByName(late)
+    return changed.select(*l.table(section).columns), _inserted_rows(l, section, ops.filter(F.col("action").isin("insert", "errata_replace")))
 
 
-def apply_updates(l: Ledger, the_plan: Plan) -> dict[str, DataFrame]:
-    """New tables after all operations, without the logs."""
-    tables: dict[str, DataFrame] = {}
+def apply_rows(l: Ledger, the_plan: Plan, event_id: Column | None = None) -> Ledger:
+    """Ledger after all operations, without the logs.  The rows it changes are stored once, and nothing else is."""
+    delta: dict[str, DataFrame] = {}
+    fresh: dict[str, DataFrame] = {}
     for section, ops in the_plan.sections.items():
-        if section == "custom_attributes":
-            continue
-        table = l.table(section)
-        if section == "sync_events":
-            fresh = ops.filter(F.col("action") == "sync_event")
-            tables[section] = table.unionByName(_inserted_rows(l, section, fresh))
-            continue
-        archived = ops.filter(F.col("action").isin("archive", "errata_replace"))
-        updates = ops.filter(F.col("action") == "update")
-        both = _updated_rows(l, section, updates)
-        gone_rows = _archived_rows(l, section, archived)
-        # A row updated and archived in one manifest ends archived with its updates.
-        key = _key_columns(section)
-        late = both.join(gone_rows.select(*key), key, "left_semi").withColumn("deleted_at", F.coalesce("deleted_at", l.now))
-        if section == "runs":
-            late = late.withColumn("status", F.lit("archived"))
-        changed = both.join(gone_rows.select(*key), key, "left_anti").unionByName(gone_rows.join(both.select(*key), key, "left_anti")).unionByName(late)
-        inserts = _inserted_rows(l, section, ops.filter(F.col("action").isin("insert", "errata_replace")))
-        tables[section] = _replace(table, section, changed).unionByName(inserts)
+        if section != "custom_attributes":
+            changed, added = _section_rows(l, section, ops)
+            if changed is not None:
+                delta[section] = cut(changed, f"changed-{section}")
+            if section == "sync_events" and event_id is not None:
+                added = added.withColumn("reconcile_event_id", event_id).select(*added.columns)
+            fresh[section] = cut(added, f"added-{section}")
     if "runs" in the_plan.sections:
-        tables["experiment_runs"] = link_experiment_runs(l, the_plan.sections["runs"])
+        fresh["experiment_runs"] = cut(_new_links(l, the_plan.sections["runs"]), "added-links")
+    after = l.with_rows(delta, fresh)
     if "custom_attributes" in the_plan.sections:
-        tables.update(_apply_attributes(l, the_plan.sections["custom_attributes"], tables))
-    return tables
+        after = after.with_rows(_attribute_rows(l, the_plan.sections["custom_attributes"], after))
+    return after
+
+
+def apply_updates(l: Ledger, the_plan: Plan) -> dict[str, DataFrame]:
+    """The tables of ``apply_rows`` that the plan's sections touch."""
+    after = apply_rows(l, the_plan)
+    return {t: after.tables[t] for t in after.delta}
 
 
-def _apply_attributes(l: Ledger, ops: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Merge attribute rows; of one key given twice the later row wins."""
+def _attribute_rows(l: Ledger, ops: DataFrame, after: Ledger) -> dict[str, DataFrame]:
+    """Rows with merged attributes; of one key given twice the later row wins."""
     updates = ops.filter(F.col("action") == "update")
     keyed = updates.select("entity_type", "entity_id", "row_index", F.explode(attr_map(F.col("attrs_json"))).alias("k", "val")).groupBy("entity_type", "entity_id", "k").agg(
         F.max_by(F.to_json("val"), "row_index").alias("text"))
     # one entry per attribute name of the entity, so the list is as long as its attribute object
     pairs = F.concat(F.to_json(F.array("k")).substr(F.lit(2), F.length(F.to_json(F.array("k"))) - 2), F.lit(":"), F.coalesce("text", F.lit("null")))
-    merged = keyed.groupBy("entity_type", "entity_id").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(pairs), ","), F.lit("}")).alias("new_attrs"))
+    merged = cut(keyed.groupBy("entity_type", "entity_id").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(pairs), ","), F.lit("}")).alias("new_attrs")), "new-attributes")
     out = {}
     for kind in ("experiment", "run", "job", "artifact"):
         table = schemas.ENTITY_TABLE[kind]
-        base = tables.get(table, l.table(table))
         hit = merged.filter(F.col("entity_type") == kind).select(F.col("entity_id").alias("id"), "new_attrs")
-        out[table] = base.join(hit, "id", "left").withColumn(
-            "updated_at", F.when(F.col("new_attrs").isNotNull(), l.now).otherwise(F.col("updated_at"))).withColumn(
-            "attrs_json", F.when(F.col("new_attrs").isNotNull(), merge_objects(F.col("attrs_json"), F.col("new_attrs"))).otherwise(F.col("attrs_json"))).select(*l.table(table).columns)
+        rows = after.table(table).join(hit, "id").withColumn("updated_at", l.now).withColumn("attrs_json", merge_objects(F.col("attrs_json"), F.col("new_attrs")))
+        out[table] = cut(rows.select(*after.table(table).columns), f"attributes-{table}")
     return out
 
 
-def link_experiment_runs(l: Ledger, run_plan: DataFrame) -> DataFrame:
-    """Bridge table plus missing links of planned runs that name an experiment."""
+def _new_links(l: Ledger, run_plan: DataFrame) -> DataFrame:
     bridge = l.table("experiment_runs")
     fresh = run_plan.filter(F.col("action").isin("insert", "update") & F.col("experiment_id").isNotNull()).select(
         "experiment_id", F.col("target_id").alias("run_id")).distinct()
-    return bridge.unionByName(fresh.join(bridge.select("experiment_id", "run_id"), ["experiment_id", "run_id"], "left_anti").withColumn("created_at", l.now))
+    there = bridge.select("experiment_id", "run_id").join(fresh, ["experiment_id", "run_id"], "left_semi")
+    return fresh.join(there, ["experiment_id", "run_id"], "left_anti").withColumn("created_at", l.now).select(*bridge.columns)
+
+
+def link_experiment_runs(l: Ledger, run_plan: DataFrame) -> DataFrame:
+    """Bridge table plus missing links of planned runs that name an experiment."""
+    return l.table("experiment_runs").unionByName(_new_links(l, run_plan))
 
 
 def apply_plan(l: Ledger, the_plan: Plan, source: str, experiment_id: str | None = None, session_id: str | None = None) -> Ledger:
@@ -818,7 +824,6 @@ def apply_plan(l: Ledger, the_plan: Plan, source: str, experiment_id: str | None
     bad = the_plan.errors.limit(5).collect()
     if bad:
         raise ReconcileError("; ".join(f"{r['section']}[{r['row_index']}]: {r['error']}" for r in bad))
-    tables = apply_updates(l, the_plan)
     ordered = order_operations(the_plan.operations)
     inserts, updates, counts = counts_json(the_plan.counts())
     event_id = F.concat(F.lit("rec_"), F.substring(F.sha2(F.lit(f"{source}|{l.as_of}|{apply_number(l)}|{counts}"), 256), 1, 26))
@@ -826,13 +831,8 @@ def apply_plan(l: Ledger, the_plan: Plan, source: str, experiment_id: str | None
                                     F.lit(updates).alias("updates_json"), l.now.alias("created_at"), F.lit(counts).alias("counts_json"), F.lit(session_id).cast("string").alias("session_id"))
     ops = ordered.select(F.concat(F.lit("recop_"), F.substring(F.sha2(F.concat_ws("|", event_id, F.col("op_index").cast("string")), 256), 1, 26)).alias("id"), event_id.alias("reconcile_event_id"),
                          "op_index", F.col("section").alias("entity"), "action", "entity_id", "input_json", "diff_json")
-    tables["reconcile_events"] = l.table("reconcile_events").unionByName(conform(event, "reconcile_events"))
-    tables["reconcile_operations"] = l.table("reconcile_operations").unionByName(conform(ops, "reconcile_operations"))
-    if "sync_events" in tables:
-        fresh = the_plan.sections["sync_events"].filter(F.col("action") == "sync_event").select(F.col("target_id").alias("id"), F.lit(True).alias("_new"))
-        tables["sync_events"] = tables["sync_events"].join(fresh, "id", "left").withColumn(
-            "reconcile_event_id", F.when(F.col("_new"), event_id).otherwise(F.col("reconcile_event_id"))).drop("_new").select(*l.table("sync_events").columns)
-    return l.with_tables(**tables)
+    after = apply_rows(l, the_plan, event_id)
+    return after.with_rows({}, {"reconcile_events": conform(event, "reconcile_events"), "reconcile_operations": cut(conform(ops, "reconcile_operations"), "operations")})
 
 
 def reconcile(l: Ledger, manifest: dict[str, DataFrame], source: str, apply: bool = False, experiment_id: str | None = None, session_id: str | None = None) -> tuple[Plan, Ledger]:

@@ -7,10 +7,11 @@ from runledger.plans.checking import checking_sql
 from runledger.plans.flow_checks import FLOWS
 from runledger.plans.reconcile_checks import RECONCILE
 from runledger.plans.report_checks import REPORTS
+from runledger.plans.store_checks import STORED
 from runledger.plans.view_checks import VIEWS
 from runledger.projection import project
 
-QUERIES: dict = {**VIEWS, **AUDITS, **REPORTS, **FLOWS, **RECONCILE}
+QUERIES: dict = {**VIEWS, **AUDITS, **REPORTS, **FLOWS, **RECONCILE, **STORED}
 
 
 def spark_queries() -> dict:

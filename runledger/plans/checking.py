@@ -90,7 +90,7 @@ def checking_sql(body: str) -> str:
             hint = " MATERIALIZED" if name in ("li_seq", "jobs") else ""
             parts.append(f"{name} AS{hint} ({duckdb_relation(name)})")
     for name in used:
-        hint = "" if name == "retry_walk" else " MATERIALIZED"
+        hint = "" if name in ("retry_walk", "retry_climb") else " MATERIALIZED"
         parts.append(f"{name} AS{hint} ({HELPERS[name].replace(':as_of', AS_OF_SQL)})")
     if body.upper().startswith("WITH "):
         parts.append(body[5:])

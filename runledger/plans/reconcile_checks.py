@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions import validate as v
 from runledger.lineage import cut
+from runledger.operators import integrity
 from runledger.operators import reconcile as rc
 from runledger.plans.checking import register
 from runledger.schemas import NOTE_TYPES
@@ -54,6 +55,38 @@ def _apply(section, fn, table):
     return run
 
 
+def _references(l):
+    """Reference errors of a manifest that also names rows nobody has."""
+    n = F.col("row_index")
+    metrics = l.tables["man_metrics"].withColumn("run_id", F.when(n % 7 == 3, F.concat(F.lit("ghost_"), "run_id")).otherwise(F.col("run_id"))).withColumn(
+        "source_job_id", F.when(n % 11 == 5, F.concat("source_job_id", F.lit("q"))).otherwise(F.col("source_job_id")))
+    jobs = l.tables["man_jobs"].withColumn("run_id", F.when(n % 13 == 1, F.concat(F.lit("run_z"), n.cast("string")))).withColumn(
+        "retry_of", F.when(n % 17 == 2, F.lit("job_none")).when(n % 17 == 3, F.regexp_replace("id", "^new_", "job_")))
+    sections = {"jobs": cut(rc.plan_jobs(l, jobs), "plan-jobs"), "job_runs": cut(rc.plan_job_runs(l, l.tables["man_edges"]), "plan-edges"), "metrics": cut(rc.plan_metrics(l, metrics), "plan-metrics")}
+    return integrity.reference_errors(l, sections)
+
+
+def _uniques(l):
+    """Errors of a manifest that moves every fourth job onto an external id that may be taken, free or asked for twice."""
+    n = F.col("row_index")
+    order, seq = F.split_part("id", F.lit("_"), F.lit(2)), F.split_part("id", F.lit("_"), F.lit(3)).cast("int")
+    wanted = (F.when(n % 5 == 0, F.concat(F.lit("https://sched.example/j"), order, F.lit("-"), (seq + 1).cast("string")))
+              .when(n % 23 == 1, F.concat(F.lit("https://twice/"), order)).otherwise(F.concat(F.lit("https://free/"), "id")))
+    jobs = l.tables["man_jobs"].filter(n % 4 == 0).select("row_index", "id", F.lit("upsert").alias("op"), F.lit("sched").alias("external_system"), wanted.alias("external_id"))
+    return integrity.unique_errors(l, {"jobs": cut(rc.plan_jobs(l, jobs), "plan-jobs")})
+
+
+def _retries(l):
+    """Retry errors that a manifest causes: self retries, lost targets, archived targets and rings of two."""
+    n = F.col("row_index")
+    order, seq = F.split_part("id", F.lit("_"), F.lit(2)), F.split_part("id", F.lit("_"), F.lit(3)).cast("int")
+    nxt = F.concat(F.lit("job_"), order, F.lit("_"), (seq + 1).cast("string"))
+    jobs = l.tables["man_jobs"].filter(F.col("id").startswith("job_") & (n % 3 == 0)).select(
+        "row_index", "id", F.when(n % 5 == 4, "archive").otherwise("upsert").alias("op"),
+        F.when(n % 7 == 1, F.col("id")).when(n % 7 == 2, F.lit("job_none")).when(n % 7 == 3, nxt).alias("retry_of"))
+    return rc.manifest_retry_errors(l, cut(rc.plan_jobs(l, jobs), "plan-jobs"))
+
+
 def _dedupe(l):
     # rows lose their id, and every fourth one repeats the external id of its neighbour
     n = F.col("row_index")
@@ -83,6 +116,21 @@ def _upsert(l):
     return rc.upsert_keep_existing(l, "experiments", fresh).select("id", "idempotency_key")
 
 
+register("man_retries", """SELECT row_index, id, CASE WHEN row_index%5=4 THEN 'archive' ELSE 'upsert' END AS op, CASE WHEN row_index%7=1 THEN id WHEN row_index%7=2 THEN 'job_none'
+ WHEN row_index%7=3 THEN 'job_' || split_part(id,'_',2) || '_' || (CAST(split_part(id,'_',3) AS INT)+1) END AS retry_of FROM man_jobs WHERE id LIKE 'job~_%' ESCAPE '~' AND row_index%3=0""")
+register("retry_said", "SELECT id, retry_of FROM man_retries WHERE op = 'upsert'")
+register("retry_gone", "SELECT id FROM man_retries WHERE op = 'archive'")
+register("jobs_then", """SELECT j.id, CASE WHEN s.id IS NULL THEN j.retry_of ELSE s.retry_of END AS retry_of, s.id IS NOT NULL AND s.retry_of IS NOT NULL AS said FROM jobs j LEFT JOIN retry_said s ON s.id = j.id
+ WHERE (j.deleted_at IS NULL OR s.id IS NOT NULL) AND j.id NOT IN (FROM retry_gone)""")
+register("edges_then", "SELECT a.id, a.retry_of AS parent, a.said FROM jobs_then a JOIN jobs_then b ON b.id = a.retry_of WHERE a.retry_of <> a.id")
+register("retry_climb", """SELECT id AS root, parent AS node, said, 1 AS d FROM edges_then UNION ALL
+ SELECT w.root, e.parent, w.said OR e.said, w.d + 1 FROM retry_climb w JOIN edges_then e ON e.id = w.node WHERE w.node <> w.root AND w.d < 20""")
+register("man_moves", """SELECT m.row_index, m.id, CASE WHEN row_index%5=0 THEN 'https://sched.example/j' || split_part(m.id,'_',2) || '-' || (CAST(split_part(m.id,'_',3) AS INT)+1)
+ WHEN row_index%23=1 THEN 'https://twice/' || split_part(m.id,'_',2) ELSE 'https://free/' || m.id END AS ext FROM man_jobs m WHERE row_index%4=0""")
+register("moves", """SELECT m.row_index, coalesce(j.id, m.id) AS id, m.ext, j.id IS NULL AS fresh FROM man_moves m LEFT JOIN jobs j ON j.id = m.id
+ LEFT JOIN (SELECT DISTINCT external_id FROM jobs WHERE deleted_at IS NULL AND external_system = 'sched') x ON x.external_id = m.ext
+ WHERE (j.id IS NOT NULL AND j.deleted_at IS NULL AND m.ext IS DISTINCT FROM j.external_id) OR (j.id IS NULL AND x.external_id IS NULL)""")
+
 _ORDERED = """SELECT CAST(row_number() OVER (ORDER BY CASE action WHEN 'insert' THEN 0 WHEN 'update' THEN 2 WHEN 'noop' THEN 4 ELSE 5 END, CASE section WHEN 'jobs' THEN 1 ELSE 4 END, row_index) - 1 AS INT) AS op_index, section, action, row_index
  FROM (SELECT 'jobs' AS section, action, row_index FROM plan_jobs_all WHERE error IS NULL UNION ALL SELECT 'metrics', action, row_index FROM plan_metrics_all WHERE error IS NULL) z"""
 register("plan_metrics_all", f"""
@@ -173,6 +221,18 @@ RECONCILE = {
     "validate_retry_graph": (rc.validate_retry_graph, """SELECT id AS job_id, 'a job cannot retry itself' AS error FROM live_jobs WHERE retry_of = id UNION ALL
         SELECT id, 'retry target is not an active job' FROM live_jobs WHERE retry_of NOT IN (SELECT id FROM live_jobs) UNION ALL
         SELECT j.id, 'retry lineage would form a cycle' FROM live_jobs j WHERE j.retry_of <> j.id AND EXISTS (FROM retry_walk w WHERE w.root = j.id AND w.node = j.retry_of)"""),
+    "plan_reference_errors": (_references, """SELECT 'job_runs' AS section, CAST(m.row_index AS VARCHAR) AS row_index, 'run_id names no row of runs' AS error FROM man_edges m
+        WHERE m.job_id IS NOT NULL AND m.run_id NOT IN (SELECT id FROM runs)
+        UNION ALL SELECT 'metrics', CAST(row_index AS VARCHAR), 'run_id names no row of runs' FROM man_metrics WHERE row_index%7=3 AND value <> 'oops'
+        UNION ALL SELECT 'metrics', CAST(row_index AS VARCHAR), 'source_job_id names no row of jobs' FROM man_metrics WHERE row_index%11=5 AND value <> 'oops'
+        UNION ALL SELECT 'jobs', CAST(row_index AS VARCHAR), 'run_id names no row of runs' FROM plan_j WHERE row_index%13=1 AND error IS NULL AND op = 'upsert'
+        UNION ALL SELECT 'jobs', CAST(row_index AS VARCHAR), 'retry_of names no row of jobs' FROM plan_j WHERE row_index%17=2 AND error IS NULL AND op = 'upsert'"""),
+    "plan_unique_errors": (_uniques, """SELECT 'jobs' AS section, CAST(m.row_index AS VARCHAR) AS row_index, 'external_system/external_id is taken by an active row' AS error FROM moves m
+        WHERE m.ext IN (SELECT external_id FROM jobs WHERE deleted_at IS NULL AND external_system = 'sched' AND external_id IS NOT NULL AND id NOT IN (SELECT id FROM moves))
+        UNION ALL SELECT 'jobs', CAST(min(row_index) AS VARCHAR), 'external_system/external_id is given to several rows' FROM moves GROUP BY ext HAVING count(*) > 1 AND NOT bool_and(fresh)"""),
+    "plan_retry_errors": (_retries, """SELECT id AS job_id, 'a job cannot retry itself' AS error FROM retry_said WHERE retry_of = id
+        UNION ALL SELECT id, 'retry target is not an active job' FROM jobs_then WHERE retry_of NOT IN (SELECT id FROM jobs_then) AND (said OR retry_of IN (FROM retry_gone))
+        UNION ALL SELECT DISTINCT root, 'retry lineage would form a cycle' FROM retry_climb WHERE node = root AND said"""),
     "upsert_keep_existing": (_upsert, """SELECT id, idempotency_key FROM experiments UNION ALL SELECT 'up_' || id, CASE WHEN CAST(substr(id, 5) AS BIGINT) % 4 = 0 THEN idempotency_key ELSE 'fresh-' || id END FROM experiments e
         WHERE CAST(substr(id, 5) AS BIGINT) % 4 <> 0 OR NOT EXISTS (FROM experiments x WHERE x.deleted_at IS NULL AND x.idempotency_key = e.idempotency_key)"""),
 }

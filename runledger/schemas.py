@@ -79,6 +79,10 @@ def struct(table: str) -> T.StructType:
 TABLES = list(TABLE_COLUMNS)
 SCHEMA_VERSION = 18
 
+# What identifies a row of each table.
+KEYS: dict[str, tuple[str, ...]] = {t: ("id",) for t in TABLE_COLUMNS} | {
+    "experiment_tags": ("experiment_id", "tag"), "experiment_runs": ("run_id", "experiment_id"), "job_runs": ("job_id", "run_id"), "schema_metadata": ("key",)}
+
 # Fixed value domains.
 JOB_STATUSES = ["planned", "submitting", "unknown_submit", "queued", "running", "succeeded", "failed",
                 "killed", "skipped", "unknown"]

@@ -17,6 +17,8 @@ from runledger.functions import validate as v
 from runledger.functions.attrs import canonical_object
 from runledger.ledger import Ledger
 from runledger.lineage import cut
+from runledger.operators import integrity
+from runledger.operators.ownership import union_all
 from runledger.schemas import ARTIFACT_TYPES, JOB_STATUSES, RUN_STATUSES
 
 SECTIONS = ["runs", "jobs", "artifacts", "metrics", "notes", "validations", "custom_attributes", "sync_events"]
@@ -246,6 +248,29 @@ def resolve_bulk_metrics(l: Ledger, raw: DataFrame) -> DataFrame:
     return out.select("row_index", "run_id", "metric_name", value.alias("value"), "step", "split", F.col("job_id").alias("source_job_id"), "source_artifact_id", error.alias("error"))
 
 
+def bulk_import_metrics(l: Ledger, raw: DataFrame) -> Ledger:
+    """Ledger with the metrics of a CSV put in: all rows, or none and a ``ReconcileError``.
+
+    Rows that mean the same metric come one after another, so the last one's value stays.  With
+    ``store.update_ledger`` the import lands as a whole on whatever version is the latest by then.
+    """
+    from runledger.operators import reconcile as rc
+
+    def stop(bad: DataFrame) -> None:
+        found = bad.limit(5).collect()
+        if found:
+            raise rc.ReconcileError("; ".join(f"row {r['row_index']}: {r['error']}" for r in found))
+
+    rows = cut(resolve_bulk_metrics(l, raw), "bulk-rows")
+    stop(rows.filter(F.col("error").isNotNull()).select("row_index", "error"))
+    keys = ["run_id", "metric_name", "step", "split", "source_job_id", "source_artifact_id"]
+    last = rows.groupBy(*keys).agg(F.max("row_index").alias("row_index"), F.max_by("value", "row_index").alias("value"))
+    sections = {"metrics": cut(rc.plan_metrics(l, last), "bulk-plan")}
+    the_plan = rc.Plan(sections, None, union_all([integrity.reference_errors(l, sections), integrity.unique_errors(l, sections)]))
+    stop(the_plan.errors.select("row_index", "error"))
+    return rc.apply_rows(l, the_plan)
+
+
 def submission_resolutions(l: Ledger, manifest_jobs: DataFrame, experiment_id: str | None = None) -> DataFrame:
     """What a manifest settles about uncertain submissions; matched by id only, last row of an id wins."""
     jobs = l.active("jobs").filter(F.col("status").isin("submitting", "unknown_submit"))

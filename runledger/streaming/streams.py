@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from runledger import schemas
 from runledger.operators import reconcile as rc
 from runledger.sources import ingest
-from runledger.sources.store import load_ledger, save_ledger
+from runledger.sources.store import load_ledger, save_changes
 
 LINE_SCHEMA = StructType([StructField("row_index", LongType()), StructField("text", StringType())])
 ADAPTERS: dict[str, Callable[[DataFrame], ingest.Ingest]] = {
@@ -35,9 +35,7 @@ def stream_manifests(spark: SparkSession, folder: str, adapter: str, root: str,
         the_plan = rc.plan(ledger, fed.sections, experiment_id)
         if the_plan.operations.filter(F.col("action") != "noop").isEmpty():
             return
-        after = rc.apply_plan(ledger, the_plan, f"stream:{adapter}", experiment_id)
-        changed = [t for t in schemas.TABLES if after.tables[t] is not ledger.tables[t]]
-        save_ledger(after, root, changed)
+        save_changes(rc.apply_plan(ledger, the_plan, f"stream:{adapter}", experiment_id), root)
 
     writer = rows.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -186,9 +186,9 @@ def test_stream_manifests_replays_to_noop(spark, make_ledger, tmp_path):
     run("ck")
     now = store.load_ledger(spark, root, NOW)
     assert [(r["id"], r["status"]) for r in as_dicts(now.table("jobs"))] == [("j1", "running")]
-    version = json.loads((tmp_path / "led" / "CURRENT").read_text())["version"]
+    version = store.stored_version(spark, root)["version"]
     run("ck")  # nothing new
-    assert json.loads((tmp_path / "led" / "CURRENT").read_text())["version"] == version == 3
+    assert store.stored_version(spark, root)["version"] == version == 3
     assert now.table("sync_events").count() == 1
 
 

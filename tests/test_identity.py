@@ -38,7 +38,7 @@ def test_manifests_at_one_time_get_ids_of_their_own(spark, make_ledger):
 def test_store_goes_on_after_a_lost_writer(spark, make_ledger, tmp_path):
     root, l = str(tmp_path / "ledger"), make_ledger(jobs=[{"id": "j1"}])
     first = store.save_ledger(l, root)
-    state = json.loads((tmp_path / "ledger" / "CURRENT").read_text())
+    state = store.stored_version(spark, root)
     (tmp_path / "ledger" / f"v{state['version'] + 1:06d}" / "jobs").mkdir(parents=True)  # what a dead writer left
     second = store.save_ledger(l, root, ["jobs"], expected=first)
     assert second != first and store.load_ledger(spark, root, NOW).table("jobs").count() == 1
