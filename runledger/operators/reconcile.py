@@ -598,7 +598,10 @@ def manifest_retry_errors(l: Ledger, job_plan: DataFrame) -> DataFrame:
     index = retry_roots(l)
     ends = new_edges.select("id").unionByName(new_edges.select(F.col("parent").alias("id"))).distinct()
     trees = index.join(ends, "id", "left_semi").select("root").unionByName(ends.select(F.col("id").alias("root"))).distinct()
-    kept = index.join(trees, "root", "left_semi").select("id", "parent").join(said.select(F.col("job_id").alias("id")).unionByName(gone.select(F.col("job_id").alias("id"))), "id", "left_anti")
+    kept = index.join(trees, "root", "left_semi").select("id", "parent")
+    # the manifest may also name a target that was missing or archived until now
+    waiting = live.join(said.select(F.col("job_id").alias("retry_of")), "retry_of", "left_semi").select(F.col("job_id").alias("id"), F.col("retry_of").alias("parent"))
+    kept = kept.unionByName(waiting).distinct().join(said.select("job_id").unionByName(gone).select(F.col("job_id").alias("id")), "id", "left_anti")
     ring = cycle_members(cut(kept.unionByName(new_edges), "retry-trees"))
     caused = ring.join(ring.join(new_edges.select("id"), "id", "left_semi").select("cycle_id").distinct(), "cycle_id", "left_semi")
     return own.unionByName(lost).unionByName(caused.select(F.col("id").alias("job_id"), F.lit(RING).alias("error")))

@@ -67,12 +67,12 @@ def _references(l):
 
 
 def _uniques(l):
-    """Errors of a manifest that moves every fourth job onto an external id that may be taken, free or asked for twice."""
+    """Errors of a manifest that moves every third job onto an external id that may be taken, free or asked for twice."""
     n = F.col("row_index")
     order, seq = F.split_part("id", F.lit("_"), F.lit(2)), F.split_part("id", F.lit("_"), F.lit(3)).cast("int")
-    wanted = (F.when(n % 5 == 0, F.concat(F.lit("https://sched.example/j"), order, F.lit("-"), (seq + 1).cast("string")))
-              .when(n % 23 == 1, F.concat(F.lit("https://twice/"), order)).otherwise(F.concat(F.lit("https://free/"), "id")))
-    jobs = l.tables["man_jobs"].filter(n % 4 == 0).select("row_index", "id", F.lit("upsert").alias("op"), F.lit("sched").alias("external_system"), wanted.alias("external_id"))
+    wanted = (F.when(n % 7 < 3, F.concat(F.lit("https://sched.example/j"), order, F.lit("-"), (seq + 1).cast("string")))
+              .when(n % 11 == 1, F.concat(F.lit("https://twice/"), F.substring(order, -3, 3))).otherwise(F.concat(F.lit("https://free/"), "id")))
+    jobs = l.tables["man_jobs"].filter(n % 3 == 0).select("row_index", "id", F.lit("upsert").alias("op"), F.lit("sched").alias("external_system"), wanted.alias("external_id"))
     return integrity.unique_errors(l, {"jobs": cut(rc.plan_jobs(l, jobs), "plan-jobs")})
 
 
@@ -119,14 +119,14 @@ def _upsert(l):
 register("man_retries", """SELECT row_index, id, CASE WHEN row_index%5=4 THEN 'archive' ELSE 'upsert' END AS op, CASE WHEN row_index%7=1 THEN id WHEN row_index%7=2 THEN 'job_none'
  WHEN row_index%7=3 THEN 'job_' || split_part(id,'_',2) || '_' || (CAST(split_part(id,'_',3) AS INT)+1) END AS retry_of FROM man_jobs WHERE id LIKE 'job~_%' ESCAPE '~' AND row_index%3=0""")
 register("retry_said", "SELECT id, retry_of FROM man_retries WHERE op = 'upsert'")
-register("retry_gone", "SELECT id FROM man_retries WHERE op = 'archive'")
+register("retry_gone", "SELECT m.id FROM man_retries m JOIN jobs j ON j.id = m.id WHERE m.op = 'archive' AND j.deleted_at IS NULL")
 register("jobs_then", """SELECT j.id, CASE WHEN s.id IS NULL THEN j.retry_of ELSE s.retry_of END AS retry_of, s.id IS NOT NULL AND s.retry_of IS NOT NULL AS said FROM jobs j LEFT JOIN retry_said s ON s.id = j.id
  WHERE (j.deleted_at IS NULL OR s.id IS NOT NULL) AND j.id NOT IN (FROM retry_gone)""")
 register("edges_then", "SELECT a.id, a.retry_of AS parent, a.said FROM jobs_then a JOIN jobs_then b ON b.id = a.retry_of WHERE a.retry_of <> a.id")
 register("retry_climb", """SELECT id AS root, parent AS node, said, 1 AS d FROM edges_then UNION ALL
  SELECT w.root, e.parent, w.said OR e.said, w.d + 1 FROM retry_climb w JOIN edges_then e ON e.id = w.node WHERE w.node <> w.root AND w.d < 20""")
-register("man_moves", """SELECT m.row_index, m.id, CASE WHEN row_index%5=0 THEN 'https://sched.example/j' || split_part(m.id,'_',2) || '-' || (CAST(split_part(m.id,'_',3) AS INT)+1)
- WHEN row_index%23=1 THEN 'https://twice/' || split_part(m.id,'_',2) ELSE 'https://free/' || m.id END AS ext FROM man_jobs m WHERE row_index%4=0""")
+register("man_moves", """SELECT m.row_index, m.id, CASE WHEN row_index%7<3 THEN 'https://sched.example/j' || split_part(m.id,'_',2) || '-' || (CAST(split_part(m.id,'_',3) AS INT)+1)
+ WHEN row_index%11=1 THEN 'https://twice/' || right(split_part(m.id,'_',2), 3) ELSE 'https://free/' || m.id END AS ext FROM man_jobs m WHERE row_index%3=0""")
 register("moves", """SELECT m.row_index, coalesce(j.id, m.id) AS id, m.ext, j.id IS NULL AS fresh FROM man_moves m LEFT JOIN jobs j ON j.id = m.id
  LEFT JOIN (SELECT DISTINCT external_id FROM jobs WHERE deleted_at IS NULL AND external_system = 'sched') x ON x.external_id = m.ext
  WHERE (j.id IS NOT NULL AND j.deleted_at IS NULL AND m.ext IS DISTINCT FROM j.external_id) OR (j.id IS NULL AND x.external_id IS NULL)""")

@@ -66,6 +66,7 @@ def test_only_faults_of_the_manifest_are_errors(make_ledger, man):
     assert faults({"id": "j2", "op": "archive"}) == [("j3", rc.NO_TARGET)]
     assert faults({"id": "j2", "op": "archive"}, {"id": "j3", "status": "failed"}) == []
     assert faults({"id": "j2", "op": "archive"}, {"id": "j1", "retry_of": "j3"}) == [("j3", rc.NO_TARGET)]
+    assert faults({"id": "nobody", "status": "failed", "retry_of": "d1"}) == [("d1", rc.RING), ("nobody", rc.RING)]
     assert faults({"id": "k1", "status": "failed", "retry_of": "j3"}, {"id": "j1", "status": "failed", "retry_of": "k2"}) == [(i, rc.RING) for i in ("j1", "j2", "j3", "k1", "k2")]
 
 
