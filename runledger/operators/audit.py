@@ -50,7 +50,8 @@ class Rule:
     message: str
     action: str
     # Rows found by joins or groups; entity_type, entity_id, details.
-    find: Callable[[Ledger, Thresholds], DataFrame] | None = None
+    # None if the ledger lacks what the rule looks at.
+    find: Callable[[Ledger, Thresholds], DataFrame | None] | None = None
     # Checks that need one row only; fused into a single scan per table.
     rows: Callable[[Ledger, Thresholds], list[RowCheck]] | None = None
 
@@ -60,7 +61,7 @@ class Rule:
             F.lit(self.message).alias("message"), "details", F.lit(self.action).alias("suggested_next_action"))
 
     def issues(self, ledger: Ledger, limits: Thresholds) -> DataFrame:
-        parts = [self.label(self.find(ledger, limits))] if self.find else []
+        parts = [self.label(df)] if self.find and (df := self.find(ledger, limits)) is not None else []
         if self.rows:
             parts += scan_tables(ledger, [(self, c) for c in self.rows(ledger, limits)])
         return union_all(parts)
@@ -169,23 +170,30 @@ def _external_rows(l: Ledger, table: str, kind: str) -> DataFrame:
         F.lit(kind).alias("entity_type"), "external_system", "external_id", "id", F.col("deleted_at").isNull().alias("live"))
 
 
+def _shared_ids(l: Ledger) -> DataFrame:
+    """External identifiers that an active row shares with another row, one row each; stored once for both rules."""
+    def build() -> DataFrame:
+        rows = union_all([_external_rows(l, "runs", "run"), _external_rows(l, "jobs", "job")])
+        live_id, gone_id = F.when(F.col("live"), F.col("id")), F.when(~F.col("live"), F.col("id"))
+        groups = rows.groupBy("entity_type", "external_system", "external_id").agg(
+            F.count(live_id).alias("n"), F.min(live_id).alias("first_id"), F.max(live_id).alias("last_id"), F.count(gone_id).alias("archived_count"), F.min(gone_id).alias("archived_id"))
+        return cut(groups.filter("n > 1 OR (n > 0 AND archived_count > 0)"), "shared-ids")
+    return l.once("shared_ids", build)
+
+
 @rule("external_id.duplicate_active", "external-ids", "error", "several active rows carry one external identifier",
       "Archive or correct the duplicates.")
 def duplicate_active(l: Ledger, _t: Thresholds) -> DataFrame:
-    rows = union_all([_external_rows(l, "runs", "run"), _external_rows(l, "jobs", "job")]).filter("live")
-    groups = rows.groupBy("entity_type", "external_system", "external_id").agg(
-        F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("n > 1")
-    return found(groups, F.col("entity_type"), None, "external_system", "external_id", "n", "first_id", "last_id")
+    return found(_shared_ids(l).filter("n > 1"), F.col("entity_type"), None, "external_system", "external_id", "n", "first_id", "last_id")
 
 
 @rule("external_id.duplicate_archived", "external-ids", "warning", "active row carries the external identifier of an archived row",
       "Check that the archived row is history and not a mistake.")
 def duplicate_archived(l: Ledger, _t: Thresholds) -> DataFrame:
     """One issue per active row; the archived side is combined first, so no pair list is formed."""
-    rows = union_all([_external_rows(l, "runs", "run"), _external_rows(l, "jobs", "job")])
     key = ["entity_type", "external_system", "external_id"]
-    gone = rows.filter(~F.col("live")).groupBy(*key).agg(F.count("*").alias("archived_count"), F.min("id").alias("archived_id"))
-    both = rows.filter("live").join(gone, key)
+    gone = _shared_ids(l).filter("archived_count > 0").select(*key, "archived_count", "archived_id")
+    both = union_all([_external_rows(l, "runs", "run"), _external_rows(l, "jobs", "job")]).filter("live").join(gone, key)
     return found(both, F.col("entity_type"), "id", "external_system", "external_id", F.col("id").alias("active_id"), "archived_id", "archived_count")
 
 
@@ -269,8 +277,7 @@ def unknown_stale(l: Ledger, t: Thresholds) -> list[RowCheck]:
 @rule("job_retry.missing_target", "job-recovery", "error", "retry points at a missing or archived job",
       "Correct the retry lineage.")
 def retry_missing(l: Ledger, _t: Thresholds) -> DataFrame:
-    live = l.active("jobs")
-    bad = live.filter(F.col("retry_of").isNotNull()).select("id", "retry_of").join(live.select(F.col("id").alias("retry_of")), "retry_of", "left_anti")
+    bad = l.active("jobs").filter(F.col("retry_of").isNotNull()).select("id", "retry_of").join(graph.edges(l).select("id"), "id", "left_anti")
     return found(bad, "job", "id", "retry_of")
 
 
@@ -291,10 +298,19 @@ def retry_loop(l: Ledger, t: Thresholds) -> DataFrame:
                  F.lit(t.retry_loop).alias("retry_loop_threshold"))
 
 
+def _recovered(l: Ledger) -> DataFrame:
+    """Failed jobs with a succeeded or active retry below them; stored once for both rules."""
+    def build() -> DataFrame:
+        failed = l.active("jobs").filter(F.col("status") == "failed").select(F.col("id").alias("job_id"), "experiment_id")
+        below = graph.retry_recovery(l).select(F.col("root_id").alias("job_id"), "success_descendant_id", "active_descendant_id")
+        return cut(failed.join(below, "job_id"), "recovered-jobs")
+    return l.once("recovered_jobs", build)
+
+
 @rule("job_retry.recovery_stale", "job-recovery", "warning", "recovery of a failed job shows no recent update",
       "Refresh the retry or mark it failed.")
 def recovery_stale(l: Ledger, t: Thresholds) -> DataFrame:
-    open_ = views.jobs_with_recovery(l).filter(F.col("retry_state") == "recovery_in_progress").select("job_id", "active_descendant_id")
+    open_ = _recovered(l).filter("success_descendant_id IS NULL").select("job_id", "active_descendant_id")
     child = l.table("jobs").select(F.col("id").alias("active_descendant_id"), "status", "updated_at")
     rows = open_.join(child, "active_descendant_id").filter(F.col("updated_at") < l.ago(t.stale_hours))
     return found(rows, "job", "job_id", F.col("job_id").alias("failed_job_id"), "active_descendant_id", "status", stamp("updated_at"))
@@ -303,7 +319,7 @@ def recovery_stale(l: Ledger, t: Thresholds) -> DataFrame:
 @rule("job_retry.recovered_debug_open", "job-recovery", "warning", "recovered job still has an open debug note",
       "Resolve or supersede the note.")
 def recovered_debug_open(l: Ledger, _t: Thresholds) -> DataFrame:
-    done = views.jobs_with_recovery(l).filter(F.col("retry_state") == "recovered_failed").select("job_id", "experiment_id", "success_descendant_id")
+    done = _recovered(l).filter("success_descendant_id IS NOT NULL").select("job_id", "experiment_id", "success_descendant_id")
     debug = l.active("notes").filter((F.col("note_type") == "debug") & (F.col("status") == "open"))
     on_job = debug.filter(F.col("entity_type") == "job").select(F.col("entity_id").alias("job_id"))
     on_exp = debug.filter(F.col("entity_type") == "experiment").select(F.col("entity_id").alias("experiment_id"))
@@ -364,13 +380,17 @@ def lease_outlived(l: Ledger, _t: Thresholds) -> DataFrame:
 
 
 def _lease_targets(l: Ledger) -> DataFrame:
-    held, parts = _held(l), []
-    for kind in ("experiment", "run", "job"):
-        target = l.table(ENTITY_TABLE[kind]).select(F.col("id").alias("entity_id"), F.lit(1).alias("known"), F.col("deleted_at").alias("gone_at"))
-        parts.append(held.filter(F.col("entity_type") == kind).join(target, "entity_id", "left"))
-    none = held.filter(~F.col("entity_type").isin("experiment", "run", "job"))
-    parts.append(none.withColumn("known", F.lit(None).cast("int")).withColumn("gone_at", F.lit(None).cast("timestamp_ntz")))
-    return union_all(parts)
+    """Held leases with their target; targets are reduced to the leases' own first.  Stored once for both rules."""
+    def build() -> DataFrame:
+        held, parts = _held(l), []
+        for kind in ("experiment", "run", "job"):
+            own = held.filter(F.col("entity_type") == kind)
+            target = l.table(ENTITY_TABLE[kind]).select(F.col("id").alias("entity_id"), F.lit(1).alias("known"), F.col("deleted_at").alias("gone_at"))
+            parts.append(own.join(target.join(own.select("entity_id").distinct(), "entity_id", "left_semi"), "entity_id", "left"))
+        none = held.filter(~F.col("entity_type").isin("experiment", "run", "job"))
+        parts.append(none.withColumn("known", F.lit(None).cast("int")).withColumn("gone_at", F.lit(None).cast("timestamp_ntz")))
+        return cut(union_all(parts).filter(F.col("known").isNull() | F.col("gone_at").isNotNull()), "lease-targets")
+    return l.once("lease_targets", build)
 
 
 @rule("lease.orphaned", "leases", "warning", "lease names a missing session or entity", "Release or take over the lease.")
@@ -401,8 +421,16 @@ def secret_matches(df: DataFrame, text: Column) -> DataFrame:
         "snippet", tx.secret_snippet(F.col("hit.match"))).drop("hit")
 
 
+def refresh_file_secrets(l: Ledger, _t: Thresholds) -> DataFrame | None:
+    """Secret patterns in the files of refresh events, if the ledger comes with ``contents``: (path, content) of whole files."""
+    if "contents" not in set(l.tables):
+        return None
+    rows = secret_matches(refresh_paths(l).join(l.tables["contents"].select("path", "content"), "path"), F.col("content"))
+    return found(rows, "refresh_event", "id", "source", "path", "path_column", "pattern_family", "snippet")
+
+
 @row_rule("privacy.secret_pattern", "privacy", "warning", "text looks like it holds a secret",
-          "Remove the secret from the ledger and rotate it.")
+          "Remove the secret from the ledger and rotate it.", find=refresh_file_secrets)
 def secrets(_l: Ledger, _t: Thresholds) -> list[RowCheck]:
     scans = [("jobs", "job", "command"), ("notes", "note", "body"), *[(t, k, "attrs_json") for t, k in ATTR_TABLES.items()]]
     checks = []
@@ -444,19 +472,12 @@ def refresh_stale(l: Ledger, t: Thresholds) -> DataFrame:
     return found(old, "refresh_event", "id", "source", "path", "path_column", F.lit(t.snapshot_days).alias("stale_refresh_snapshot_days"))
 
 
-def refresh_file_secrets(l: Ledger, contents: DataFrame) -> DataFrame:
-    """Secret patterns in refresh files; ``contents`` is (path, content) of the whole files."""
-    rows = secret_matches(refresh_paths(l).join(contents.select("path", "content"), "path"), F.col("content"))
-    return RULES["privacy.secret_pattern"].label(
-        found(rows, "refresh_event", "id", "source", "path", "path_column", "pattern_family", "snippet"))
-
-
 # --- freshness, runs, edges, schema -----------------------------------------------------
 
 @rule("artifact.local_drift", "artifact.local_drift", "warning", "file differs from its captured state",
       "Capture the file again if the change is wanted.")
 def local_drift(l: Ledger, _t: Thresholds) -> DataFrame:
-    return found(freshness.drifted_artifacts(l), "artifact", "artifact_id", "uri", "type", "drift_kind")
+    return found(freshness.drift(l), "artifact", "artifact_id", "uri", "type", "drift_kind")
 
 
 @rule("validation.source_drift", "validation.source_drift", "warning", "source of a validation changed later",
@@ -491,23 +512,27 @@ def unlinked(_l: Ledger, _t: Thresholds) -> list[RowCheck]:
                      details("experiment_id", "type", "uri"))]
 
 
+def _bad_edges(l: Ledger) -> DataFrame:
+    """Active run edges that lack an active end, or are open although their job is over; stored once for both rules."""
+    def build() -> DataFrame:
+        jobs = l.active("jobs").select(F.col("id").alias("job_id"), F.col("status").alias("job_status"))
+        runs = l.active("runs").select(F.col("id").alias("run_id"), F.lit(True).alias("run_there"))
+        edge = l.active("job_runs").select("job_id", "run_id", "role", F.col("status").alias("edge_status"))
+        rows = edge.join(jobs, "job_id", "left").join(runs, "run_id", "left").withColumn("orphan", F.col("job_status").isNull() | F.col("run_there").isNull())
+        return cut(rows.filter(F.col("orphan") | (F.col("job_status").isin(TERMINAL_JOB_STATUSES) & ~F.col("edge_status").isin(TERMINAL_JOB_STATUSES))), "bad-edges")
+    return l.once("bad_edges", build)
+
+
 @rule("job_runs.stale_state", "job_runs.stale_state", "warning", "job is over but its run edge is not",
       "Update the edge status.")
 def edge_stale(l: Ledger, _t: Thresholds) -> DataFrame:
-    jobs = l.active("jobs").filter(F.col("status").isin(TERMINAL_JOB_STATUSES)).select(F.col("id").alias("job_id"), F.col("status").alias("job_status"))
-    runs = l.active("runs").select(F.col("id").alias("run_id"))
-    edge = l.active("job_runs").filter(~F.col("status").isin(TERMINAL_JOB_STATUSES)).select("job_id", "run_id", "role", F.col("status").alias("edge_status"))
-    return found(edge.join(jobs, "job_id").join(runs, "run_id", "left_semi"), "job_run", F.concat_ws(":", "job_id", "run_id"),
-                 "job_id", "run_id", "role", "edge_status", "job_status")
+    return found(_bad_edges(l).filter("NOT orphan"), "job_run", F.concat_ws(":", "job_id", "run_id"), "job_id", "run_id", "role", "edge_status", "job_status")
 
 
 @rule("job_runs.orphan", "job_runs.orphan", "error", "run edge points at a missing or archived job or run",
       "Archive the edge or restore its ends.")
 def edge_orphan(l: Ledger, _t: Thresholds) -> DataFrame:
-    jobs = l.active("jobs").select(F.col("id").alias("job_id"), F.lit(1).alias("j"))
-    runs = l.active("runs").select(F.col("id").alias("run_id"), F.lit(1).alias("r"))
-    rows = l.active("job_runs").select("job_id", "run_id").join(jobs, "job_id", "left").join(runs, "run_id", "left").filter("j IS NULL OR r IS NULL")
-    return found(rows, "job_run", F.concat_ws(":", "job_id", "run_id"), "job_id", "run_id")
+    return found(_bad_edges(l).filter("orphan"), "job_run", F.concat_ws(":", "job_id", "run_id"), "job_id", "run_id")
 
 
 @row_rule("schema.version_mismatch", "schema-version", "error", "ledger has another schema version than this library",
@@ -528,7 +553,7 @@ def run_audit(l: Ledger, checks: list[str] | None = None, limits: Thresholds | N
     limits = limits or Thresholds()
     picked = [r for r in RULES.values() if not checks or r.check in checks]
     fused = scan_tables(l, [(r, c) for r in picked if r.rows for c in r.rows(l, limits)])
-    return union_all(fused + [r.label(r.find(l, limits)) for r in picked if r.find])
+    return union_all(fused + [r.label(df) for r in picked if r.find and (df := r.find(l, limits)) is not None])
 
 
 def all_issues(l: Ledger) -> DataFrame:

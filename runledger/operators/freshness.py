@@ -46,6 +46,11 @@ def drifted_artifacts(l: Ledger) -> DataFrame:
         "observed_size", "drift_kind")
 
 
+def drift(l: Ledger) -> DataFrame:
+    """``drifted_artifacts``, stored once for all that read it."""
+    return l.once("drift", lambda: cut(drifted_artifacts(l), "drift"))
+
+
 def _validation_sources(l: Ledger) -> DataFrame:
     source = l.active("artifacts").select(F.col("id").alias("source_artifact_id"), F.col("updated_at").alias("source_updated_at"))
     return l.active("validations").select(
@@ -59,15 +64,15 @@ _STALE_COLUMNS = ["validation_id", "entity_type", "entity_id", "check_name", "st
 
 def stale_validations(l: Ledger) -> DataFrame:
     """Active validations whose source artifact drifted or was updated afterwards."""
-    drift = drifted_artifacts(l).select(F.col("artifact_id").alias("source_artifact_id"), F.lit(1).alias("source_drifted"))
-    return _validation_sources(l).join(drift, "source_artifact_id", "left").withColumn(
+    drifted = drift(l).select(F.col("artifact_id").alias("source_artifact_id"), F.lit(1).alias("source_drifted"))
+    return _validation_sources(l).join(drifted, "source_artifact_id", "left").withColumn(
         "source_drifted", F.coalesce("source_drifted", F.lit(0))).filter(
         (F.col("source_drifted") == 1) | (F.col("source_updated_at") > F.col("updated_at"))).select(_STALE_COLUMNS)
 
 
 def drift_owners(l: Ledger) -> DataFrame:
     """(artifact_id, experiment_id) of drifted artifacts only; small against all artifacts, stored once."""
-    return l.once("drift_owners", lambda: cut(artifact_experiments(l, only=cut(drifted_artifacts(l).select("artifact_id"), "drifted")), "drift-owners"))
+    return l.once("drift_owners", lambda: cut(artifact_experiments(l, only=cut(drift(l).select("artifact_id"), "drifted")), "drift-owners"))
 
 
 def experiment_stale_validations(l: Ledger) -> DataFrame:

@@ -329,7 +329,7 @@ def apply_cleanup(l: Ledger, plan: DataFrame | None = None) -> dict[str, DataFra
 
 def handoff_examples(l: Ledger, limit: int | None = None) -> DataFrame:
     """(experiment_id, section, rank, entity_id, label): the drifted artifacts and stale validations behind a handoff, newest first."""
-    drift = freshness.drifted_artifacts(l).select("artifact_id", "uri", "drift_kind", "updated_at").join(freshness.drift_owners(l), "artifact_id").select(
+    drift = freshness.drift(l).select("artifact_id", "uri", "drift_kind", "updated_at").join(freshness.drift_owners(l), "artifact_id").select(
         "experiment_id", F.lit("drifted_artifact").alias("section"), F.col("artifact_id").alias("entity_id"),
         F.concat("uri", F.lit(" ("), "drift_kind", F.lit(")")).alias("label"), "updated_at")
     checks = freshness.experiment_stale_validations(l).select(

@@ -20,6 +20,7 @@ from runledger.lineage import cut
 from runledger.operators import integrity
 from runledger.operators.ownership import union_all
 from runledger.schemas import ARTIFACT_TYPES, JOB_STATUSES, RUN_STATUSES
+from runledger.sources import splitting
 
 SECTIONS = ["runs", "jobs", "artifacts", "metrics", "notes", "validations", "custom_attributes", "sync_events"]
 SCHEDULER = "iris"
@@ -65,14 +66,17 @@ def number_by_file(rows: DataFrame, file: str = "file") -> DataFrame:
 
 
 def read_json_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(row_index, row variant) of ``[...]`` or ``{"<key>": [...]}`` documents, one document per file."""
-    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"), F.input_file_name().alias("file"))
-    inner = F.try_variant_get("doc", f"$.{key}", "array<variant>")
-    docs = text.select(F.coalesce(F.expr("CASE WHEN schema_of_variant(doc) LIKE 'ARRAY%' THEN try_variant_get(doc, '$', 'array<variant>') END"),
-                                  F.when(F.schema_of_variant("doc").startswith("OBJECT"), inner)).alias("items"), "file")
-    if not docs.filter(F.col("items").isNull()).isEmpty():
-        raise IngestFailure(f"input must be a JSON list or an object with a {key!r} list")
-    return number_by_file(docs.select(F.posexplode("items").alias("row_index", "row"), "file").withColumn("row_index", F.col("row_index").cast("bigint"))).select("row_index", "row")
+    """(row_index, row variant) of ``[...]`` or ``{"<key>": [...]}`` documents, one document per file; many tasks read a large one."""
+    wrong = IngestFailure(f"input must be a JSON list or an object with a {key!r} list")
+    try:
+        elements, members = splitting.read_json_elements(spark, path)
+    except ValueError as error:
+        raise wrong from error
+    listed = members.filter((F.col("kind") == "list") & (F.col("key").isNull() | (F.col("key") == key))).select("file")
+    if not members.select("file").distinct().join(listed, "file", "left_anti").isEmpty() or members.isEmpty():
+        raise wrong
+    own = elements.filter(F.col("key").isNull() | (F.col("key") == key))
+    return number_by_file(own.select(F.col("nth").alias("row_index"), F.try_parse_json("text").alias("row"), "file")).select("row_index", "row")
 
 
 def rows_from_json_text(df: DataFrame, column: str, index: str) -> DataFrame:
@@ -174,12 +178,11 @@ METRIC_FIELDS = ["run_id", "metric_name", "value", "step", "split", "source_job_
 
 
 def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text.  ``row_index`` is a file-order label, not a dense number."""
-    df = spark.read.option("header", True).option("enforceSchema", False).option("escape", '"').option("multiLine", True).csv(path)
-    missing = [c for c in ("metric_name", "value") if c not in df.columns]
-    if missing:
+    """All columns as text, with ``row_index`` in file order; many tasks read a large file, line ends inside quotes included."""
+    df, names = splitting.read_csv(spark, path)
+    if not {"metric_name", "value"} <= set(names):
         raise IngestFailure("metric CSV needs the columns metric_name and value")
-    return df.withColumn("row_index", F.monotonically_increasing_id())
+    return number_by_file(df)
 
 
 def ingest_metrics_csv(raw: DataFrame) -> Ingest:

@@ -116,7 +116,8 @@ def test_secrets_in_refresh_files(spark, make_ledger, tmp_path):
     f = tmp_path / "snap.json"
     f.write_text("x" * 70000 + " sk-" + "a" * 24)
     l = make_ledger(refresh_events=[{"id": "f1", "status": "applied", "snapshot_path": str(f)}])
-    rows = as_dicts(audit.refresh_file_secrets(l, store.file_texts(spark, str(tmp_path))))
+    assert as_dicts(audit.run_audit(l, checks=["privacy"])) == []
+    rows = as_dicts(audit.run_audit(l.with_tables(contents=store.file_texts(spark, str(tmp_path))), checks=["privacy"]))
     assert [(r["entity_id"], json.loads(r["details"])["pattern_family"]) for r in rows] == [("f1", "openai_style_key")]
 
 
