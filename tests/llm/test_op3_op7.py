@@ -31,7 +31,6 @@ def test_encoder_is_the_tokenizer(path, monkeypatch):
 
 def plain_ids(path, text):
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     return tok.encode(text or "", add_special_tokens=False).ids
 
 
@@ -41,7 +40,7 @@ def crc(ids):
 
 def test_token_files_round_trip(spark, monkeypatch):
     monkeypatch.setattr(tokenfiles, "FILE_BYTES", 2_000)
-    docs = [(k * 3 % 101, prose(k, 60)) for k in range(40)] + EDGES
+    docs = [(k * 3 % 101, prose(k, 60)) for k in range(40)] + EDGES + [(201, "a <|endoftext|> b"), (202, "<|endoftext|><|startoftext|>")]
     manifest = tokenfiles.write(frame(spark, docs).repartition(4), BYTE, length=32, rows=4)
     got = tokenfiles.read_documents(manifest).collect()
     assert manifest.count() > 1
