@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
@@ -17,6 +17,15 @@ def ts(value: datetime) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'")
 
 
+def unique_key(table: str) -> list[Column]:
+    """The table's unique key as columns k0, k1, ...; absent optional parts are ""."""
+    return [(F.coalesce(c, F.lit("")) if c in schemas.OPTIONAL_KEYS else F.col(c)).alias(f"k{i}") for i, c in enumerate(schemas.UNIQUE_KEYS[table])]
+
+
+def key_hash(columns: list[str]) -> Column:
+    return F.xxhash64(*columns)
+
+
 @dataclass(frozen=True)
 class Ledger:
     """Immutable set of ledger tables.  Nothing here reads the clock."""
@@ -30,6 +39,8 @@ class Ledger:
     version: str | None = None
     delta: Mapping[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
     rewritten: frozenset[str] = frozenset()
+    #: How to read only the stored parts of a table that can hold some keys: (table, keys) -> rows, or None for all of it.
+    parts: Callable[[str, DataFrame], DataFrame | None] | None = field(default=None, compare=False, repr=False)
 
     def table(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -37,6 +48,37 @@ class Ledger:
     def active(self, name: str) -> DataFrame:
         return self.tables[name].filter(F.col("deleted_at").isNull())
 
+    def rows_of(self, name: str, keys: DataFrame) -> DataFrame:
+        """Rows of a table whose key is in ``keys`` (its one column, named like the first key column).
+
+        A stored ledger reads only the buckets that these keys fall into, so a small manifest does not scan large tables.
+        """
+        key = schemas.KEYS[name][0]
+        stored = self.parts(name, keys) if self.parts and name not in self.rewritten else None
+        if stored is None:
+            stored = self.tables[name]
+        elif name in self.delta:
+            own = list(schemas.KEYS[name])
+            stored = stored.join(self.delta[name].select(*own), own, "left_anti").select(*stored.columns).unionByName(self.delta[name].select(*stored.columns))
+        return stored.join(keys.select(key).distinct(), key, "left_semi")
+
+    def holders(self, name: str, keys: DataFrame) -> DataFrame:
+        """(id, k0, k1, ...) of active rows that hold one of the unique keys in ``keys`` (k0, k1, ...; see ``unique_key``).
+
+        A stored ledger finds them through its key index and reads the buckets of the rows found.
+        """
+        on = [f"k{i}" for i in range(len(schemas.UNIQUE_KEYS[name]))]
+        wanted = keys.select(*on).distinct()
+        ids = self.parts(f"key_{name}", wanted.select(key_hash(on).alias("k"))) if self.parts and name not in self.rewritten else None
+        if ids is None:
+            rows = self.active(name)
+        else:
+            ids = ids.join(wanted.select(key_hash(on).alias("k")).distinct(), "k", "left_semi").select("id")
+            if name in self.delta:
+                ids = ids.unionByName(self.delta[name].select("id"))
+            rows = self.rows_of(name, ids).filter(F.col("deleted_at").isNull())
+        return rows.select("id", *unique_key(name)).join(wanted, on, "left_semi")
+
     @property
     def now(self) -> Column:
         return ts(self.as_of)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from runledger import schemas
 from runledger.functions import validate as v
 from runledger.functions.attrs import attr_map, canonical_object, is_json_object, merge_objects
-from runledger.ledger import Ledger, conform
+from runledger.ledger import Ledger, conform, unique_key
 from runledger.lineage import cut
 from runledger.operators import integrity
 from runledger.operators.graph import cycle_members, retry_roots
@@ -147,23 +147,21 @@ def match_existing(l: Ledger, section: str, rows: DataFrame) -> DataFrame:
     def side(df: DataFrame, *cols: Column) -> DataFrame:
         return df.select(F.col("id").alias("existing_id"), *[c.alias(f"k{i}") for i, c in enumerate(cols)])
 
-    add(0, side(full, F.col("id")), ["id"], F.col("id") != "")
+    def natural(priority: int, where: Column | None = None) -> None:
+        keys = (rows if where is None else rows.filter(where)).select("row_index", *unique_key(section))
+        on = [c for c in keys.columns if c != "row_index"]
+        keys = keys.dropna(subset=on)
+        there = l.holders(section, keys).withColumnRenamed("id", "existing_id")
+        hits.append(_least_of(there, keys, on).select("row_index", F.lit(priority).alias("priority"), "existing_id"))
+
+    named = rows.filter(F.col("id") != "")
+    add(0, side(l.rows_of(section, named.select("id")), F.col("id")), ["id"], F.col("id") != "")
     if section == "runs":
         keyed = (F.col("experiment_id") != "") & (F.col("idempotency_key") != "")
         add(1, side(live, F.col("experiment_id"), F.col("idempotency_key")), ["experiment_id", "idempotency_key"], keyed)
-        add(2, side(live, F.col("external_system"), F.col("external_id")), ["external_system", "external_id"], ~F.coalesce(keyed, F.lit(False)))
-    elif section == "jobs":
-        add(1, side(live, F.col("external_system"), F.col("external_id")), ["external_system", "external_id"])
-    elif section == "artifacts":
-        add(1, side(live, F.col("uri")), ["uri"])
-    elif section == "validations":
-        key = ["entity_type", "entity_id", "check_name"]
-        add(1, side(live, *[F.col(c) for c in key]), key)
-    elif section == "metrics":
-        optional = ["step", "split", "source_job_id", "source_artifact_id"]
-        keyed_rows = rows.select("row_index", F.col("run_id").alias("k0"), F.col("metric_name").alias("k1"), *[_blank(c).alias(f"k{i + 2}") for i, c in enumerate(optional)])
-        there = side(live, F.col("run_id"), F.col("metric_name"), *[_blank(c) for c in optional])
-        hits.append(_least_of(there, keyed_rows, [f"k{i}" for i in range(6)]).select("row_index", F.lit(1).alias("priority"), "existing_id"))
+        natural(2, ~F.coalesce(keyed, F.lit(False)))
+    elif section in schemas.UNIQUE_KEYS:
+        natural(1)
     best = union_all(hits).groupBy("row_index").agg(F.min(F.struct("priority", "existing_id")).alias("m"))
     return best.select("row_index", F.col("m.existing_id").alias("existing_id"))
 
@@ -246,9 +244,9 @@ def input_json(section: str, df: DataFrame) -> Column:
 
 
 def _with_existing(l: Ledger, section: str, rows: DataFrame) -> DataFrame:
-    matched = match_existing(l, section, rows)
+    matched = cut(match_existing(l, section, rows), "matched")
     full = l.table(section)
-    old = full.join(matched.select(F.col("existing_id").alias("id")).distinct(), "id").select(F.col("id").alias("existing_id"), F.struct(*full.columns).alias("old"))
+    old = l.rows_of(section, matched.select(F.col("existing_id").alias("id"))).select(F.col("id").alias("existing_id"), F.struct(*full.columns).alias("old"))
     return rows.join(matched.join(old, "existing_id"), "row_index", "left")
 
 
@@ -264,7 +262,8 @@ def _experiment_error(allow_archived: Column | None = None) -> list[Column]:
 
 
 def _known(l: Ledger, table: str, df: DataFrame, column: str, flag_name: str, active: bool = False) -> DataFrame:
-    src = l.active(table) if active else l.table(table)
+    src = l.rows_of(table, df.select(F.col(column).alias("id")).filter("id IS NOT NULL"))
+    src = src.filter(F.col("deleted_at").isNull()) if active else src
     return df.join(src.select(F.col("id").alias(column), F.lit(True).alias(flag_name)), column, "left")
 
 
@@ -376,7 +375,7 @@ def plan_job_runs(l: Ledger, manifest: DataFrame) -> DataFrame:
     rows = normalize("job_runs", manifest)
     full = l.table("job_runs")
     keys = rows.select("job_id", "run_id").distinct()
-    old = full.join(keys, ["job_id", "run_id"], "left_semi").select("job_id", "run_id", F.concat_ws(":", "job_id", "run_id").alias("existing_id"), F.struct(*full.columns).alias("old"))
+    old = l.rows_of("job_runs", keys.select("job_id")).join(keys, ["job_id", "run_id"], "left_semi").select("job_id", "run_id", F.concat_ws(":", "job_id", "run_id").alias("existing_id"), F.struct(*full.columns).alias("old"))
     df = rows.join(old, ["job_id", "run_id"], "left").withColumn("id", F.lit(None).cast("string"))
     role, status = F.coalesce("role", F.lit("other")), F.coalesce("status", F.lit("planned"))
     checks = [v.required("job_id"), v.required("run_id"), v.choice(role, schemas.JOB_RUN_ROLES, "job-run role"), v.choice(status, schemas.JOB_STATUSES, "job-run status"),
@@ -587,7 +586,7 @@ def manifest_retry_errors(l: Ledger, job_plan: DataFrame) -> DataFrame:
     own = linked.filter(F.col("retry_of") == F.col("job_id")).select("job_id", F.lit(SELF_RETRY).alias("error"))
     # targets are active in the ledger and not archived here, or written here
     wanted = linked.select(F.col("retry_of").alias("job_id")).distinct()
-    there = live.select("job_id").join(wanted, "job_id", "left_semi").join(gone, "job_id", "left_anti").unionByName(said.select("job_id")).distinct()
+    there = l.rows_of("jobs", wanted.select(F.col("job_id").alias("id"))).filter(F.col("deleted_at").isNull()).select(F.col("id").alias("job_id")).join(gone, "job_id", "left_anti").unionByName(said.select("job_id")).distinct()
     missing = linked.join(there.select(F.col("job_id").alias("retry_of")), "retry_of", "left_anti")
     orphaned = live.join(gone.select(F.col("job_id").alias("retry_of")), "retry_of", "left_semi").join(
         said.select("job_id").unionByName(gone), "job_id", "left_anti")

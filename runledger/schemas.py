@@ -83,6 +83,12 @@ SCHEMA_VERSION = 18
 KEYS: dict[str, tuple[str, ...]] = {t: ("id",) for t in TABLE_COLUMNS} | {
     "experiment_tags": ("experiment_id", "tag"), "experiment_runs": ("run_id", "experiment_id"), "job_runs": ("job_id", "run_id"), "schema_metadata": ("key",)}
 
+# Keys that only one active row may hold; in optional columns null counts as "".
+UNIQUE_KEYS: dict[str, tuple[str, ...]] = {
+    "runs": ("external_system", "external_id"), "jobs": ("external_system", "external_id"), "artifacts": ("uri",),
+    "metrics": ("run_id", "metric_name", "step", "split", "source_job_id", "source_artifact_id"), "validations": ("entity_type", "entity_id", "check_name")}
+OPTIONAL_KEYS = {"step", "split", "source_job_id", "source_artifact_id"}
+
 # Fixed value domains.
 JOB_STATUSES = ["planned", "submitting", "unknown_submit", "queued", "running", "succeeded", "failed",
                 "killed", "skipped", "unknown"]
