@@ -46,7 +46,7 @@ def _wide_links(l):
 
 
 _WIDE_LINKS = f"""SELECT k.experiment_id, r.id AS run_id, r.name AS run_name, r.status, r.external_system, r.external_id, count(c.col) AS n_cells, coalesce(string_agg(c.col, ';' ORDER BY c.col), '') AS filled,
- coalesce(round(sum(c.value), 4), 0) AS value_sum, coalesce(string_agg(concat_ws('/', coalesce(c.source_job_id, '-'), coalesce(c.code_commit, '-'), coalesce(c.source_artifact_id, '-'), coalesce(c.uri, '-')), ';' ORDER BY c.col), '') AS sources
+ coalesce(round(sum(c.value), 4), 0) AS value_sum, coalesce(string_agg(concat_ws('/', coalesce(c.source_job_id, '-'), coalesce(c.code_commit, '-'), coalesce(c.source_artifact_id, '-'), coalesce(c.uri, '-')), ';' ORDER BY c.col) FILTER (c.col IS NOT NULL), '') AS sources
  FROM live_links k JOIN runs r ON r.id = k.run_id LEFT JOIN (SELECT experiment_id, run_id, {_WCOL} AS col, any_value(value) AS value, any_value(source_job_id) AS source_job_id, any_value(code_commit) AS code_commit,
   any_value(source_artifact_id) AS source_artifact_id, any_value(uri) AS uri FROM wide_src GROUP BY ALL HAVING count(*) = 1) c ON c.experiment_id = k.experiment_id AND c.run_id = k.run_id GROUP BY ALL"""
 
