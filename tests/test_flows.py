@@ -7,6 +7,7 @@ from datetime import timedelta
 import pytest
 
 from runledger.operators import audit, exports, freshness, reconcile as rc, writeback
+from runledger.plans.flow_checks import FLOWS
 from runledger.sources import ingest, store
 from runledger.streaming import streams
 from tests.conftest import NOW, as_dicts, rows_to_df
@@ -201,3 +202,13 @@ def test_stream_sync_dedupe(spark, tmp_path):
     q.awaitTermination(120)
     got = [(r["idempotency_key"], r["target_identifier"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got, key=str) == sorted([("k", "a"), ("k", None), (None, "a"), (None, "a")], key=str)
+
+
+def test_wide_query_keeps_every_cell_and_links_without_any(make_ledger):
+    """The registered form shows each cell's own value and sources; a link with no cell, or with clashing ones only, keeps a row."""
+    l = make_ledger(experiments=[{"id": "e1"}], runs=[{"id": r} for r in ("r1", "r2", "r3")], experiment_runs=[{"experiment_id": "e1", "run_id": r} for r in ("r1", "r2", "r3")],
+                    metrics=[{"id": "m1", "run_id": "r1", "metric_name": "a`b", "value": 1.5, "source_job_id": "j1"}, {"id": "m2", "run_id": "r1", "metric_name": "loss", "value": 2.25},
+                             {"id": "m3", "run_id": "r2", "metric_name": "loss", "value": 1.0}, {"id": "m4", "run_id": "r2", "metric_name": "loss", "value": 2.0}])
+    got = sorted((r["run_id"], r["column"], r["value"], r["source_job_id"]) for r in as_dicts(FLOWS["export_runs_wide"][0](l).filter("column IS NOT NULL")))
+    assert got == [("r1", "a`b", 1.5, "j1"), ("r1", "loss", 2.25, None)]
+    assert sorted(r["run_id"] for r in as_dicts(FLOWS["export_runs_wide"][0](l).filter("column IS NULL"))) == ["r2", "r3"]
