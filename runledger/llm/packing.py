@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,8 +35,6 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces packed together in one task, about.
 SHARD_PIECES = 50_000
-#: Sequences with less free room than this are final after the first round.
-NEARLY_FULL = 8
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -94,71 +93,84 @@ class _Search:
         self.least = -(-sum(self.fill) // capacity)
 
     def run(self) -> list[list[int]]:
-        count, order = len(self.bins), [(f, b) for b, f in enumerate(self.fill) if f < self.capacity]
-        heapq.heapify(order)
-        self._index()
-        while count > self.least and order:
-            f, b = heapq.heappop(order)
-            if f != self.fill[b] or not f:
-                continue  # changed meanwhile; a bin whose fill grew is a target, not a source
-            changed = False
-            while self.fill[b] and self._improve(b):
-                changed = True
-            if not self.fill[b]:
-                count -= 1
-            elif changed and self._index() and self._improve(b):
-                heapq.heappush(order, (self.fill[b], b))
+        count, moved = len(self.bins), True
+        while moved and count > self.least:  # until a whole pass finds nothing
+            moved, order = False, [(f, b) for b, f in enumerate(self.fill) if 0 < f < self.capacity]
+            heapq.heapify(order)
+            self._index()
+            while count > self.least and order:
+                f, b = heapq.heappop(order)
+                if f != self.fill[b] or not f:
+                    continue  # changed meanwhile: its present fill has an entry of its own
+                # a bin is given up only after it was tried against entries that are up to date
+                while self.fill[b] and (self._improve(b, order) or (not self.fresh and self._index() and self._improve(b, order))):
+                    moved = True
+                if not self.fill[b]:
+                    count -= 1
         return [b for b in self.bins if b]
 
+    def _sums(self, b: int) -> set[int]:
+        """Sums of two items of a bin.  A bin has few distinct lengths, however many items: k of them add up to k (k + 1) / 2 at least."""
+        counts = Counter(self.lengths[i] for i in self.bins[b])
+        return {p + q for p, q in combinations(sorted(counts), 2)} | {2 * p for p, n in counts.items() if n > 1}
+
+    def _pick(self, b: int, total: int, n: int) -> tuple[int, ...]:
+        """n items (one or two) of a bin that sum to ``total``, or none."""
+        by_length: dict[int, list[int]] = {}
+        for i in self.bins[b]:
+            by_length.setdefault(self.lengths[i], []).append(i)
+        if n == 1:
+            return tuple(by_length.get(total, ())[:1])
+        for p, own in by_length.items():
+            if 2 * p == total and len(own) > 1:
+                return tuple(own[:2])
+            if 2 * p < total and total - p in by_length:
+                return own[0], by_length[total - p][0]
+        return ()
+
     def _index(self) -> bool:
-        """For each length, and each sum of two, the bin with most room that has them.  Entries can be outdated; uses check them."""
+        """For each length, and each sum of two, the two bins with most room that have them, so that one is left beside a bin's own.  Entries can be outdated; uses check them."""
         size = self.capacity + 1
-        self.room1, self.bin1 = np.full(size, -1), np.zeros(size, np.int64)
-        self.room2, self.bin2 = np.full(size, -1), np.zeros(size, np.int64)
-        for b, own in enumerate(self.bins):
-            room = self.capacity - self.fill[b]
-            if not own or not room:
-                continue
-            distinct = sorted({self.lengths[i] for i in own})
-            for y in [0, *distinct]:
-                if room > self.room1[y]:
-                    self.room1[y], self.bin1[y] = room, b
-            for y in {p + q for p, q in combinations(sorted(self.lengths[i] for i in own), 2)} if len(own) <= 64 else ():
-                if room > self.room2[y]:
-                    self.room2[y], self.bin2[y] = room, b
-        self.reach1, self.reach2 = self.room1 + np.arange(size), self.room2 + np.arange(size)
+        self.room = {n: np.full((2, size), -1) for n in (1, 2)}
+        self.bin = {n: np.full((2, size), -1) for n in (1, 2)}
+        underfull = [b for b, own in enumerate(self.bins) if own and self.fill[b] < self.capacity]
+        for b in sorted(underfull, key=lambda b: self.fill[b], reverse=True):  # most room last, so it stays on top
+            for n, found in ((1, [0, *{self.lengths[i] for i in self.bins[b]}]), (2, list(self._sums(b)))):
+                for table, value in ((self.room[n], self.capacity - self.fill[b]), (self.bin[n], b)):
+                    table[1, found] = table[0, found]
+                    table[0, found] = value
+        self.fresh = True
         return True
 
-    def _improve(self, b: int) -> bool:
-        own = self.bins[b]
-        ones = {self.lengths[i]: (i,) for i in own}
-        twos = {self.lengths[i] + self.lengths[j]: (i, j) for i, j in combinations(own, 2)} if len(own) <= 64 else {}
-        for x, mine in sorted(ones.items(), reverse=True):
-            for reach, room, where, n in ((self.reach1, self.room1, self.bin1, 1), (self.reach2, self.room2, self.bin2, 2)):
-                for y in np.flatnonzero((reach[:x] >= x) & (room[:x] >= 0)):
-                    if self._exchange(b, mine, int(where[y]), int(y), n):
-                        return True
-        for x, mine in twos.items():
-            low = min(x, self.capacity + 1)
-            for y in np.flatnonzero((self.reach1[1:low] >= x) & (self.room1[1:low] >= 0)) + 1:
-                if self._exchange(b, mine, int(self.bin1[y]), int(y), 1):
-                    return True
+    def _improve(self, b: int, order: list[tuple[int, int]]) -> bool:
+        ones = sorted({self.lengths[i] for i in self.bins[b]}, reverse=True)
+        for n, sizes in ((1, ones), (2, sorted(self._sums(b), reverse=True))):
+            for x in sizes:
+                for m in (1, 2) if n == 1 else (1,):
+                    other = self.bin[m][0]
+                    own = other == b
+                    other, room = np.where(own, self.bin[m][1], other), np.where(own, self.room[m][1], self.room[m][0])
+                    low = min(x, self.capacity + 1)
+                    for y in np.flatnonzero((room[:low] >= 0) & (room[:low] + np.arange(low) >= x)):
+                        if self._exchange(b, x, n, int(other[y]), int(y), m, order):
+                            return True
         return False
 
-    def _exchange(self, b: int, mine: tuple[int, ...], other: int, y: int, n: int) -> bool:
-        """Give mine to the other bin and take n of its items that sum to y (none for y = 0), if that raises the sum of squares."""
-        gain = sum(self.lengths[i] for i in mine) - y
+    def _exchange(self, b: int, x: int, n: int, other: int, y: int, m: int, order: list[tuple[int, int]]) -> bool:
+        """Give n items that sum to x to the other bin and take m of its items that sum to y (none for y = 0), if that raises the sum of squares."""
+        gain = x - y
         if other == b or not self.bins[other] or gain <= 0 or self.fill[other] + gain > self.capacity or self.fill[other] + gain <= self.fill[b]:
             return False
-        theirs: tuple[int, ...] = ()
-        if y:
-            theirs = next((c for c in combinations(self.bins[other], n) if sum(self.lengths[i] for i in c) == y), ())
-            if not theirs:
-                return False
+        mine, theirs = self._pick(b, x, n), self._pick(other, y, m) if y else ()
+        if not mine or (y and not theirs):
+            return False
         self.bins[b] = [i for i in self.bins[b] if i not in mine] + list(theirs)
         self.bins[other] = [i for i in self.bins[other] if i not in theirs] + list(mine)
         self.fill[b] -= gain
         self.fill[other] += gain
+        self.fresh = False
+        if self.fill[other] < self.capacity:
+            heapq.heappush(order, (self.fill[other], other))
         return True
 
 
@@ -189,9 +201,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     stored = cut(pieces(docs, tokenizer_path, capacity, with_ids), "pieces")
     short = stored.where(F.col("length") < capacity)
     first = cut(_round(short, short.count(), capacity, 1, "a"), "packed")
-    again = first.where(F.col("room") >= NEARLY_FULL)
+    again = first.where(F.col("room") > 0)
     second = _round(again, again.count(), capacity, 2, "b").withColumn("round", F.lit(2))
-    places = first.where(F.col("room") < NEARLY_FULL).withColumn("round", F.lit(1)).unionByName(second).select("uid", "sequence_id", "offset")
+    places = first.where(F.col("room") == 0).withColumn("round", F.lit(1)).unionByName(second).select("uid", "sequence_id", "offset")
     own = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = stored.where(F.col("length") >= capacity).select(*own, (F.lit(3 << 56) + F.col("uid")).alias("sequence_id"),
                                                             F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)

@@ -108,3 +108,35 @@ def test_local_search_beats_best_fit():
         assert len(after) <= len(before)
         better += len(after) < len(before)
     assert better
+
+
+def test_bins_of_many_pieces_take_part_in_pair_moves():
+    """More than 64 pieces in a bin: two of them must still be exchanged for one, in either direction."""
+    lengths = np.asarray([1, 2] * 60 + [157, 3])
+    big, small = [*range(120)], [120, 121]
+    search = packing._Search([big, small], lengths, 182)
+    assert search._sums(0) == {2, 3, 4} and search._pick(0, 3, 2) and len(search._pick(0, 4, 2)) == 2 and search._pick(0, 9, 2) == ()
+    assert len(search._index() and np.flatnonzero(search.room[2][0] >= 0)) >= 3
+
+
+def test_local_search_stops_at_no_improving_move():
+    """After the search no exchange of one for one, one for two, two for one or one for none raises the sum of squares."""
+    for seed in range(40):
+        rnd = random.Random(seed)
+        lengths = np.asarray([rnd.choice([1, 2, 3, 40, 55, 61]) for _ in range(rnd.choice([30, 150]))])
+        search = packing._Search(packing.best_fit(lengths, 100), lengths, 100)
+        search.run()
+        fills = sorted(f for f in search.fill if f)
+        if len(fills) == search.least:
+            continue
+        for b, mine in enumerate(search.bins):
+            ones = {int(lengths[i]) for i in mine}
+            gives = ones | search._sums(b)
+            for o, own in enumerate(search.bins):
+                room = 100 - search.fill[o]
+                if o == b or not mine or not own or search.fill[b] > search.fill[o]:
+                    continue
+                theirs = {int(lengths[i]) for i in own}
+                assert not any(x <= room for x in ones)
+                assert not any(0 < x - y <= room for x in gives for y in theirs)
+                assert not any(0 < x - y <= room for x in ones for y in search._sums(o))
