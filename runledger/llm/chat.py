@@ -1,8 +1,9 @@
 """Chat formatting by prefix-target expansion, with column expressions only.
 
 Every assistant turn becomes an example of its own: all turns before it are its context, and only its
-reply is trainable.  An example's text is a prefix of its conversation's formatted text, so it is kept as
-places in that text and costs the same however long the context is; ``texts`` writes chosen examples out.
+reply is trainable.  An example's text is its context and its reply written out (``expand``), so what is formed grows with the
+square of a conversation's turns; the examples of a conversation are made from its turns where these lie and are not shuffled.
+``turns`` also gives their places in the conversation's text, and ``texts`` writes chosen examples out.
 
 The template (fixed marks below): a system turn is ``<<SYS>>`` text ``<</SYS>>``, a user turn ``<s>[INST]`` text
 ``[/INST]``, an assistant turn is its text and ``</s>``, and a turn of any other role names it between ``[ROLE]`` and ``[/ROLE]``.
@@ -11,8 +12,8 @@ backslashes there already gets one more, so no text holds a control string and e
 
 Turns are taken by turn number, nulls first, then by role and text.  A null role or text is empty; a null
 conversation id is a conversation of its own; an empty table gives no rows.  Other columns are not read.  A conversation's
-offsets come from a running sum that Spark streams and spills; only ``read_back`` gathers a conversation's text
-in one row, because a digest over all of it has to see all of it.
+offsets come from a running sum that Spark streams and spills; ``expand`` gathers a conversation's turns in one row, as
+its last example and a digest over all of it have to see all of it.
 """
 
 from __future__ import annotations
@@ -94,16 +95,25 @@ def texts(chosen: DataFrame, formatted: DataFrame) -> DataFrame:
     return pieces.groupBy(*own.columns).agg(whole.alias("text")).select(*[F.col(f"own_{c}").alias(c) for c in chosen.columns], "text")
 
 
+def expand(formatted: DataFrame) -> DataFrame:
+    """(conv_id, n, text, loss_begin, loss_end) of every example, its whole context written out before its target."""
+    own = F.struct("n", "piece", "example.loss_begin", "example.loss_end", F.col("example").isNotNull().alias("ends"))
+    whole = formatted.groupBy("conv_id").agg(F.sort_array(F.collect_list(own)).alias("rows"))
+    made = whole.select("conv_id", F.transform("rows", lambda x: x["piece"]).alias("pieces"), F.explode(F.filter("rows", lambda x: x["ends"])).alias("e"))
+    return made.select("conv_id", "e.n", F.array_join(F.slice("pieces", 1, F.col("e.n")), "").alias("text"), "e.loss_begin", "e.loss_end")
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns array of (role, text), replies, formatted_chars) of each conversation, parsed from its formatted text.
+    """(conv_id, turns array of (role, text), replies, formatted_chars) of each conversation, parsed from its expanded examples.
 
-    ``replies`` are the texts under the loss of all examples in order; ``formatted_chars`` adds the lengths of all examples.
+    ``turns`` come from the last example, which holds the whole conversation, ``replies`` are the texts under the loss of all examples
+    in order; ``formatted_chars`` adds the lengths of all examples.
     """
-    loss = F.substr("piece", (F.col("example.loss_begin") - F.col("begin") + 1).cast("int"), (F.col("example.loss_end") - F.col("example.loss_begin")).cast("int"))
-    trained = F.when(F.col("example.loss_end") > F.col("example.loss_begin"), unescape(loss))
-    ordered = F.sort_array(F.collect_list(F.struct("n", "piece", trained.alias("reply"))))
-    whole = formatted.groupBy("conv_id").agg(ordered.alias("rows"), F.sum("example.chars").alias("formatted_chars"))
-    pieces = F.regexp_extract_all(F.array_join(F.transform("rows", lambda x: x["piece"]), ""), F.lit(TURN), F.lit(0))
+    loss = F.substr("text", (F.col("loss_begin") + 1).cast("int"), (F.col("loss_end") - F.col("loss_begin")).cast("int"))
+    trained = F.when(F.col("loss_end") > F.col("loss_begin"), unescape(loss))
+    read = expand(formatted).select("conv_id", "n", "text", trained.alias("reply"), F.length("text").cast("long").alias("chars"))
+    whole = read.groupBy("conv_id").agg(F.max_by("text", "n").alias("text"), F.sort_array(F.collect_list(F.struct("n", "reply"))).alias("rows"), F.sum("chars").alias("formatted_chars"))
+    pieces = F.regexp_extract_all("text", F.lit(TURN), F.lit(0))
     parsed = F.transform(pieces, lambda p: F.struct(role_of(p).alias("role"), text_of(p).alias("text")))
     replies = F.transform(F.filter("rows", lambda x: x["reply"].isNotNull()), lambda x: x["reply"])
     return whole.select("conv_id", parsed.alias("turns"), replies.alias("replies"), "formatted_chars")

@@ -89,3 +89,14 @@ def test_empty_table_and_no_python_workers(spark, tmp_path):
     frame(spark, conversations()).drop("n", "piece").write.parquet(f"{tmp_path}/conversations.parquet")
     plan = queries.op12_chat_format(spark, str(tmp_path))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "MapInArrow")) and plan.split("== Physical Plan ==")[1].count("Exchange") == 1
+
+
+def test_every_reply_is_expanded_with_its_whole_context(spark):
+    rows = [(1, k, r, f"{r} says </s> {k}") for k, r in enumerate(["system", "user", "assistant", "user", "assistant", "user"])] + [(None, 0, "user", "alone")]
+    made = chat.turns(frame(spark, rows))
+    found = {(r["conv_id"], r["n"]): r for r in chat.expand(made).collect()}
+    assert sorted(found, key=repr) == [(1, 3), (1, 5), (1, 6), (None, 1)]
+    for (c, n), r in found.items():
+        own = ordered(rows)[c][:n]
+        assert r["text"] == "".join(formatted(role, x) for _, role, x in own)
+        assert r["text"][r["loss_begin"]:r["loss_end"]] == (formatted("assistant", own[-1][2])[1:-5] if own[-1][1] == "assistant" else "")
