@@ -6,10 +6,13 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from runledger.functions import text as tx
 from runledger.operators import freshness, lifecycle, views
+from runledger.operators.ownership import left_by_key
 from runledger.plans.catalog import oracle_queries, spark_queries
-from runledger.projection import AS_OF
+from runledger.projection import AS_OF, project
 from runledger.sources.store import load_ledger, save_ledger
 from tests.conftest import NOW, as_dicts
 from tools.compare import rows_of
@@ -56,3 +59,39 @@ def test_matches_duckdb(spark, name):
     names = [d[0] for d in cur.description]
     df = spark_queries()[name](spark, TABLES)
     assert rows_of(df.columns, df.collect()) == rows_of(names, cur.fetchall())
+
+
+@pytest.mark.skipif(not Path(TABLES).exists(), reason="test tables not present")
+def test_line_items_are_joined_and_numbered_once(spark):
+    tables = project(spark, TABLES).tables
+    for name in ("jobs", "artifacts", "metrics", "job_runs", "man_jobs"):
+        text = plan_text(tables[name])
+        assert "Window" not in text and "Join" not in text, name
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark):
+    rows = spark.range(4000).select(F.col("id").alias("row_index"), F.when(F.col("id") % 40 == 0, F.concat(F.lit("k"), (F.col("id") % 80).cast("string"))).alias("k"), F.when(F.col("id") % 3 == 0, F.lit("x")).alias("k2"))
+    side = spark.createDataFrame([("k0", "x", 1), ("k0", "x", 2), ("k40", "y", 3), (None, "x", 4)], "k string, k2 string, v int")
+    kept = {n: spark.conf.get(n) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        for on in (["k"], ["k", "k2"]):
+            right = side.select(*on, "v")
+            out = left_by_key(rows, right, on, ["row_index"])
+            key = lambda r: repr(sorted(r.asDict().items()))
+            assert sorted(out.collect(), key=key) == sorted(rows.join(right, on, "left").select(*out.columns).collect(), key=key)
+            parts = out.filter("k IS NULL").groupBy(F.spark_partition_id()).count().collect()
+            assert len(parts) > 1 and max(r["count"] for r in parts) < 2500
+    finally:
+        for n, value in kept.items():
+            spark.conf.set(n, value)
+
+
+def test_local_path_of_odd_uris(spark):
+    uris = [None, "", ":", "a:b", "file:", "FILE:///a%20b//", "file://h/p?q#f", "fi le:/x", "1a:b", "C:\\u", "/abs/x:y", "rel/a", "é:x", ":x", "file", "-f:x", "s3://b/k", "File:x+y", "a\n:b"]
+    u = F.col("u")
+    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    file_path = F.try_url_decode(F.replace(F.regexp_replace(F.regexp_extract(u, r"^[^:]+:(?://[^/?#]*)?([^?#]*)", 1), "/+$", "/"), F.lit("+"), F.lit("%2B")))
+    rows = spark.createDataFrame([(x,) for x in uris], "u string").select("u", tx.local_path(u).alias("got"), F.when(scheme == "file", file_path).when(scheme == "", u).alias("want")).collect()
+    assert [(r["u"], r["got"]) for r in rows] == [(r["u"], r["want"]) for r in rows]
