@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from runledger import schemas
 from runledger.ledger import Ledger
-from runledger.lineage import cut
+from runledger.lineage import CODEC, cut
 
 AS_OF = datetime(2001, 12, 1)
 _NOW = "TIMESTAMP_NTZ '2001-12-01 00:00:00'"
@@ -343,7 +343,7 @@ class ProjectedTables(Mapping):
         if name not in self._built:
             df = self._render(name) if name in RELATIONS else self._spark.read.parquet(f"{self._dir}/{name}.parquet")
             # seven tables and most feeds start from the numbered line items: join and numbering are done once, not at every use
-            self._built[name] = cut(df, "numbered-items") if name == "li_seq" else df
+            self._built[name] = cut(df, "numbered-items", CODEC) if name == "li_seq" else df
         return self._built[name]
 
     def _render(self, name: str) -> DataFrame:

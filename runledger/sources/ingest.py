@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from runledger.functions import validate as v
 from runledger.functions.attrs import canonical_object
 from runledger.ledger import Ledger
-from runledger.lineage import cut
+from runledger.lineage import CODEC, cut
 from runledger.operators import integrity
 from runledger.operators.ownership import union_all
 from runledger.schemas import ARTIFACT_TYPES, JOB_STATUSES, RUN_STATUSES
@@ -97,9 +97,16 @@ def _attrs() -> Column:
     return F.when(_kind("$.attrs").startswith("OBJECT"), F.to_json(F.try_variant_get("row", "$.attrs", "variant")))
 
 
-def _attr_errors(extra: Column | None = None) -> list[Column]:
+def _shape() -> Column:
+    """Faults of the source row itself and of the form of its attributes."""
     present = _kind("$.attrs").isNotNull() & (_kind("$.attrs") != "VOID") & ~F.coalesce(F.try_variant_get("row", "$.attrs", "string") == "", F.lit(False))
-    return [F.when(present & ~_kind("$.attrs").startswith("OBJECT"), "attrs must be an object"), v.attr_keys(_attrs())]
+    return F.array(_object_error(), F.when(present & ~_kind("$.attrs").startswith("OBJECT"), "attrs must be an object")).alias("_shape")
+
+
+def _judged(rows: DataFrame, checks: list[Column]) -> DataFrame:
+    """Rows with ``error``; the source text is written out for rows that have one, nothing reads it of the others."""
+    error = _first_error([F.col("_shape")[0], *checks, F.col("_shape")[1], v.attr_keys("attrs_json")])
+    return rows.withColumn("error", error).withColumn("source_row", F.when(F.col("error").isNotNull(), F.to_json("row"))).drop("_shape", "row")
 
 
 def _object_error() -> Column:
@@ -113,7 +120,7 @@ def _first_error(checks: list[Column]) -> Column:
 def _split(adapter: str, rows: DataFrame, emit) -> Ingest:
     """Good rows to sections, bad ones to skipped.  The parsed rows are stored once: sections, skipped
     rows and summary all read them, and a pushed-down error filter would repeat the parsing."""
-    rows = cut(rows, f"ingest-{adapter}")
+    rows = cut(rows, f"ingest-{adapter}", CODEC)
     good = rows.filter(F.col("error").isNull())
     skipped = rows.filter(F.col("error").isNotNull()).select(
         "row_index", F.lit("error").alias("severity"), F.col("error").alias("message"), F.col("source_row"))
@@ -130,13 +137,11 @@ def ingest_scheduler_jobs(raw: DataFrame) -> Ingest:
     """Scheduler job list -> jobs + sync_events."""
     adapter = "scheduler-jobs-json"
     rows = raw.select(
-        "row_index", F.to_json("row").alias("source_row"), *[_text(c).alias(c) for c in (
+        "row_index", "row", *[_text(c).alias(c) for c in (
             "id", "run_id", "experiment_id", "name", "command", "launcher", "failure_reason", "external_id", "status", "started_at", "finished_at")],
-        _attrs().alias("attrs_json"),
-        F.array(_object_error(), *_attr_errors()).alias("_shape"))
-    rows = rows.withColumn("error", _first_error([
-        F.col("_shape")[0], v.required("external_id"), v.required("status"), v.choice("status", JOB_STATUSES, "job status"),
-        v.utc_z("started_at"), v.utc_z("finished_at"), F.col("_shape")[1], F.col("_shape")[2]])).drop("_shape")
+        _attrs().alias("attrs_json"), _shape())
+    rows = _judged(rows, [v.required("external_id"), v.required("status"), v.choice("status", JOB_STATUSES, "job status"),
+                          v.utc_z("started_at"), v.utc_z("finished_at")])
 
     def emit(good: DataFrame) -> dict[str, DataFrame]:
         jobs = good.select("row_index", "id", "run_id", "experiment_id", "name", "command", "launcher", "failure_reason", F.lit(SCHEDULER).alias("external_system"),
@@ -155,13 +160,12 @@ def ingest_tracker_runs(raw: DataFrame) -> Ingest:
                F.concat(F.lit(f'"{TRACKER}.{f}":'), F.to_json(F.try_variant_get("row", f"$.{f}", "variant")))) for f in TRACKER_FIELDS]),
         lambda x: x.isNotNull()), ","), F.lit("}"))
     rows = raw.select(
-        "row_index", F.to_json("row").alias("source_row"), *[_text(c).alias(c) for c in ("description", "parent_run_id", "experiment_id", "name")],
+        "row_index", "row", *[_text(c).alias(c) for c in ("description", "parent_run_id", "experiment_id", "name")],
         F.coalesce(_text("external_id"), _text("id")).alias("external_id"),
         F.when(_kind("$.status").isNull(), "active").otherwise(F.try_variant_get("row", "$.status", "string")).alias("status"),
-        base.alias("base_json"), _attrs().alias("attrs_json"), F.array(_object_error(), *_attr_errors()).alias("_shape"))
-    rows = rows.withColumn("error", _first_error([
-        F.col("_shape")[0], v.required("external_id", label="id"), v.required("name"), F.coalesce(
-            F.when(F.col("status").isNull(), "invalid run status"), v.choice("status", RUN_STATUSES, "run status")), F.col("_shape")[1], F.col("_shape")[2]])).drop("_shape")
+        base.alias("base_json"), _attrs().alias("attrs_json"), _shape())
+    rows = _judged(rows, [v.required("external_id", label="id"), v.required("name"), F.coalesce(
+        F.when(F.col("status").isNull(), "invalid run status"), v.choice("status", RUN_STATUSES, "run status"))])
 
     def emit(good: DataFrame) -> dict[str, DataFrame]:
         from runledger.functions.attrs import merge_objects
@@ -204,13 +208,11 @@ def ingest_metrics_csv(raw: DataFrame) -> Ingest:
 
 
 def ingest_artifacts_json(raw: DataFrame) -> Ingest:
-    rows = raw.select("row_index", F.to_json("row").alias("source_row"), *[_text(c).alias(c) for c in ("id", "experiment_id", "run_id", "job_id", "type", "uri")],
-                      F.try_variant_get("row", "$.content_hash", "string").alias("content_hash"), _attrs().alias("attrs_json"),
-                      F.array(_object_error(), *_attr_errors()).alias("_shape"))
-    rows = rows.withColumn("error", _first_error([
-        F.col("_shape")[0], v.required("type"), v.choice("type", ARTIFACT_TYPES, "artifact type"), v.required("uri"),
-        F.when(F.coalesce("experiment_id", "run_id", "job_id").isNull(), "artifact rows need experiment_id, run_id or job_id"),
-        v.content_hash("content_hash"), F.col("_shape")[1], F.col("_shape")[2]])).drop("_shape")
+    rows = raw.select("row_index", "row", *[_text(c).alias(c) for c in ("id", "experiment_id", "run_id", "job_id", "type", "uri")],
+                      F.try_variant_get("row", "$.content_hash", "string").alias("content_hash"), _attrs().alias("attrs_json"), _shape())
+    rows = _judged(rows, [v.required("type"), v.choice("type", ARTIFACT_TYPES, "artifact type"), v.required("uri"),
+                          F.when(F.coalesce("experiment_id", "run_id", "job_id").isNull(), "artifact rows need experiment_id, run_id or job_id"),
+                          v.content_hash("content_hash")])
 
     def emit(good: DataFrame) -> dict[str, DataFrame]:
         return {"artifacts": good.select("row_index", "id", "experiment_id", "run_id", "job_id", "type", "uri", F.lower("content_hash").alias("content_hash"),

@@ -34,6 +34,16 @@ def test_json_adapters_clean_partial_strict_and_hard_failure(spark, tmp_path):
     assert as_dicts(runs.strict().summary())[0]["outcome"] == "clean"
 
 
+def test_source_text_is_written_out_for_skipped_rows_only(spark):
+    raw = spark.createDataFrame([(0, '{"external_id":"/a/1","status":"running","attrs":{"b.x":1}}'), (1, '{"external_id":"/a/2","status":"queued","attrs":{"Bad":1}}'), (2, "[1]")],
+                                "row_index long, text string")
+    out = ingest.ingest_scheduler_jobs(ingest.rows_from_json_text(raw, "text", "row_index"))
+    rows = as_dicts(out.rows, "row_index")
+    assert [rows[k]["error"] for k in range(3)] == [None, "attribute keys must be lowercase dotted names", "source row must be an object"]
+    assert rows[0]["source_row"] is None and rows[0]["attrs_json"] == '{"b.x":1}'
+    assert {r["row_index"]: r["source_row"] for r in as_dicts(out.skipped)} == {1: '{"attrs":{"Bad":1},"external_id":"/a/2","status":"queued"}', 2: "[1]"}
+
+
 def test_metric_csv(spark, tmp_path):
     (tmp_path / "m.csv").write_text("run_id,metric_name,value,step\nr1,loss,1.5,10\nr1,loss,nan,\nr1,loss,abc,\n,loss,1,\n")
     out = ingest.ingest_metrics_csv(ingest.read_metrics_csv(spark, str(tmp_path / "m.csv")))
