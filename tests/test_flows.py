@@ -123,6 +123,19 @@ def test_file_drift_with_real_files(spark, make_ledger, tmp_path):
     assert as_dicts(store.file_hashes(spark, str(kept)))[0]["content_hash"].startswith("sha256:")
 
 
+def test_captured_attributes_are_parsed_once(make_ledger):
+    def art(key, text):
+        return {"id": key, "uri": "gs://b/x", "attrs_json": text, "experiment_id": None, "run_id": None, "job_id": None}
+    l = make_ledger(inventory=[("/p/1", 5.5, 7), ("/p/4", 1.0, 1)], artifacts=[
+        art("a1", '{"ledger.local_path_at_capture":"/p/1","ledger.local_mtime_at_capture":5.5,"ledger.local_size_at_capture":7}'),
+        art("a2", '{"ledger.local_path_at_capture":"/p/1","ledger.local_mtime_at_capture":"5.5","ledger.local_size_at_capture":7}'),
+        art("a3", '{"note":"ledger.local_size_at_capture","x":{"ledger.local_size_at_capture":1}}'), art("a4", '{"ledger.local_path_at_capture":4,"ledger.local_size_at_capture":1}'),
+        art("a5", 'no json "ledger.local_size_at_capture"'), art("a6", "{}")])
+    df = freshness.drifted_artifacts(l)
+    assert {r["artifact_id"]: (r["drift_kind"], r["path"]) for r in as_dicts(df)} == {"a2": ("mtime", "/p/1"), "a4": ("missing_file", None)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
 def test_secrets_in_refresh_files(spark, make_ledger, tmp_path):
     f = tmp_path / "snap.json"
     f.write_text("x" * 70000 + " sk-" + "a" * 24)
