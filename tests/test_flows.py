@@ -169,6 +169,14 @@ def test_store_versions_snapshot_and_restore(spark, make_ledger, tmp_path):
         store.restore_snapshot(spark, snap, str(tmp_path / "third"), NOW)
 
 
+def test_a_snapshot_copies_the_rows_as_they_lie(spark, make_ledger, tmp_path):
+    l = make_ledger(jobs=[{"id": f"j{k}", "status": "failed"} for k in range(9)])
+    meta = store.write_snapshot(l.with_tables(jobs=l.table("jobs").repartition(3, "id")), str(tmp_path / "snap"))
+    assert meta["table_counts"]["jobs"] == 9 and len(list((tmp_path / "snap" / meta["data"] / "jobs").glob("*.parquet"))) > 1
+    back = store.restore_snapshot(spark, str(tmp_path / "snap"), str(tmp_path / "led"), NOW)
+    assert sorted(r["id"] for r in as_dicts(back.table("jobs"))) == [f"j{k}" for k in range(9)]
+
+
 def test_manifests_json_and_csv(spark, make_ledger, tmp_path):
     l = make_ledger(experiments=[{"id": "e1"}], jobs=[{"id": "j1", "experiment_id": "e1", "status": "failed", "failure_reason": "b"}])
     path = tmp_path / "m.json"
