@@ -144,3 +144,17 @@ def test_reuse_of_external_id_after_archive(make_ledger, man):
     p, after = rc.reconcile(l, man(runs=[{"id": "r2", "name": "new", "external_system": "wandb", "external_id": "x"}]), "t", apply=True)
     assert ops(p) == {("runs", "r2"): "insert"}
     assert [r["code"] for r in audit.run_audit(after, ["external-ids"]).collect()] == ["external_id.duplicate_archived"]
+
+
+def test_experiments_are_looked_up_before_the_ledger_rows_are_joined(make_ledger, man):
+    l = make_ledger(experiments=[{"id": "e1"}, {"id": "e2", "deleted_at": NOW}], jobs=[{"id": "j1", "status": "failed"}])
+    m = man(jobs=[{"id": "j1", "status": "killed"}, {"id": "j2", "status": "failed", "experiment_id": "e1"}, {"id": "j3", "status": "failed", "experiment_id": "e2"},
+                  {"id": "j1", "status": "failed", "experiment_id": "e3"}])["jobs"]
+    df = rc.plan_jobs(l, m)
+    assert {r["row_index"]: (r["action"], r["error"]) for r in as_dicts(df)} == {
+        0: ("update", None), 1: ("insert", None), 2: ("insert", "experiment is archived and cannot be reconciled"), 3: ("update", "experiment not found")}
+    lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    at = next(k for k, x in enumerate(lines) if "Join LeftOuter" in x and "experiment_id" in x)
+    end = next((k for k in range(at + 1, len(lines)) if depth[k] <= depth[at]), len(lines))
+    assert not any("old#" in x for x in lines[at:end])
