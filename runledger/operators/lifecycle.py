@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runledger.functions.attrs import attr_text
 from runledger.ledger import Ledger
 from runledger.operators.ownership import count_if, flag, zero
-from runledger.operators.views import active_links, jobs_with_recovery
+from runledger.operators.views import active_links, failed_job_states
 from runledger.schemas import ACTIVE_JOB_STATUSES, ATTR_REVIEWED_COUNT, TERMINAL_JOB_STATUSES, UNCERTAIN_JOB_STATUSES
 
 _JOB_COUNTS = ["job_count", "failed_job_count", "blocking_failed_job_count", "recovery_in_progress_failed_job_count",
@@ -20,7 +20,7 @@ _OTHER_COUNTS = ["run_count", "validation_count", "failing_validation_count", "a
 def _job_parts(l: Ledger) -> DataFrame:
     """Jobs combined per (own experiment, run): counts plus the reviewable-activity
     count and latest key.  Recovered failures are activity twice, on purpose."""
-    j = jobs_with_recovery(l)
+    j = failed_job_states(l)
     ended = F.col("status").isin(TERMINAL_JOB_STATUSES)
     again = F.col("is_recovered_failed") == 1
     end_key = F.when(ended, F.struct(F.coalesce("finished_at", "updated_at").alias("at"), F.col("job_id").alias("id")))

@@ -258,6 +258,18 @@ def artifacts_redacted(l: Ledger) -> DataFrame:
 
 # --- retry recovery ----------------------------------------------------------
 
+def failed_job_states(l: Ledger) -> DataFrame:
+    """Active jobs with what became of the failed ones, as in ``jobs_with_recovery``; only failed jobs are sent to the retry summary."""
+    summary = graph.retry_recovery(l).select(F.col("root_id").alias("job_id"), "has_success_descendant", "has_active_descendant")
+    jobs = l.active("jobs").select(F.col("id").alias("job_id"), "experiment_id", "run_id", "status", "updated_at", "finished_at")
+    failed = F.coalesce(F.col("status") == "failed", F.lit(False))
+    won, busy = F.coalesce("has_success_descendant", F.lit(0)), F.coalesce("has_active_descendant", F.lit(0))
+    ended = jobs.filter(failed).join(summary, "job_id", "left").select(
+        *jobs.columns, flag((won == 0) & (busy == 0)).alias("is_blocking_failed"), flag((won == 0) & (busy == 1)).alias("is_recovery_in_progress"),
+        flag(won == 1).alias("is_recovered_failed"))
+    return ended.unionByName(jobs.filter(~failed).select(*jobs.columns, *[F.lit(0).alias(c) for c in ended.columns[len(jobs.columns):]]))
+
+
 def jobs_with_recovery(l: Ledger) -> DataFrame:
     summary = graph.retry_recovery(l).withColumnRenamed("root_id", "job_id")
     joined = l.active("jobs").withColumnRenamed("id", "job_id").join(summary, "job_id", "left")

@@ -93,3 +93,17 @@ def test_conflicting_leases(make_ledger):
     assert codes == ["lease.conflicting_active"]
     ids = [r["entity_id"] for r in as_dicts(audit.run_audit(l, checks=["leases"]))]
     assert ids == ["experiment:e1"]
+
+
+def test_only_failed_jobs_are_sent_to_the_retry_summary(make_ledger):
+    l = make_ledger(experiments=[{"id": "e1"}], jobs=[
+        {"id": "a", "status": "failed", "experiment_id": "e1"}, {"id": "b", "status": "succeeded", "retry_of": "a", "experiment_id": "e1"}, {"id": "c", "status": "failed", "experiment_id": "e1"},
+        {"id": "d", "status": "failed", "experiment_id": "e1"}, {"id": "e", "status": "running", "retry_of": "d", "experiment_id": "e1"}, {"id": "f", "status": "failed", "deleted_at": NOW}])
+    flags = ["is_blocking_failed", "is_recovery_in_progress", "is_recovered_failed"]
+    want = {r["job_id"]: [r[c] for c in flags] for r in as_dicts(views.jobs_with_recovery(l))}
+    states = views.failed_job_states(l)
+    assert {r["job_id"]: [r[c] for c in flags] for r in as_dicts(states)} == want and len(want) == 5
+    sides = states._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")
+    assert "= failed)" in sides[1]  # the jobs on its left
+    row = as_dicts(lifecycle.lifecycle(l))[0]
+    assert (row["job_count"], row["failed_job_count"], row["blocking_failed_job_count"], row["recovery_in_progress_failed_job_count"], row["recovered_failed_job_count"]) == (5, 3, 1, 1, 1)
