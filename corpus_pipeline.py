@@ -44,8 +44,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = jaccard.classes(docs).where("kept")
-    return _matched(docs, kept, "left_semi").dropDuplicates(["doc_id", "__print"]).select(*docs.columns)
+    judged = jaccard.classes(docs).groupBy("doc_id", "print").agg(F.max("kept").alias("kept"), F.count("*").alias("n_rows"))
+    # documents to drop, and those whose rows repeat; all others, usually nearly all, need not be moved to be kept
+    others = cut(judged.where("NOT kept OR n_rows > 1"), "not-single")
+    single = _matched(docs, others, "left_anti").select(*docs.columns)
+    return single.unionByName(_matched(docs, others.where("kept"), "left_semi").dropDuplicates(["doc_id", "__print"]).select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

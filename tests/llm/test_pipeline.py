@@ -65,3 +65,11 @@ def test_stages_of_no_documents(spark, tmp_path):
     for name, schema in (("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int"), ("documents", "doc_id long, text string, lang string, source string, n_chars long")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_documents_that_stay_are_not_moved_by_the_near_duplicate_stage(spark, tmp_path):
+    docs = [(k, flat(k, 60)) for k in range(12)]
+    df = frame(spark, [*docs, (20, docs[0][1]), docs[1], (30, None)]).select("doc_id", "text", "lang", "source", "n_chars")
+    got = STAGES[2][1](spark, df, str(tmp_path))
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == sorted([*docs, (30, "")])
+    assert "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()
