@@ -15,11 +15,14 @@ from tokenizers import Tokenizer
 
 #: Pieces kept by a worker for each vocabulary, besides as many older ones, of which those met again stay.
 KEPT_PIECES = 400_000
+#: Runs of signs kept by a worker.
+KEPT_ENDS = 20_000
 
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
 _OTHER_SPACE = re.compile(r"[^\S \n]|<\|").search
 #: Letters whose lower case is one letter each and that are already composed: pieces of these need no normaliser.
-_PLAIN = re.compile(r"( ?)([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,]?)").fullmatch
+#: Signs after letters, and a line feed before them, are always split off (an apostrophe or underscore is not).
+_PLAIN = re.compile(r"([ \n]?)([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([!-&(-/:-@\[-^{-~]*)").fullmatch
 
 
 def _byte_letters() -> dict[int, int]:
@@ -44,7 +47,8 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.stops = {s: self._packed(s) for s in ".,"} | {"": b""}
+        self.ends = {"": b""}
+        self.blank = chr(self.letters[32])
 
     def whole(self, text: str) -> bytes:
         return b"".join([self.bytes_of[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
@@ -56,13 +60,28 @@ class Encoder:
         plain = _PLAIN(piece)
         if not plain:
             return self.whole(piece)
-        space, letters, stop = plain.groups()
-        core = space + letters
-        got = stop and (self.kept.get(core) or self.older.get(core))
-        if not got:
-            shown = letters.lower() if self.lower else core
-            got = self._packed(shown.encode().decode("latin-1").translate(self.letters))
-        return got + self.stops[stop]
+        before, letters, signs = plain.groups()
+        if before == "\n":
+            return self._end(before) + (self._kept(letters) or self._letters("", letters)) + self._end(signs)
+        return (signs and self._kept(before + letters) or self._letters(before, letters)) + self._end(signs)
+
+    def _kept(self, piece: str) -> bytes | None:
+        return self.kept.get(piece) or self.older.get(piece)
+
+    def _letters(self, space: str, letters: str) -> bytes:
+        if self.lower:
+            space, letters = "", letters.lower()
+        if letters.isascii():  # each letter stands for itself
+            return self._packed(self.blank + letters if space else letters)
+        return self._packed((space + letters).encode().decode("latin-1").translate(self.letters))
+
+    def _end(self, text: str) -> bytes:
+        """The ids of a run of signs, of which there are few, or of a line feed."""
+        if text not in self.ends:
+            if len(self.ends) > KEPT_ENDS:
+                return self.whole(text)
+            self.ends[text] = self.whole(text)
+        return self.ends[text]
 
     def ids(self, text: str) -> bytes:
         if _OTHER_SPACE(text):

@@ -140,3 +140,17 @@ def test_local_search_stops_at_no_improving_move():
                 assert not any(x <= room for x in ones)
                 assert not any(0 < x - y <= room for x in gives for y in theirs)
                 assert not any(0 < x - y <= room for x in ones for y in search._sums(o))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_signs_and_line_feeds_around_new_words_need_one_call(name, monkeypatch):
+    enc, calls = Encoder(public_tokenizers.path(name)), []
+    whole = enc.whole
+    monkeypatch.setattr(enc, "whole", lambda text: (calls.append(text), whole(text))[1])
+    words = [a + b + c for a in "ABéß" for b in "xyÖq" for c in "mnop"]
+    texts = [f"{w} {w[::-1]}&&& {w}z!!\n{w}k. {w}" for w in words]
+    got = [enc.ids(t) for t in texts]
+    assert len(calls) <= 4
+    assert got == [whole(t) for t in texts]
+    for odd in ["it's_ok", " don't''", "a_b_", "x<s>", "\n\nword!!", "é1&", "!!", "a<b|c>"]:
+        assert enc.ids(odd) == whole(odd)
