@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.lineage import cut
-from runledger.llm.common import _power, mixed, ragged, ready
+from runledger.llm.common import _power, buffers, mixed, ragged, ready, slices
 from runledger.llm.links import components, grouped
 from runledger.llm.urls import BITS_PER_KEY, BLOCK_BYTES, _held, _level
 
@@ -39,8 +39,9 @@ EDITS = 2
 MIN_CHARS = 20
 #: Lines that share a segment are paired in one go up to this number, and dealt into blocks beyond.
 PAIRED, BLOCK_LINES = 64, 256
-#: Code points compared at a time.
-CHUNK = 1 << 21
+#: Code points worked on at a time.  Arrays derived from them take about 45 bytes each in every worker,
+#: and a worker keeps the powers for its largest chunk.
+CHUNK = 1 << 19
 
 
 def split_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
@@ -53,22 +54,23 @@ def split_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            owner, number, ids, texts = [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                for k, line in enumerate((text.as_py() or "").split("\n")):
-                    owner.append(row)
-                    number.append(k)
-                    if len(line) < least or len(line) < MIN_CHARS and not line.strip():
-                        ids.append(None)
-                        texts.append(None)
-                        continue
-                    own = xxhash.xxh3_64_intdigest(line.encode()) >> 2
-                    ids.append(own)
-                    texts.append(None if own in seen or len(line) < shortest else line)
-                    seen.add(own)
-            at = pa.array(owner, pa.int64())
-            yield pa.record_batch({"doc_id": batch.column(0).take(at), "print": batch.column(2).take(at), "line": pa.array(number, pa.int32()),
-                                   "id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
+            for first, end in slices(buffers(batch.column(1))[1]):
+                owner, number, ids, texts = [], [], [], []
+                for row in range(first, end):
+                    for k, line in enumerate((batch.column(1)[row].as_py() or "").split("\n")):
+                        owner.append(row)
+                        number.append(k)
+                        if len(line) < least or len(line) < MIN_CHARS and not line.strip():
+                            ids.append(None)
+                            texts.append(None)
+                            continue
+                        own = xxhash.xxh3_64_intdigest(line.encode()) >> 2
+                        ids.append(own)
+                        texts.append(None if own in seen or len(line) < shortest else line)
+                        seen.add(own)
+                at = pa.array(owner, pa.int64())
+                yield pa.record_batch({"doc_id": batch.column(0).take(at), "print": batch.column(2).take(at), "line": pa.array(number, pa.int32()),
+                                       "id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
 
     ready(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print")).mapInArrow(
@@ -190,7 +192,7 @@ def within(left: list[str], right: list[str], edits: int = EDITS) -> np.ndarray:
     at = 0
     while at < len(order):
         end = at + 1
-        while end < len(order) and (end + 1 - at) * (size[order[end]] + 1) <= CHUNK // 4:
+        while end < len(order) and (end + 1 - at) * (size[order[end]] + 1) <= CHUNK:
             end += 1
         own = order[at:end]
         out[own] = _band([left[i] for i in own], [right[i] for i in own], edits)

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import pytest
 
-from runledger.llm import linededup
+from runledger.llm import common, linededup
 
 from .helpers import EDGES, frame, prose
 
@@ -133,3 +134,25 @@ def test_query_and_pipeline_take_short_lines(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.removed_lines for r in op2_line_dedup(spark, str(tmp_path)).collect()} == {1: "", 2: "0"}
     assert {r.doc_id: r.text for r in line_dedup(spark, df.withColumn("n_chars", df.n_chars.cast("long")), str(tmp_path)).collect()} == {1: "menu\nfirst", 2: "second"}
+
+
+def test_a_chunk_of_lines_takes_bounded_memory(monkeypatch):
+    monkeypatch.setattr(common, "_powers", {})
+    texts = [f"{i:050d}" for i in range(linededup.CHUNK // 50)]
+    tracemalloc.start()
+    try:
+        keys = linededup.segment_keys(texts)[0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(keys) >= len(texts) * 9
+    assert peak < 40 << 20
+
+
+def test_lines_of_documents_longer_than_a_slice(spark):
+    long = "\n".join(f"line {i % 7} of a long document" for i in range(40_000)) * 2
+    docs = frame(spark, [(1, long), (2, None), (3, ""), (4, "a\n" + "x" * 30), (5, long)])
+    rows = linededup.split_lines(docs.coalesce(1), 1)
+    got = {r[0]: r[1] for r in rows.groupBy("doc_id").count().collect()}
+    assert got == {1: 79_999, 2: 1, 3: 1, 4: 2, 5: 79_999}
+    assert rows.where("text IS NOT NULL").select("id", "text").distinct().count() == rows.where("length(text) >= 18").select("text").distinct().count()
