@@ -2,7 +2,9 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from runledger.operators import lifecycle, reports, views
+from pyspark.sql import functions as F
+
+from runledger.operators import audit, freshness, lifecycle, ownership, reports, views
 from tests.conftest import NOW, as_dicts
 
 
@@ -107,3 +109,30 @@ def test_only_failed_jobs_are_sent_to_the_retry_summary(make_ledger):
     assert "= failed)" in sides[1]  # the jobs on its left
     row = as_dicts(lifecycle.lifecycle(l))[0]
     assert (row["job_count"], row["failed_job_count"], row["blocking_failed_job_count"], row["recovery_in_progress_failed_job_count"], row["recovered_failed_job_count"]) == (5, 3, 1, 1, 1)
+
+
+def test_owners_are_looked_up_for_asked_jobs_and_artifacts_only(spark, make_ledger, monkeypatch):
+    l = make_ledger(
+        experiments=[{"id": f"e{i}"} for i in range(1, 5)], runs=[{"id": "r1", "experiment_id": "e2"}, {"id": "r2", "experiment_id": None}],
+        experiment_runs=[{"experiment_id": "e3", "run_id": "r1"}, {"experiment_id": "e4", "run_id": "r2"}],
+        jobs=[{"id": "j1", "experiment_id": "e1", "run_id": "r1"}, {"id": "j2", "run_id": "r2"}, {"id": "j3"}], job_runs=[{"job_id": "j3", "run_id": "r2"}],
+        artifacts=[{"id": "a1", "job_id": "j1"}, {"id": "a2", "run_id": "r1", "experiment_id": "e4"}, {"id": "a3", "job_id": "j3"}, {"id": "a4"}],
+        notes=[{"id": "n1", "entity_type": "artifact", "entity_id": "a3"}])
+    named = [("job", "j1"), ("job", "j1"), ("job", None), ("job", "gone"), ("artifact", "a1"), ("artifact", "a2"), ("note", "n1"), ("run", "r1"), ("job_run", "j3:r1")]
+    issues = spark.createDataFrame([("c", "error", t, i, "m", "{}", "n") for t, i in named], ", ".join(f"{c} string" for c in audit.ISSUE_COLUMNS))
+    asked = []
+    real = ownership.job_experiments
+    for module in (audit, ownership):
+        monkeypatch.setattr(module, "job_experiments", lambda led, variant="owner", only=None: (asked.append(only), real(led, variant, only))[1])
+    got = sorted((r["entity_type"], r["entity_id"], r["owner_id"]) for r in audit.scope_issues(l, issues).collect())
+    assert got == sorted([*[("job", "j1", e) for e in ("e1", "e2", "e3")] * 2, *[("artifact", "a1", e) for e in ("e1", "e2", "e3")],
+                          *[("artifact", "a2", e) for e in ("e2", "e3", "e4")], ("note", "n1", "e4"), ("run", "r1", "e2"), ("run", "r1", "e3"),
+                          *[("job_run", "j3:r1", e) for e in ("e2", "e3", "e4")]])
+    assert len(asked) == 2 and None not in asked
+    assert {r[0] for r in asked[0].collect() if r[0]} == {"j1", "gone", "j3"} and {r[0] for r in asked[1].collect() if r[0]} == {"j1", "j3"}
+
+
+def test_plain_test_of_paths_is_the_pattern(spark):
+    paths = ["/a/b", "/a/b//", "/", "//", "", None, "a/\n", "a/\r\n", "a/ ", "a/\x85", "a/ ", "\n/", "a/\n\n"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert df.where(~freshness.normal_path(F.col("p")).eqNullSafe(F.regexp_replace("p", "(?<=.)/+$", ""))).count() == 0
