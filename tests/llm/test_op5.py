@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from runledger.llm import suffixdedup
@@ -54,3 +55,25 @@ def test_matches_brute_force(spark, monkeypatch, z, crowd):
 def test_empty_tables(spark):
     assert suffixdedup.deduplicate(frame(spark, [])).count() == 0
     assert [len(r.spans) for r in suffixdedup.deduplicate(frame(spark, [(1, None), (2, "short")])).collect()] == [0, 0]
+
+
+def test_strings_of_a_crowded_core_are_named_by_slices():
+    n, z = 2 * suffixdedup.NAMED + 7, Sizes()
+    side = z.block - 1
+    batch = pa.record_batch({"core": pa.array([1] * n), "doc_id": pa.array(range(n), pa.int64()), "print": pa.array([0] * n), "base": pa.array([5] * n, pa.int32()),
+                             "lefts": pa.array([b"a" * side] * n), "rights": pa.array([b"b" * side] * n)})
+    out = list(suffixdedup._named(iter([batch]), z))
+    assert max(b.num_rows for b in out) <= suffixdedup.NAMED * z.block
+    whole = pa.Table.from_batches(out)
+    assert whole.num_rows == n * z.block and whole.column("doc_id").unique().to_pylist() == list(range(n))
+    assert len(whole.column("name").unique()) == z.block and whole.column("s").unique().to_pylist() == list(range(z.block))
+
+
+def test_texts_of_several_slices(spark):
+    rnd = random.Random(9)
+    block = "".join(rnd.choice("abcdefgh") for _ in range(700))
+    docs = [(k, "".join(rnd.choice("abcdefgh") for _ in range(500_000)) + f"{k}" + (block if k in (1, 5) else "")) for k in range(6)]
+    got = {r.doc_id: r for r in suffixdedup.deduplicate(frame(spark, docs).coalesce(1)).collect()}
+    for k, text in docs:
+        assert [(s.begin, s.end) for s in got[k].spans] == ([(500_001, 500_701)] if k in (1, 5) else [])
+        assert got[k].n_bytes == len(text) and bytes(got[k].kept).decode() == text[:500_001]
