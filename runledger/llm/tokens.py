@@ -3,12 +3,14 @@
 Both vocabularies split a text at white space before they merge anything, so a text's ids are
 those of its pieces one after another, where a piece is a run of blanks and line feeds with the
 characters up to the next one.  Workers keep the ids of pieces they have met (a bounded
-number).  A text that holds any other white space or the start of a special token is encoded as a whole.
+number).  A text that holds any other white space or the start of a special token is encoded as a whole;
+this is looked for in new pieces only, as no such piece is kept.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from pathlib import Path
 
 from tokenizers import Tokenizer
@@ -31,6 +33,22 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(hidden)}
 
 
+class _Whole(Exception):
+    """A piece from which follows that its text has to be encoded as a whole."""
+
+
+class _Kept(dict):
+    """The ids of pieces; those of a new piece are found when it is asked for."""
+
+    def __init__(self, new: Callable[[str], bytes]):
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.new(piece)
+        return ids
+
+
 class Encoder:
     """ids(text) -> bytes of little-endian unsigned 32-bit ids.
 
@@ -43,7 +61,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Kept(self._new)
         self.older: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -54,9 +72,14 @@ class Encoder:
         return b"".join([self.bytes_of[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def _packed(self, shown: str) -> bytes:
-        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(shown)])
+        bytes_of = self.bytes_of
+        return b"".join([bytes_of[t.id] for t in self.model.tokenize(shown)])
 
     def _new(self, piece: str) -> bytes:
+        if piece in self.older:
+            return self.older[piece]
+        if _OTHER_SPACE(piece):
+            raise _Whole
         plain = _PLAIN(piece)
         if not plain:
             return self.whole(piece)
@@ -84,20 +107,12 @@ class Encoder:
         return self.ends[text]
 
     def ids(self, text: str) -> bytes:
-        if _OTHER_SPACE(text):
-            return self.whole(text)
-        pieces, kept = _PIECES(text), self.kept
+        if len(self.kept) > KEPT_PIECES:
+            self.older, self.kept = self.kept, _Kept(self._new)
         try:
-            return b"".join([kept[p] for p in pieces])
-        except KeyError:
-            if len(kept) > KEPT_PIECES:
-                self.older, self.kept = kept, {}
-                kept = self.kept
-            older = self.older
-            for p in pieces:
-                if p not in kept:
-                    kept[p] = older.get(p) or self._new(p)
-            return b"".join([kept[p] for p in pieces])
+            return b"".join(map(self.kept.__getitem__, _PIECES(text)))
+        except _Whole:
+            return self.whole(text)
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from runledger.llm import packing, tokenfiles
+from runledger.llm import packing, tokenfiles, tokens
 from runledger.llm.tokens import Encoder
 
 from .helpers import EDGES, frame, prose
@@ -154,3 +154,14 @@ def test_signs_and_line_feeds_around_new_words_need_one_call(name, monkeypatch):
     assert got == [whole(t) for t in texts]
     for odd in ["it's_ok", " don't''", "a_b_", "x<s>", "\n\nword!!", "é1&", "!!", "a<b|c>"]:
         assert enc.ids(odd) == whole(odd)
+
+
+def test_only_new_pieces_are_looked_through(monkeypatch):
+    seen, look = [], tokens._OTHER_SPACE
+    monkeypatch.setattr(tokens, "_OTHER_SPACE", lambda piece: seen.append(piece) or look(piece))
+    enc = tokens.Encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    text = "one two\nthree one  two, <|endoftext|> and\tmore"
+    plain = text.split(" <|")[0]
+    for t in (plain, plain, text, "two\tone", text, plain):
+        assert enc.ids(t) == enc.whole(t)
+    assert seen[:5] == ["one", " two", "\nthree", " one", "  two,"] and seen[5:] == [" <|endoftext|>", "two\tone", " <|endoftext|>"]
