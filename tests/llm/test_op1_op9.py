@@ -92,3 +92,26 @@ def test_cutoffs_bound_false_rejections(spark):
     assert sum(not got[k].kept for k in range(n)) <= 0.01 * n * len(quality.MEASURES)
     assert not any(got[n + k].kept for k in range(20))
 
+
+
+def test_words_of_long_texts_take_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    from runledger.llm import common
+
+    rnd = np.random.default_rng(3)
+    data = np.where(rnd.random(1 << 21) < 0.2, 32, rnd.integers(97, 123, 1 << 21)).astype(np.uint8)
+    offsets = np.array([0, 5, 5, 1 << 20, 1 << 21], np.int64)
+    tracemalloc.start()
+    prints, counts = common.words(data, offsets)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    assert list(counts) == [len(bytes(data[a:b]).split()) for a, b in zip(offsets, offsets[1:])]
+    for limit in (1, 7, 1000, 5000):  # the same wherever texts and words are cut
+        monkeypatch.setattr(common, "WORD_BYTES", limit)
+        again = common.words(data[:9000], np.array([0, 5, 5, 4000, 9000]))
+        monkeypatch.setattr(common, "WORD_BYTES", 1 << 30)
+        whole = common.words(data[:9000], np.array([0, 5, 5, 4000, 9000]))
+        assert (again[0] == whole[0]).all() and (again[1] == whole[1]).all()
