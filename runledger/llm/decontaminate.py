@@ -31,6 +31,9 @@ WINDOW = 10
 #: (phrase, item) pairs searched for at a time: at most some 6 MB for each task.
 BLOCK_PAIRS = 32_768
 
+#: Segments in a row group of the stored index: writer and reader hold a group at a time, whatever the size of a file.
+GROUP_SEGMENTS = 2
+
 INDEX = "segment long, doc_ids array<long>, prints array<long>, first array<int>, n_words array<int>, terms array<long>, starts array<int>, postings array<int>"
 
 
@@ -53,7 +56,8 @@ def build_index(docs: DataFrame) -> DataFrame:
                 segment += 1
 
     ready(docs.sparkSession)
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print")).mapInArrow(build, INDEX), "postings")
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print")).mapInArrow(build, INDEX),
+               "postings", **{"parquet.block.row.count.limit": GROUP_SEGMENTS})
 
 
 def _cell(values) -> pa.ListArray:

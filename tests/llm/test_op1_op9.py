@@ -115,3 +115,13 @@ def test_words_of_long_texts_take_bounded_memory(monkeypatch):
         monkeypatch.setattr(common, "WORD_BYTES", 1 << 30)
         whole = common.words(data[:9000], np.array([0, 5, 5, 4000, 9000]))
         assert (again[0] == whole[0]).all() and (again[1] == whole[1]).all()
+
+
+def test_index_is_stored_in_small_row_groups(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(decontaminate, "slices", lambda offsets: ((i, i + 1) for i in range(len(offsets) - 1)))  # a segment for each text
+    index = decontaminate.build_index(frame(spark, [(i, prose(i, 5)) for i in range(40)]).coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in index.inputFiles()]
+    sizes = [f.metadata.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+    assert sum(sizes) == 40 and max(sizes) <= decontaminate.GROUP_SEGMENTS
