@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from runledger import schemas
 from runledger.ledger import Ledger
 from runledger.lineage import CODEC, cut
+from runledger.session import compile_small
 
 AS_OF = datetime(2001, 12, 1)
 _NOW = "TIMESTAMP_NTZ '2001-12-01 00:00:00'"
@@ -364,6 +365,7 @@ class ProjectedTables(Mapping):
 
 def project(spark: SparkSession, source_dir: str) -> Ledger:
     """The whole (lazy) ledger over the Parquet tables in ``source_dir``."""
+    compile_small(spark)
     return Ledger(tables=ProjectedTables(spark, source_dir), as_of=AS_OF, session=spark)
 
 

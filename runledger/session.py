@@ -21,3 +21,17 @@ def local_session(cores: int = 8, app: str = "runledger", memory: str = "8g") ->
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+#: Bytecode of a method beyond which the JVM interprets it and never compiles it.
+JIT_BYTES = 8000
+
+
+def compile_small(spark: SparkSession) -> None:
+    """Let Spark generate code per operator where the fused code of a stage gets too long for the JVM's compiler.
+
+    Many columns made by expressions, read several times in a stage, easily get there; rows then take several times as long.
+    A limit that the session was given stays.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", None) is None:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_BYTES))
